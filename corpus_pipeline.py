@@ -11,7 +11,7 @@ from siftline.llm import decontaminate, langid, linededup, minhash, pieces
 from siftline.llm.common import crc_mod
 
 #: Documents whose best language is less like them than this are rejected, as are those without letters.
-MIN_LANGUAGE_SCORE = 0.2
+MIN_LANGUAGE_SCORE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from .common import WordHashes, crc_mod, id_and_text, mix, slices, texts_of
 
 ORDER = 2
 #: Weight of the lower order, in tokens.
-K = 40.0
+K = 400.0
 #: Text bytes of a block.
 BLOCK_BYTES = 4 << 20
 #: n-grams that a bucket gets from all blocks, roughly
