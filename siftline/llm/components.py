@@ -11,20 +11,29 @@ from .common import anew, checkpoint
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (id, root) for each end of an edge: root is the smallest id that links reach.
 
-    Each round takes the least label among a node's neighbours, then the label of that label, so labels
-    run along paths of doubling length; rounds end when no label changes. Null ends are left out, loops
-    and repeated edges do no harm, no edges give no rows. All steps are plain joins and minimums with
-    partial aggregation, so that a node with very many neighbours is split by adaptive execution.
+    In each round every node points to its least neighbour if that is smaller than itself, then to where that
+    one points; edges are rewritten to what their ends point to, and loops and repeats go. Of the ends of an
+    edge the larger always goes, so edges shrink fast; the rounds end when none is left, and their pointers
+    are put together. Null ends are left out, loops and repeated edges do no harm, no edges give no rows.
+    All steps are plain joins and minimums with partial aggregation, so a node of very many neighbours is
+    split by adaptive execution.
     """
-    e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null")
-    both = checkpoint(e.union(e.select("dst", "src")).distinct())
-    labels = checkpoint(both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("root")).withColumnRenamed("src", "id"))
-    while True:
-        near = both.join(labels.select(anew("id").alias("dst"), "root"), "dst").groupBy("src").agg(F.min("root").alias("best"))
-        told = labels.join(near.withColumnRenamed("src", "id"), "id", "left").select("id", "root", F.least("root", "best").alias("best"))
-        up = labels.select(anew("id").alias("best"), F.col("root").alias("over"))
-        new = checkpoint(told.join(up, "best", "left").select("id", F.least("best", F.coalesce("over", "best")).alias("new"), "root"))
-        changed = new.where("new <> root").limit(1).count()
-        labels = new.select("id", F.col("new").alias("root"))
-        if not changed:
-            return labels
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    e = checkpoint(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    loops = e.where("a = b").select("a").distinct()
+    e = e.where("a <> b")
+    rounds = []
+    while rounds == [] or e.limit(1).count():
+        near = e.select("a", "b").union(e.select("b", "a")).toDF("id", "near").groupBy("id").agg(F.min("near").alias("near"))
+        first = checkpoint(near.select("id", F.least("id", "near").alias("to")))
+        up = first.select(anew("id").alias("to"), F.col("to").alias("over"))
+        hop = checkpoint(first.join(up, "to").select("id", F.col("over").alias("root")))
+        rounds.append(hop)
+        ends = e.join(hop.select(anew("id").alias("a"), F.col("root").alias("x")), "a").select("b", "x")
+        ends = ends.join(hop.select(anew("id").alias("b"), F.col("root").alias("y")), "b").select("x", "y")
+        e = checkpoint(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    roots = rounds[-1]
+    for hop in reversed(rounds[:-1]):
+        later = roots.select(anew("id").alias("root"), F.col("root").alias("last"))
+        roots = hop.join(later, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+    return checkpoint(roots.union(loops.join(roots, loops["a"] == roots["id"], "left_anti").select("a", "a")))
