@@ -1,4 +1,5 @@
 """All queries by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import ORACLE_SQL, QUERIES, corpus, retrieval
+
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "retrieval"]

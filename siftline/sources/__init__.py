@@ -1,0 +1,80 @@
+"""Readers and writers of snapshots, question sets and versioned tables."""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A JSON array of records; what doesn't fit the schema is in _corrupt_record. A missing file is an error."""
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(whole).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+
+
+def write_snapshot(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Question sets as JSON lines, empty and `//` lines skipped: id, question, expected_source_ids, tags."""
+    schema = "id string, question string, expected_source_ids array<string>, expected_answer string, tags array<string>"
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(//.*)?$"))
+    rows = lines.select(F.from_json("value", schema).alias("r"), F.xxhash64("value").alias("h")).select("r.*", "h")
+    bad = F.col("question").isNull() | F.col("expected_source_ids").isNull()
+    return rows.where(~bad).select(F.coalesce("id", F.concat(F.lit("ex"), F.hex("h"))).alias("id"), "question", "expected_source_ids", "expected_answer", "tags")
+
+
+def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
+    """One suggestion for each normalised form, the one that stands first; empty and `#` lines skipped."""
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$")).withColumn("line", F.monotonically_increasing_id())
+    form = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
+    return lines.groupBy(form.alias("form")).agg(F.min_by("value", "line").alias("question"), F.min("line").alias("line"))
+
+
+class VersionedTables:
+    """Tables as numbered Parquet folders; a pointer file, written last, names the version that counts."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self, name: str) -> int:
+        at = f"{self.root}/{name}/CURRENT"
+        return int(self.spark.read.text(at).first()[0]) if self._fs.exists(self._path(at)) else 0
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/v={self.version(name)}")
+
+    def publish(self, name: str, df: DataFrame) -> int:
+        """Write the next version in full, then move the pointer: readers see the old or the new one whole."""
+        v = self.version(name) + 1
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
+        tmp = self._path(f"{self.root}/{name}/.CURRENT-{uuid.uuid4().hex}")
+        out = self._fs.create(tmp)
+        out.write(bytearray(str(v).encode()))
+        out.close()
+        to = self._path(f"{self.root}/{name}/CURRENT")
+        if self._fs.exists(to):
+            self._fs.delete(to, False)
+        self._fs.rename(tmp, to)
+        return v
+
+    def manifest(self, name: str, key: str) -> str:
+        """Row count and a fingerprint that doesn't depend on order, as JSON."""
+        df = self.read(name)
+        row = df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("mark"), F.countDistinct(key).alias("keys")).first()
+        return json.dumps(row.asDict() | {"version": self.version(name)}, sort_keys=True)
+
+    def check_import(self, name: str, key: str, manifest: str) -> None:
+        """An error if the table isn't what the manifest says."""
+        told, is_ = json.loads(manifest), json.loads(self.manifest(name, key))
+        wrong = [k for k in ("rows", "mark", "keys") if told[k] != is_[k]]
+        if wrong:
+            raise ValueError(f"{name}: {', '.join(wrong)} differ from the manifest")

@@ -1,0 +1,21 @@
+"""Structured Streaming forms: rate windows over events and sync over landed snapshots."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def rate_windows(events: DataFrame, user: str = "user_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Hits of each user in each minute, batch or stream."""
+    e = events.withColumn("at", F.col(ts).cast("timestamp"))
+    e = e.withWatermark("at", late) if events.isStreaming else e
+    return e.groupBy(F.window("at", "1 minute").alias("w"), F.col(user)).agg(F.count("*").alias("hits")).select(F.col("w.start").alias("minute"), user, "hits")
+
+
+def sync_stream(spark: SparkSession, folder: str, schema: str, sync: Callable[[DataFrame, int], None], checkpoint: str):
+    """Run ``sync`` once over each batch of snapshot files that has landed since the last run."""
+    landed = spark.readStream.schema(schema).json(folder)
+    return landed.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
