@@ -120,7 +120,8 @@ def automaton(texts: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray
         grams, first = np.unique(hashes[n - 1][owner[n - 1 :] == owner[: len(owner) - n + 1]], return_index=True)
         place = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])[first]
         keys, c = counts[n - 1]
-        count = c[np.searchsorted(keys, grams)] if len(keys) else np.zeros(len(grams), np.int64)
+        index = np.minimum(np.searchsorted(keys, grams), max(0, len(keys) - 1))
+        count = np.where(keys[index] == grams, c[index], 0) if len(keys) else np.zeros(len(grams), np.int64)
         grams, place, count = grams[count > 0], place[count > 0], count[count > 0]
         if n == 1:
             p, context, shorter = (count + 1) / made.floor, np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
