@@ -13,7 +13,8 @@ of its own n-grams and runs over its texts from left to right.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,42 +104,44 @@ class Automaton:
         return total
 
 
-def automaton(texts: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray]], order: int, k: float, total: int, types: int) -> tuple[Automaton, list[list[int]]]:
-    """The automaton of the n-grams in texts (word hashes), and the texts as word ids.
+def automaton(texts: list[np.ndarray], counts: Callable[[int, np.ndarray], np.ndarray], order: int, k: float, total: int, types: int) -> tuple[Automaton, list[np.ndarray], np.ndarray]:
+    """The automaton of the n-grams in texts (word hashes), the texts as word ids, and the words' counts by id.
 
-    counts: by n-1 sorted n-gram hashes and their training counts. A history is a state if it was seen in
-    training; its arcs are the n-grams seen.
+    counts(n, sorted distinct hashes of n-grams) gives their training counts. A history is a state if it was
+    seen in training; its arcs are the n-grams seen.
     """
     flat = np.concatenate([*texts, np.zeros(0, np.uint64)])
-    distinct, at = np.unique(flat, return_inverse=True)
-    made = Automaton(order, k, total, types, max(1, len(distinct)))
     size = [len(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), size)
     hashes = gram_hashes(flat, order)
-    below: tuple[np.ndarray, ...] = ()  # of the order below: hashes, counts, probabilities, states
+    below: tuple[np.ndarray, ...] = ()  # of the order below: counts, probabilities, states, and the gram at each place
     for n in range(1, order + 1):
-        grams, first = np.unique(hashes[n - 1][owner[n - 1 :] == owner[: len(owner) - n + 1]], return_index=True)
-        place = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])[first]
-        keys, c = counts[n - 1]
-        index = np.minimum(np.searchsorted(keys, grams), max(0, len(keys) - 1))
-        count = np.where(keys[index] == grams, c[index], 0) if len(keys) else np.zeros(len(grams), np.int64)
-        grams, place, count = grams[count > 0], place[count > 0], count[count > 0]
+        places = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])
+        grams, first, at = np.unique(hashes[n - 1][places], return_index=True, return_inverse=True)
+        count = counts(n, grams)
+        seen = count > 0
         if n == 1:
-            p, context, shorter = (count + 1) / made.floor, np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+            words, uni = at, count
+            made = Automaton(order, k, total, types, max(1, len(grams)))
+        place, own = places[first[seen]], count[seen]
+        if n == 1:
+            p, context, shorter = (own + 1) / made.floor, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
         else:
-            history, rest = (np.searchsorted(below[0], hashes[n - 2][place + i]) for i in (0, 1))
-            p = (count + k * below[2][rest]) / (below[1][history] + k)
-            context, shorter = below[3][history], below[3][rest]
+            history, rest = below[3][place], below[3][place + 1]
+            p = (own + k * below[1][rest]) / (below[0][history] + k)
+            context, shorter = below[2][history], below[2][rest]
         if n < order:
-            state = np.arange(len(grams)) + len(made.fail)
+            state = np.arange(len(own)) + len(made.fail)
             # what a history falls back to is itself without its first word
-            made.fail += zip(np.log10(k / (count + k)).tolist(), shorter.tolist())
+            made.fail += zip(np.log10(k / (own + k)).tolist(), shorter.tolist())
+            gram_at = np.zeros(len(flat), np.int64)
+            gram_at[places] = (np.cumsum(seen) - 1)[at]
+            below = (own, p, state, gram_at)
         else:
             state = shorter
-        made.arcs.update(zip((context * made.words + at[place + n - 1]).tolist(), zip(np.log10(p).tolist(), state.tolist())))
-        below = (grams, count, p, state)
+        made.arcs.update(zip((context * made.words + words[place + n - 1]).tolist(), zip(np.log10(p).tolist(), state.tolist())))
     ends = np.cumsum(size)
-    return made, [at[e - n : e].tolist() for e, n in zip(ends, size)]
+    return made, [words[e - n : e] for e, n in zip(ends, size)], uni
 
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
@@ -239,18 +242,15 @@ def score_texts(docs: DataFrame, held_out, order: int = ORDER, k: float = K, id_
         told: list[dict[int, np.ndarray]] = [{} for _ in range(order)]
         for r in right.to_pylist():
             told[r["n"]][r["bucket"]] = _counts(r["counts"], r["size"])
-        counts = []
-        for n, g in enumerate(grams_of(texts, order)):
-            counts.append((np.unique(g), np.concatenate([np.zeros(0, np.int64), *(told[n][b] for b in sorted(told[n]))])))
-        made, coded = automaton(texts, counts, order, k, total, types)
-        uni_keys, uni = counts[0]
-        length, known, base, score = [], [], [], []
-        for t, own in zip(texts, coded):
-            c = uni[np.searchsorted(uni_keys, mix(t))]
-            length.append(len(t))
-            known.append(int((c > 0).sum()))
-            base.append(float(np.log10((c + 1) / made.floor).sum()))
-            score.append(made.score(own))
+        counts = lambda n, grams: np.concatenate([np.zeros(0, np.int64), *(told[n - 1][b] for b in sorted(told[n - 1]))])
+        gc.disable()  # millions of small tuples, none in a cycle
+        made, coded, uni = automaton(texts, counts, order, k, total, types)
+        log = np.log10((uni + 1) / made.floor)
+        length = [len(t) for t in coded]
+        known = [int((uni[t] > 0).sum()) for t in coded]
+        base = [float(log[t].sum()) for t in coded]
+        score = [made.score(t.tolist()) for t in coded]
+        gc.enable()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "train": pa.array(train, pa.bool_()), "n_tokens": pa.array(length, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, n int, bucket int, keys binary, counts binary")
