@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import anew
+
 MIN_DOCS = 10
 MIN_CHARS = 1
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,7 +35,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("mark", F.xxhash64("text"))
     lines = rows.select("doc_id", "mark", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("pos", "line")).select("doc_id", "mark", "pos", F.btrim("line", F.lit(_BLANK)).alias("key"))
     lines = lines.where(F.length("key") >= min_chars).select("doc_id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    common = lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    common = lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs).select(anew("h1"), anew("h2"))
     gone = lines.join(common, ["h1", "h2"]).groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
     met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
