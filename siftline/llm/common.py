@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +33,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Stash:
+    """Tables of one iteration in the shared folder, as Parquet: what is read back has neither lineage nor the
+    constraints that checkpoint() hands on, which the optimizer would combine anew in every round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/siftline-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def anew(name: str) -> Column:
     """A long column's values without what Spark knows of their partitioning.
 
