@@ -5,8 +5,8 @@ tokens. Texts of equal sets are one class from the start. A node of a tree is a
 two of its places, which are chosen by the node's own hash, so that classes with equal values there meet in a
 child. Small nodes are compared exhaustively (by sketch), large ones branch on. Two sets of Jaccard
 similarity s stay together in some node of a tree with probability 1 - q, q = (1 - s + s*q)^2 (0.97 at 0.85)
-at any depth, and independent trees are repeated up to the target recall. Nodes that are still large at the
-last depth are candidate groups as they are. Candidate groups are then confirmed on the full sets, large ones
+at any depth, and independent trees are repeated up to the target recall. Large nodes whose members are alike
+on average leave the tree as candidate groups, as do nodes that are still large at the last depth. Candidate groups are then confirmed on the full sets, large ones
 in pairs of blocks; nothing is linked by its sketch.
 """
 
@@ -30,6 +30,8 @@ K = 96
 #: A node of at most so many classes is compared exhaustively.
 LEAF = 24
 DEPTH = 4
+#: A large node branches no further if its members' mean agreement with its head is so much of the threshold.
+ALIKE = 0.9
 RECALL = 0.9999
 #: A candidate group is confirmed in blocks of at most about so many texts and shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1_000_000
@@ -100,6 +102,18 @@ def _children(members: DataFrame, classes: DataFrame) -> DataFrame:
     return at.select("id", "node", "sketch", places.alias("place")).select(F.xxhash64("node", "place", F.element_at("sketch", F.col("place") + 1)).alias("node"), "id")
 
 
+def _alike(large: DataFrame, heads: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The heads (node, b) of nodes whose members agree with them, on average, nearly as much as links ask for.
+
+    Branching would carry such members on together in most children, so the whole node is a candidate group now.
+    """
+    led = heads.join(classes.select(F.col("id").alias("b"), F.col("sketch").alias("led")), "b")
+    met = large.join(classes.select("id", "sketch"), "id").join(led, "node")
+    same = F.aggregate(F.zip_with("sketch", "led", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    shared = met.select(anew("node"), "b", same.alias("same")).groupBy("node", "b").agg(F.avg("same").alias("same"))
+    return shared.where(F.col("same") >= ALIKE * threshold / 100 * K).select(anew("node"), "b")
+
+
 def _compare(threshold: int):
     """Links that hold a small node's similar classes together, by sketch; rows come sorted by node."""
     s = threshold / 100
@@ -144,16 +158,19 @@ def candidates(classes: DataFrame, threshold: int, recall: float = RECALL) -> Da
     members = classes.select("id", "sketch", F.explode(roots).alias("r")).select(F.xxhash64(F.col("r.tree"), F.col("r.place"), F.element_at("sketch", F.col("r.place") + 1)).alias("node"), "id")
     found, large = [], None
     for depth in range(DEPTH):
-        if depth:
-            members = _children(large, classes)
-        members = checkpoint(members)
+        members = checkpoint(_children(large, classes) if depth else members)
         sizes = members.groupBy("node").count().where("count > 1").select(anew("node"), "count")
         full = members.join(sizes, "node")
         small = full.where(F.col("count") <= LEAF).select("node", "id").join(classes.select("id", "n_shingles", "sketch"), "id")
         found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(threshold), "a long, b long"))
-        large = full.where(F.col("count") > LEAF).select("node", "id")
-    heads = large.groupBy("node").agg(F.min("id").alias("b")).select(anew("node"), "b")
-    found.append(large.join(heads, "node").select(F.col("id").alias("a"), "b").where("a <> b"))
+        large = checkpoint(full.where(F.col("count") > LEAF).select("node", "id"))
+        if not large.limit(1).count():
+            break
+        heads = large.groupBy("node").agg(F.min("id").alias("b")).select(anew("node"), "b")
+        if depth < DEPTH - 1:
+            heads = checkpoint(_alike(large, heads, classes, threshold))
+        found.append(large.join(heads, "node").select(F.col("id").alias("a"), "b").where("a <> b"))
+        large = large.join(heads, "node", "left_anti")
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
