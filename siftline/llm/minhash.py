@@ -102,16 +102,17 @@ def _children(members: DataFrame, classes: DataFrame) -> DataFrame:
     return at.select("id", "node", "sketch", places.alias("place")).select(F.xxhash64("node", "place", F.element_at("sketch", F.col("place") + 1)).alias("node"), "id")
 
 
-def _alike(large: DataFrame, heads: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """The heads (node, b) of nodes whose members agree with them, on average, nearly as much as links ask for.
+def _alike(large: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Rows (node, alike) of nodes whose members agree with the head, on average, nearly as much as links ask for.
 
     Branching would carry such members on together in most children, so the whole node is a candidate group now.
     """
-    led = heads.join(classes.select(F.col("id").alias("b"), F.col("sketch").alias("led")), "b")
-    met = large.join(classes.select("id", "sketch"), "id").join(led, "node")
+    heads = large.select(anew("head")).distinct()
+    led = heads.join(classes.select(F.col("id").alias("head"), F.col("sketch").alias("led")), "head").select(anew("head"), "led")
+    met = large.join(classes.select("id", "sketch"), "id").join(led, "head")
     same = F.aggregate(F.zip_with("sketch", "led", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    shared = met.select(anew("node"), "b", same.alias("same")).groupBy("node", "b").agg(F.avg("same").alias("same"))
-    return shared.where(F.col("same") >= ALIKE * threshold / 100 * K).select(anew("node"), "b")
+    shared = met.select(anew("node"), same.alias("same")).groupBy("node").agg(F.avg("same").alias("same"))
+    return shared.where(F.col("same") >= ALIKE * threshold / 100 * K).select(anew("node"), F.lit(True).alias("alike"))
 
 
 def _compare(threshold: int):
@@ -159,18 +160,19 @@ def candidates(classes: DataFrame, threshold: int, recall: float = RECALL) -> Da
     found, large = [], None
     for depth in range(DEPTH):
         members = checkpoint(_children(large, classes) if depth else members)
-        sizes = members.groupBy("node").count().where("count > 1").select(anew("node"), "count")
-        full = members.join(sizes, "node")
+        sizes = members.groupBy("node").agg(F.count("*").alias("count"), F.min("id").alias("head")).where("count > 1").select(anew("node"), "count", "head")
+        full = checkpoint(members.join(sizes, "node"))
         small = full.where(F.col("count") <= LEAF).select("node", "id").join(classes.select("id", "n_shingles", "sketch"), "id")
         found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(threshold), "a long, b long"))
-        large = checkpoint(full.where(F.col("count") > LEAF).select("node", "id"))
+        large = full.where(F.col("count") > LEAF).select("node", "id", "head")
         if not large.limit(1).count():
             break
-        heads = large.groupBy("node").agg(F.min("id").alias("b")).select(anew("node"), "b")
+        alike = F.lit(True)
         if depth < DEPTH - 1:
-            heads = checkpoint(_alike(large, heads, classes, threshold))
-        found.append(large.join(heads, "node").select(F.col("id").alias("a"), "b").where("a <> b"))
-        large = large.join(heads, "node", "left_anti")
+            large = checkpoint(large.join(_alike(large, classes, threshold), "node", "left"))
+            alike = F.col("alike").isNotNull()
+        found.append(large.where(alike).select(F.col("id").alias("a"), F.col("head").alias("b")).where("a <> b"))
+        large = large.where(~alike).select("node", "id")
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
