@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analyze as A
 from ..functions.text import html_strip as strip, html_to_text as to_text, normalize_whitespace, query_terms, text_hash, token_count, tokenize
-from ..operators import answer, chunk, evaluate, memory, suggest, sync
+from ..operators import answer, chunk, evaluate, memory, sections, suggest, sync
 from . import query, table
 from .retrieval import TOK
 
@@ -71,6 +71,19 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), "chunk_index", "token_count", "content_hash")
 
 
+@query()
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each third line is a section, the two after it are its subsections; the source stands for the title."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), F.col("source").alias("title"))
+    place = F.floor(F.col("chunk_index") / 3).cast("int")
+    first = F.col("chunk_index") % 3 == 0
+    path = F.when(first, F.array(place)).otherwise(F.array(place, (F.col("chunk_index") % 3).cast("int")))
+    number = F.when(first, place + 1).otherwise(F.col("chunk_index") % 3).cast("string")
+    units = _parts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), path.alias("path"), F.when(first, "section").otherwise("subsection").alias("kind"), number.alias("number"), F.when(first, F.substring_index("content", " ", 4)).alias("heading"), "content")
+    out = sections.chunk_units(docs, units)
+    return out.select(F.col("id").cast("long").alias("doc_id"), "chunk_index", "role", F.size("covers").alias("n_covers"), "token_count", "content_hash")
+
+
 @query(f"WITH {PARTS}, r AS (SELECT *, sum(length(content)) OVER (PARTITION BY doc_id ORDER BY chunk_index) used FROM p) SELECT doc_id, count(*) blocks, sum(length(content))::BIGINT chars FROM r WHERE chunk_index = 0 OR used <= 2000 GROUP BY doc_id")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = answer.pack_context(_parts(spark, sf_dir), "doc_id", [F.asc("chunk_index")], F.length("content"), 2000)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import analyze as A
 from siftline.functions import text as X
-from siftline.operators import answer, chunk, embed, normalize, retrieval, sync
+from siftline.operators import answer, chunk, embed, normalize, retrieval, sections, sync
 from siftline.sources import VersionedTables, read_questions, read_suggestions
 from siftline.streaming import rate_windows
 
@@ -131,3 +131,28 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert "hybrid_topk" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sections_keep_words_size_and_places(spark):
+    word = iter(f"w{i}" for i in range(100_000))
+    text = lambda n: " ".join(next(word) for _ in range(n))
+    rows = [("1", [0], "section", "১।", "Short", text(5)), ("1", [1], "section", "2", "Long", "opening words")]
+    rows += [("1", [1, j], "subsection", str(j), None, text(30)) for j in range(1, 9)]
+    rows += [("1", [1, 9], "subsection", "9", None, "lead"), ("1", [1, 9, 0], "schedule", "a", None, text(200)), ("1", [1, 9, 1], "subschedule", None, "Schedule", None)]
+    rows += [("1", [2], "section", None, None, None), ("1", None, "section", None, None, "placeless"), ("9", [0], "section", "1", "orphan", "x")]
+    units = spark.createDataFrame(rows, "source_id string, path array<int>, kind string, number string, heading string, content string")
+    docs = spark.createDataFrame([("1", "Act"), ("2", "Alone"), ("3", None), (None, "n")], "source_id string, title string")
+    got = sections.chunk_units(docs, units, target=120, most=180, overlap=20, least=10).orderBy("id", "chunk_index").collect()
+    assert [(r.id, r.role, r.content) for r in got if r.id != "1"] == [("2", "overview", "Alone")]
+    one = [r for r in got if r.id == "1"]
+    assert [r.chunk_index for r in one] == list(range(len(one)))
+    assert one[0].role == "overview" and one[0].content == "১ Short\n2 Long"
+    # joined parts may bring a tag of the numbers that they hold
+    assert all(r.token_count <= 180 + 12 for r in one)
+    body = " ".join(r.content for r in one if r.role == "body").split()
+    assert {w for r in rows[:-1] for w in (r[5] or "").split()} <= set(body)
+    assert all(r.context.startswith("দলিলের নাম: Act") for r in one)
+    deep = [r for r in one if any(c.startswith("1.9") for c in r.covers)]
+    assert any("দফা a" in r.context and "উপ-ধারা: 9" in r.context and "ধারা: 2 — Long" in r.context for r in deep)
+    assert any("প্রারম্ভিক অংশ:" in r.context for r in one) and any("উপ-তফসিল — Schedule" in r.content for r in one)
+    assert len({r.content_hash for r in one}) == len(one)
