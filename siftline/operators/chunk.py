@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TARGET, MOST, OVERLAP, LEAST = 500, 700, 80, 30
+PER_TOKEN = 2.3
 _SENTENCE = re.compile(r"(?<=[.!?।])\s+")
 
 
 def tokens(text: str) -> int:
-    return max(1, int(len(text) / 2.3)) if text else 0
+    return max(1, int(len(text) / PER_TOKEN)) if text else 0
 
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
@@ -37,12 +38,12 @@ def atoms(text: str, most: int) -> Iterator[str]:
             size = 0
             for word in sentence.split():
                 for piece in [word[i : i + 2 * most] for i in range(0, len(word), 2 * most)]:
-                    n = tokens(piece + " ")
-                    if run and size + n > most:
+                    # whole characters add up; tokens of single words are rounded down
+                    if run and int((size + len(piece)) / PER_TOKEN) > most:
                         yield " ".join(run)
                         run, size = [], 0
                     run.append(piece)
-                    size += n
+                    size += len(piece) + 1
             if run:
                 yield " ".join(run)
 

@@ -49,6 +49,9 @@ def test_chunks_keep_words_and_size():
     parts = chunk.pack(text, 60, 90, 10, 5)
     assert all(chunk.tokens(p) <= 90 for p in parts)
     assert set(text.replace("z" * 5000, "").split()) <= {w for p in parts for w in p.split()}
+    short = " ".join(["ab", "c", "def"] * 4000)
+    assert all(chunk.tokens(p) <= 90 for p in chunk.pack(short, 60, 90, 10, 5))
+    assert set(short.split()) == set(" ".join(chunk.pack(short, 60, 90, 10, 5)).split())
     assert chunk.pack("", 60) == [] and chunk.pack("a b") == ["a b"]
 
 
