@@ -1,13 +1,15 @@
-"""Licence scan: Dice coefficient of word bigrams between normalised text and licence templates.
+"""Licence scan: Dice coefficient of word bigrams between stretches of normalised text and licence templates.
 
-A text is compared whole, line by line, and in its paragraphs (runs of lines between empty ones). A stretch of
-m distinct bigrams can reach coefficient t with a template of n only if n*t/(2-t) <= m <= n*(2-t)/t, so most
-templates are never compared.
+A stretch is any run of words of the text, across lines and paragraphs. The best one begins and ends with a bigram
+of the template, and its first bigram comes only once. A stretch with more than 2n(1-t)/t bigrams that a template
+of n has not can't reach coefficient t, nor can one with fewer than n*t/(2-t) of the template's own, so few
+stretches are ever looked at.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
+from bisect import bisect, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,7 @@ TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -33,7 +35,6 @@ TEMPLATES = {
 }
 
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_EMPTY_LINE = re.compile(rb"\n[ \t\r\x0b\x0c]*\n")
 
 
 def words(text: bytes) -> list[bytes]:
@@ -53,6 +54,11 @@ class Templates:
         self.bounds = [(len(g) * low, len(g) * high) for _, g in self.all]
         self.least = min((b[0] for b in self.bounds), default=1)
         self.most = max((b[1] for b in self.bounds), default=0)
+        self.pairs = [{tuple(x.split()) for x in g} for _, g in self.all]
+        self.owners: dict[tuple[bytes, ...], list[int]] = {}
+        for t, own in enumerate(self.pairs):
+            for g in own:
+                self.owners.setdefault(g, []).append(t)
 
     def best(self, w: list[bytes]) -> tuple[float, str] | None:
         """The greatest coefficient at the threshold or above, of equals the name first in order."""
@@ -73,16 +79,59 @@ class Templates:
                     found = (dice, name)
         return found
 
+    def stretch(self, grams: list[tuple[bytes, bytes]], t: int, start: int, stop: int) -> tuple[float, int, str, int, int, int] | None:
+        """The best stretch of bigrams from start on, before stop, at the threshold or above: sorts before lesser ones."""
+        own, first = self.pairs[t], grams[start]
+        most = 2 * len(own) * (1 - self.threshold) / self.threshold + 1e-9
+        seen, shared, other, best, end = {first}, 1, 0, 2 / (1 + len(own)), start
+        for j in range(start + 1, stop):
+            g = grams[j]
+            if g == first:  # without the first one the bigrams are the same
+                break
+            if g in seen:
+                continue
+            seen.add(g)
+            if g in own:
+                shared += 1
+                dice = 2 * shared / (shared + other + len(own))
+                if dice > best:
+                    best, end = dice, j
+            else:
+                other += 1
+                if other > most:
+                    break
+        return (-best, start - end, self.all[t][0], start, end, t) if best >= self.threshold else None
+
     def scan(self, text: bytes) -> dict[str, float]:
-        """Licences found with their greatest coefficient."""
+        """Licences found with their greatest coefficient.
+
+        The best stretch of all counts first, then the best that shares no word with those before, and so on; of
+        equal coefficients the longer stretch, then the name first in order.
+        """
+        w = words(text)
+        owners, grams = self.owners, list(zip(w, w[1:]))
+        places: dict[int, list[int]] = {}
+        for i in [i for i, g in enumerate(grams) if g in owners]:
+            for t in owners[grams[i]]:
+                places.setdefault(t, []).append(i)
+        heap = []
+        for t, at in places.items():
+            if len(at) >= (low := self.bounds[t][0] - 1e-9) and len({grams[i] for i in at}) >= low:
+                heap += [found for i in at if (found := self.stretch(grams, t, i, len(grams)))]
+        heapq.heapify(heap)
         out: dict[str, float] = {}
-        stretches = {text, *text.split(b"\n")}
-        if _EMPTY_LINE.search(text):
-            stretches.update(_EMPTY_LINE.split(text))
-        for s in stretches:
-            got = self.best(words(s))
-            if got:
-                out[got[1]] = max(out.get(got[1], 0.0), got[0])
+        taken: list[tuple[int, int]] = []  # first and last bigram
+        while heap:
+            dice, _, name, start, end, t = heapq.heappop(heap)
+            k = bisect(taken, (start, len(grams)))
+            if k and start <= taken[k - 1][1] + 1:
+                continue
+            stop = taken[k][0] - 1 if k < len(taken) else len(grams)
+            if end < stop:
+                insort(taken, (start, end))
+                out.setdefault(name, -dice)
+            elif start < stop and (found := self.stretch(grams, t, start, stop)):
+                heapq.heappush(heap, found)
         return out
 
 
@@ -90,7 +139,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     """Rows (doc_id, licences, coefficients) for each row of docs: names in order and the greatest coefficient of each.
 
     Null and empty texts, and texts that reach the threshold with no template, have none. Each stretch gives
-    the one template that it is most like. Repeated rows are scanned alike. Templates are broadcast; they are
+    the one template that it is most like (see Templates.scan). Repeated rows are scanned alike. Templates are broadcast; they are
     a parameter, not data.
     """
 

@@ -156,6 +156,30 @@ def test_licence_pruning_loses_nothing(docs):
             assert (got[0] if got else 0) == (best if best >= 0.5 else 0)
 
 
+def test_licences_inside_documents():
+    known = licences.Templates(licences.TEMPLATES, licences.THRESHOLD)
+    mit, gpl = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["GPL-3.0"][1]
+    prose = "some other words that stand around it without end " * 40
+    parts = mit.replace(": The above", ":\n\nThe above").replace(". THE SOFTWARE", ".\n\nTHE SOFTWARE")
+    wrapped = re.sub(r"((?:\S+ ){8})", r"\1\n", gpl.replace("This program is distributed", "\n\nThis program is distributed"))
+    for text, name in ((f"{prose}\nCopyright me\n\n{parts}\n\n{prose}", "MIT"), (f"{prose}\n# Copyright me\n{wrapped}\n{prose}", "GPL-3.0"), ("This project is maintained by volunteers. Released under the MIT License. See the file for details.", "MIT"), (wrapped.replace("version 3", "version 2"), "GPL-2.0")):
+        assert list(known.scan(text.encode())) == [name]
+    # a less like notice isn't hidden by its template's better likeness to another licence's notice
+    two = "This work is licensed under the GNU General Public License, version 3.\nwords between\nThis piece is licensed under the GNU General Public License, version 2."
+    assert sorted(known.scan(two.encode())) == ["GPL-2.0", "GPL-3.0"]
+    assert known.scan(b"Released under the MIT License. " * 20_000) == {"MIT": 1.0}
+
+
+def test_licence_stretches_against_all_runs_of_words():
+    rng = np.random.default_rng(5)
+    known = licences.Templates({"x": ["a b c d e f", "c a b"], "y": ["b c d a a b e"]}, 0.8)
+    for _ in range(300):
+        w = [b"abcdefg"[i : i + 1] for i in rng.integers(0, 7, rng.integers(0, 25))]
+        runs = [licences.bigrams(w[i:j]) for i in range(len(w)) for j in range(i + 2, len(w) + 1)]
+        best = max((2 * len(r & g) / (len(r) + len(g)) for r in runs for _, g in known.all), default=0)
+        assert max(known.scan(b" ".join(w)).values(), default=0) == (best if best >= 0.8 else 0)
+
+
 # 4
 
 def test_quality(spark, docs, odd, empty):
