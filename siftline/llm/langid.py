@@ -135,10 +135,11 @@ def learn(docs: DataFrame, lang_col: str = "lang", dim: int = DIM) -> dict[str,
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:
-    """One row (doc_id, lang_pred, score) for each row of docs (doc_id, text), and its other columns in front.
+    """One row (doc_id, lang_pred, score, trigrams) for each row of docs (doc_id, text), and its other columns in front.
 
     score is the cosine, 0 where negative. A null or empty text, one without letters, and any text where
-    nothing was learned get `und` and 0. Equal cosines: the label first in order. Texts count whole.
+    nothing was learned get `und` and 0. Equal cosines: the label first in order. Texts count whole. trigrams is
+    the effective number of trigrams, the square of their number over the sum of their squared counts.
     """
     names = sorted(prototypes)
     matrix = np.stack([prototypes[k] / (np.linalg.norm(prototypes[k]) or 1) for k in names]).astype(np.float32) if names else None
@@ -151,6 +152,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
             n = batch.num_rows
             counts, grams, some = count_grams([t or "" for t in batch.column("text").to_pylist()])
             lang, score = ["und"] * n, np.zeros(n)
+            effective = counts.sum(1) ** 2 / np.maximum(np.einsum("ij,ij->i", counts, counts), 1)
             if names and len(grams):
                 profile = np.zeros((n, dim), np.float32)
                 for i in range(0, len(grams), _ROWS):
@@ -159,9 +161,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
                 best = cos.argmax(1)
                 score = np.where(some, np.clip(cos[np.arange(n), best].astype(float), 0, 1), 0.0)
                 lang = [names[b] if s else "und" for b, s in zip(best, some)]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], [*rest, "doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(effective)], [*rest, "doc_id", "lang_pred", "score", "trigrams"])
 
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("trigrams", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -359,6 +359,15 @@ def test_pipeline_against_plain_python(spark):
     assert all(out[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in rows.items())
 
 
+def test_short_documents_pass_the_language_stage(spark, docs):
+    short = ["Avec.", "This.", "A.", "Er\u00f6.", "Reorea. Nd.", "Thlyntsh.", "A.\nAll rights reserved.", "Avec. " * 500]
+    other = ["123 456", "\u03be\u03b5\u03c3\u03ba\u03b5\u03c0\u03ac\u03b6\u03c9 \u03c4\u03b7\u03bd \u03c8\u03c5\u03c7\u03bf\u03c6\u03b8\u03cc\u03c1\u03b1 \u03b2\u03b4\u03b5\u03bb\u03c5\u03b3\u03bc\u03af\u03b1 " * 3, "".join(map(chr, range(0x4E00, 0x4F2C)))]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(short + other)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more, True), SF).collect()}
+    assert {i for i in kept if i < 0} == {-1 - i for i in range(len(short))}
+    assert {r["doc_id"] for r in docs.where("text rlike '[A-Za-z]'").collect()} <= kept
+
+
 def test_stages_keep_columns_and_odd_rows(spark, odd):
     table = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang, _ in ODD], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:-1]:
