@@ -1,7 +1,7 @@
 """N-gram language model of a corpus, and scores of its texts by a weighted backoff automaton.
 
-Smoothing: P(w | h) = (c(h w) + K * P(w | h')) / (c(h) + K), h' being h without its first word and P(w) the
-add-one unigram share. So an n-gram that was seen is an arc with its own log-probability, a state's failure
+Smoothing: P(w | h) = (c(h w) + K * P(w | h')) / (c(h) + K), h' being h without its first word, P(w) the
+add-one unigram share, and K a number for each length of h. So an n-gram that was seen is an arc with its own log-probability, a state's failure
 arc weighs log10(K / (c(h) + K)), and all words' probabilities after any history add up to one. A text begins
 in the empty history and ends in one end token.
 
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, crc_mod, id_and_text, mix, slices, texts_of
 
-ORDER = 2
-#: Weight of the lower order, in tokens.
-K = 400.0
+ORDER = 3
+#: Weight of the lower order, in tokens, by the length of the history; chosen on the held-out texts of sf0.1.
+K = (6400.0, 5.0)
 #: Text bytes of a block.
 BLOCK_BYTES = 4 << 20
 #: n-grams that a bucket gets from all blocks, roughly
@@ -80,7 +80,7 @@ def _pieces(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 class Automaton:
     """States are histories (0: the empty one); an arc has a log10 probability and a next state."""
 
-    def __init__(self, order: int, k: float, total: int, types: int, words: int):
+    def __init__(self, order: int, k: float | tuple[float, ...], total: int, types: int, words: int):
         self.order, self.k, self.words = order, k, words
         self.floor = total + types + 1  # N + 1 * (V + 1)
         self.arcs: dict[int, tuple[float, int]] = {}  # by state * words + word
@@ -104,12 +104,15 @@ class Automaton:
         return total
 
 
-def automaton(texts: list[np.ndarray], counts: Callable[[int, np.ndarray], np.ndarray], order: int, k: float, total: int, types: int) -> tuple[Automaton, list[np.ndarray], np.ndarray]:
+def automaton(texts: list[np.ndarray], counts: Callable[[int, np.ndarray], np.ndarray], order: int, k: float | tuple[float, ...], total: int, types: int) -> tuple[Automaton, list[np.ndarray], np.ndarray]:
     """The automaton of the n-grams in texts (word hashes), the texts as word ids, and the words' counts by id.
 
     counts(n, sorted distinct hashes of n-grams) gives their training counts. A history is a state if it was
-    seen in training; its arcs are the n-grams seen.
+    seen in training; its arcs are the n-grams seen. k is one number or one for each length of a history from 1 on.
     """
+    weights = [k] * (order - 1) if isinstance(k, (int, float)) else list(k)
+    if len(weights) < order - 1:
+        raise ValueError(f"order {order} needs {order - 1} weights")
     flat = np.concatenate([*texts, np.zeros(0, np.uint64)])
     size = [len(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), size)
@@ -128,12 +131,12 @@ def automaton(texts: list[np.ndarray], counts: Callable[[int, np.ndarray], np.nd
             p, context, shorter = (own + 1) / made.floor, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
         else:
             history, rest = below[3][place], below[3][place + 1]
-            p = (own + k * below[1][rest]) / (below[0][history] + k)
+            p = (own + weights[n - 2] * below[1][rest]) / (below[0][history] + weights[n - 2])
             context, shorter = below[2][history], below[2][rest]
         if n < order:
             state = np.arange(len(own)) + len(made.fail)
             # what a history falls back to is itself without its first word
-            made.fail += zip(np.log10(k / (own + k)).tolist(), shorter.tolist())
+            made.fail += zip(np.log10(weights[n - 1] / (own + weights[n - 1])).tolist(), shorter.tolist())
             gram_at = np.zeros(len(flat), np.int64)
             gram_at[places] = (np.cumsum(seen) - 1)[at]
             below = (own, p, state, gram_at)
@@ -179,7 +182,7 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
     return tuple(int(x or 0) for x in parts.groupBy("bucket").applyInArrow(types, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
 
 
-def score_texts(docs: DataFrame, held_out, order: int = ORDER, k: float = K, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, order: int = ORDER, k: float | tuple[float, ...] = K, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     held_out(column of ids) says which rows teach nothing. Null texts are empty: one end token. base_score is

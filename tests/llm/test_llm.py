@@ -119,6 +119,22 @@ def test_lm_against_a_plain_model(spark, docs, odd):
         assert {r["train_tokens"] for r in got} == {total}
 
 
+def test_lm_has_a_weight_for_each_length_of_history(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c a b d", "a b c", "b c a b c d", "a b d c"] * 3)]
+    got = {r["doc_id"]: r["score"] for r in ngramlm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), lambda c: c < 0).collect()}
+    toks = [ngramlm.tokens(t.encode()) for _, t in rows]
+    count = Counter(tuple(t[i : i + n]) for t in toks for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    total, types = sum(map(len, toks)), sum(len(g) == 1 for g in count)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (count[gram] + 1) / (total + types + 1)
+        k = ngramlm.K[len(gram) - 2]
+        return (count[gram] + k * p(gram[1:])) / (count[gram[:-1]] + k)
+
+    assert all(got[i] == pytest.approx(sum(np.log10(p(tuple(t[max(0, j - 2) : j + 1]))) for j in range(len(t)))) for i, t in enumerate(toks))
+
+
 def test_lm_sums_to_one_and_beats_the_base(spark, docs, empty):
     words = [b"a", b"b", b"c"]
     h = {w: np.uint64(i + 1) for i, w in enumerate([*words, ngramlm.END])}
