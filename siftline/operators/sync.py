@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DELETE_FRACTION, GUARD_FROM = 0.3, 10
 
 
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row for each key, the last in order; with the number of rows that gave way."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("_n", F.row_number().over(w.orderBy(order.desc()))).withColumn("duplicates", F.count("*").over(w) - 1).where("_n = 1").drop("_n")
+    """One row for each key, the last in order (nulls come first); with the number of rows that gave way.
+
+    Each task keeps one row and a count of a key before the shuffle.
+    """
+    last = rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*rows.columns), F.struct(order)).alias("_r"), (F.count("*") - 1).alias("duplicates"))
+    return last.select("_r.*", "duplicates")
 
 
 def diff(old: DataFrame, new: DataFrame, key: str = "id", force: bool = False) -> DataFrame:

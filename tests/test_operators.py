@@ -159,3 +159,11 @@ def test_sections_keep_words_size_and_places(spark):
     assert any("দফা a" in r.context and "উপ-ধারা: 9" in r.context and "ধারা: 2 — Long" in r.context for r in deep)
     assert any("প্রারম্ভিক অংশ:" in r.context for r in one) and any("উপ-তফসিল — Schedule" in r.content for r in one)
     assert len({r.content_hash for r in one}) == len(one)
+
+
+def test_last_wins_aggregates_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", 5), (3, None, None), (4, "b", 1), (5, "b", 3), (6, "b", 2)], "id long, k string, o int")
+    out = sync.last_wins(rows, "k", F.col("o"))
+    assert sorted(map(tuple, out.collect())) == sorted([(2, "a", 5, 1), (3, None, None, 0), (5, "b", 3, 2)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max_by" in plan
