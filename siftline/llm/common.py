@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,16 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where none is set and all runs in one process, as in tests."""
     sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir")
+    told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if told is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = tempfile.mkdtemp(prefix="siftline-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="siftline-"))
-    return told or sc.getCheckpointDir()
+        sc.setCheckpointDir(told)
+    return told
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -108,6 +114,71 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+#: Bytes that word_hashes works on at a time.
+_SPAN = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64; a number for each byte, alike for A-Z and a-z; blanks."""
+    up, down = np.full(_SPAN + 1, _BASE, np.uint64), np.full(_SPAN + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    low = np.arange(256)
+    low[65:91] += 32
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    with np.errstate(over="ignore"):
+        return np.cumprod(up), np.cumprod(down), mix(low.astype(np.uint64) + np.uint64(1) << np.uint64(20)) | np.uint64(1), blank
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between blanks of all texts in a row, A-Z lower-cased, and how many words each text has.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over many words at once.
+    """
+    up, down, number, blank = _tables()
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    out, begins, lo, n = [], [], 0, len(data)
+    while lo < n:
+        part = data[lo : lo + _SPAN]
+        gaps = np.flatnonzero(blank[part])
+        if not len(gaps):  # a word longer than what is worked on at a time
+            end = lo + _SPAN
+            while not blank[data[end : end + _SPAN]].any():
+                end += _SPAN
+            end += int(np.argmax(blank[data[end : end + _SPAN]]))
+            total = 0
+            for at in range(lo, end, _SPAN):
+                own = data[at : min(end, at + _SPAN)]
+                with np.errstate(over="ignore"):
+                    total += int((number[own] * up[: len(own)]).sum(dtype=np.uint64)) * pow(_BASE, at - lo, 1 << 64)
+            out.append(np.array([total % (1 << 64)], np.uint64))
+            begins.append(np.array([lo]))
+            lo = end
+            continue
+        part = part[: gaps[-1] + 1]
+        # words are what lies between two blanks that aren't neighbours
+        ends, starts = gaps, np.concatenate([[0], gaps[:-1] + 1])
+        some = ends > starts
+        starts, ends = starts[some], ends[some]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(number[part] * up[: len(part)], out=sums[1:])
+            out.append((sums[ends] - sums[starts]) * down[starts])
+        begins.append(starts + lo)
+        lo += len(part)
+    firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    begin = np.concatenate([*begins, np.zeros(0, np.int64)])
+    return np.concatenate([*out, np.zeros(0, np.uint64)]), np.diff(np.searchsorted(begin, firsts))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits."""
     with np.errstate(over="ignore"):

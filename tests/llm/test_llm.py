@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import components, decontaminate, embeddup, langid, licences, linededup, minhash, ngramlm, pieces, quality, tokencount
+from siftline.llm import common, components, decontaminate, embeddup, langid, licences, linededup, minhash, ngramlm, pieces, quality, tokencount
 from siftline.llm.common import crc_mod, crc_mod_py
 from siftline.llm.queries import ORACLE_SQL, QUERIES
 
@@ -97,61 +97,99 @@ def test_round_trip(spark, docs, odd, empty):
 
 # 2
 
-def test_lm_against_a_plain_model(spark, docs, odd):
-    rows = docs.select("doc_id", "text").limit(60).collect() + odd.select("doc_id", "text").collect()
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    for order, block in ((2, 20_000), (3, 1 << 22)):
-        got = ngramlm.score_texts(table, lambda c: crc_mod(c, 7) == 2, order=order, k=5.0, block_bytes=block).collect()
-        toks = [(r["doc_id"], ngramlm.tokens((r["text"] or "").encode())) for r in rows]
-        train = [t for i, t in toks if crc_mod_py(i, 7) != 2]
-        count = Counter(tuple(t[i : i + n]) for t in train for n in range(1, order + 1) for i in range(len(t) - n + 1))
-        total, types = sum(map(len, train)), sum(len(g) == 1 for g in count)
-
-        def p(gram):
-            if len(gram) == 1:
-                return (count[gram] + 1) / (total + types + 1)
-            return (count[gram] + 5.0 * p(gram[1:])) / (count[gram[:-1]] + 5.0)
-
-        want = sorted((i if i is not None else -1, sum(np.log10(p(tuple(t[max(0, j - order + 1) : j + 1]))) for j in range(len(t))), sum(np.log10(p((w,))) for w in t), len(t), sum(count[(w,)] > 0 for w in t)) for i, t in toks)
-        have = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"], r["base_score"], r["n_tokens"], r["n_known"]) for r in got)
-        assert [(w[0], *w[3:]) for w in want] == [(h[0], *h[3:]) for h in have]
-        assert np.allclose([w[1:3] for w in want], [h[1:3] for h in have])
-        assert {r["train_tokens"] for r in got} == {total}
-
-
-def test_lm_has_a_weight_for_each_length_of_history(spark):
-    rows = [(i, t) for i, t in enumerate(["a b c a b d", "a b c", "b c a b c d", "a b d c"] * 3)]
-    got = {r["doc_id"]: r["score"] for r in ngramlm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), lambda c: c < 0).collect()}
-    toks = [ngramlm.tokens(t.encode()) for _, t in rows]
-    count = Counter(tuple(t[i : i + n]) for t in toks for n in (1, 2, 3) for i in range(len(t) - n + 1))
-    total, types = sum(map(len, toks)), sum(len(g) == 1 for g in count)
+def words_of(text):
+    """Words between blanks, A-Z lower-cased, and the end."""
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w] + [" "]
+
+
+def plain_lm(rows, held_out, order, k):
+    """(id, log10 probability, base, tokens, known tokens) of each row by dictionaries of word tuples; training tokens."""
+    toks = [(i, words_of(t)) for i, t in rows]
+    train = [t for i, t in toks if not held_out(i)]
+    count = Counter(tuple(t[i : i + n]) for t in train for n in range(1, order + 1) for i in range(len(t) - n + 1))
+    total, types = sum(map(len, train)), sum(len(g) == 1 for g in count)
 
     def p(gram):
         if len(gram) == 1:
             return (count[gram] + 1) / (total + types + 1)
-        k = ngramlm.K[len(gram) - 2]
-        return (count[gram] + k * p(gram[1:])) / (count[gram[:-1]] + k)
-
-    assert all(got[i] == pytest.approx(sum(np.log10(p(tuple(t[max(0, j - 2) : j + 1]))) for j in range(len(t)))) for i, t in enumerate(toks))
-
-
-def test_lm_sums_to_one_and_beats_the_base(spark, docs, empty):
-    words = [b"a", b"b", b"c"]
-    h = {w: np.uint64(i + 1) for i, w in enumerate([*words, ngramlm.END])}
-    texts = [np.array([h[w] for w in t], np.uint64) for t in ([b"a", b"b", ngramlm.END], [b"a", b"c", b"a", b"b", ngramlm.END])]
-    flat = [np.concatenate([g for t in texts for g in [ngramlm.gram_hashes(t, 2)[n]]]) for n in (0, 1)]
-    have = [dict(zip(*map(np.ndarray.tolist, np.unique(f, return_counts=True)))) for f in flat]
-    counts = lambda n, grams: np.array([have[n - 1].get(g, 0) for g in grams.tolist()])
-    ask = np.array([[h[b"a"], x] for x in h.values()], np.uint64)
-    made, coded, _ = ngramlm.automaton([*texts, *ask], counts, 2, 3.0, 8, 4)
-    coded = [c.tolist() for c in coded]
-    first = made.score(coded[0][:1])
-    assert sum(10 ** (made.score(c) - first) for c in coded[2:]) + 10 ** (made.score([999]) + made.fail[made.arcs[coded[0][0]][1]][0]) == pytest.approx(1.0)
+        return (count[gram] + k[len(gram) - 2] * p(gram[1:])) / (count[gram[:-1]] + k[len(gram) - 2])
+
+    out = [(i if i is not None else -1, sum(np.log10(p(tuple(t[max(0, j - order + 1) : j + 1]))) for j in range(len(t))), sum(np.log10(p((w,))) for w in t), len(t), sum(count[(w,)] > 0 for w in t)) for i, t in toks]
+    return sorted(out), total
+
+
+def told_lm(df):
+    got = df.collect()
+    return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"], r["base_score"], r["n_tokens"], r["n_known"]) for r in got), {r["train_tokens"] for r in got}
+
+
+@pytest.mark.parametrize(("order", "k", "block", "cell", "fan", "region"), [(2, (5.0,), 20_000, 1 << 22, 12, 1024), (3, (7.0, 5.0), 1 << 22, 1 << 22, 12, 1024), (3, (6400.0, 5.0), 20_000, 500, 2, 3), (4, (5.0, 3.0, 1.0), 9_000, 400, 1, 2)])
+def test_lm_against_a_plain_model(spark, docs, odd, monkeypatch, order, k, block, cell, fan, region):
+    """Also where cells are so many that blocks ask through regions, on two and on several levels."""
+    for name, value in (("CELL_GRAMS", cell), ("FAN", fan), ("REGION", region), ("LANE", 100)):
+        monkeypatch.setattr(ngramlm, name, value)
+    rows = docs.select("doc_id", "text").limit(60).collect() + odd.select("doc_id", "text").collect()
+    want, total = plain_lm(rows, lambda i: crc_mod_py(i, 7) == 2, order, k)
+    table = odd.select("doc_id", "text").limit(0).unionByName(spark.createDataFrame(rows, "doc_id long, text string")).withColumns({"block": F.lit(1), "asker": F.lit(2), "train": F.lit(True), "cell": F.lit(3), "ids": F.lit("x")})
+    have, totals = told_lm(ngramlm.score_texts(table, lambda c: crc_mod(c, 7) == 2, order=order, k=k, block_bytes=block))
+    assert [(w[0], *w[3:]) for w in want] == [(h[0], *h[3:]) for h in have]
+    assert np.allclose([w[1:3] for w in want], [h[1:3] for h in have])
+    assert totals == {total}
+
+
+def test_lm_gives_probabilities_that_add_up_to_one():
+    """After each history of the texts, and after ones that were never seen."""
+    texts = ["a b c a b d", "a b c", "b c a b c d", "d"]
+    vocabulary = sorted({w for t in texts for w in words_of(t)})
+    asks = [[*h, w] for h in ([], ["a"], ["a", "b"], ["c", "d"], ["d", "d"], ["b", "zz"]) for w in [*vocabulary, "new"]]
+    number = {w: i for i, w in enumerate(sorted({w for t in [*map(words_of, texts), *asks] for w in t}))}
+    all_ = [*map(words_of, texts), *asks]
+    gram, count, grams = {}, Counter(), []
+    for n in (1, 2, 3):
+        row = []
+        for i, t in enumerate(all_):
+            for j in range(len(t)):
+                g = tuple(t[j : j + n])
+                row.append(gram.setdefault(g, len(gram)) if len(g) == n else -1)
+                count[g] += i < len(texts) and len(g) == n
+        grams.append(np.array(row)[: len(row) - n + 1])
+    counts = np.array([count[g] for g in gram])
+    total, types = sum(len(words_of(t)) for t in texts), len(vocabulary)
+    made = ngramlm.Automaton(grams, counts, (3.0, 2.0), total, types)
+    score = made.score(grams[0], np.array(list(map(len, all_))))
+    assert number and len(score) == len(all_)
+    for at in range(len(texts), len(all_), len(vocabulary) + 1):
+        h = all_[at][:-1]
+        before = made.score(np.array([gram[(w,)] for w in h], np.int64), np.array([len(h)]))[0] if h else 0.0
+        assert sum(10 ** (score[at : at + len(vocabulary) + 1] - before)) == pytest.approx(1.0)
+
+
+def test_lm_runs_a_text_alike_in_one_lane_and_in_many(docs, monkeypatch):
+    words, size = ngramlm.tokens([r["text"].encode() for r in docs.limit(30).collect()])
+    grams, own = ngramlm.numbered(ngramlm.Keys(10_000, 3)(words, size))
+    counts = np.bincount(np.concatenate([g[g >= 0] for g in grams]), minlength=len(own)) // 2
+    made = ngramlm.Automaton(grams, counts, (9.0, 4.0), len(words), 1000)
+    want = made.score(grams[0], size)
+    monkeypatch.setattr(ngramlm, "LANE", 3)
+    assert np.allclose(made.score(grams[0], size), want)
+
+
+def test_lm_beats_the_base(spark, docs, empty):
     held = ngramlm.score_texts(docs, lambda c: crc_mod(c, 7) == 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
     assert ngramlm.score_texts(empty, lambda c: crc_mod(c, 7) == 2).count() == 0
 
 
+def test_word_hashes_tell_words_apart():
+    span = common._SPAN
+    for texts in ([b"The cat\tsat  on THE mat ", b"", b" \n ", b"cat" * 3 + b" x", b"the"], [b"a b" + b"q" * (3 * span + 5) + b" c", b"b" + b"q" * (3 * span + 5)]):
+        got, size = common.word_hashes(texts)
+        words = [w for t in texts for w in t.lower().split()]
+        assert size.tolist() == [len(t.split()) for t in texts]
+        known = {}
+        assert all(known.setdefault(w, h) == h for w, h in zip(words, got.tolist())) and len(set(known.values())) == len(known)
+
+
 # 3
 
 def test_licences(spark, odd, empty):
