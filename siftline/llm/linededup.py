@@ -28,21 +28,21 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and empty texts are one empty line. Repeated rows keep one row each; an id with several texts has
     each of them treated alone but counts as one document. An empty table gives no rows.
 
-    Only hashes and positions are shuffled for the count; the texts move once, to meet the positions of their
-    lines that go. Distinct counts are aggregated before each shuffle, so a line in every document is no hot key.
+    Only hashes and positions are shuffled for the count; the texts move once, as lines, to meet the positions of
+    those that go. Distinct counts are aggregated before each shuffle, so a line in every document is no hot key.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *([F.struct(*(docs[c] for c in carry)).alias("row")] if carry else []))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    lines = rows.select("doc_id", "mark", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("pos", "line")).select("doc_id", "mark", "pos", F.btrim("line", F.lit(_BLANK)).alias("key"))
+    # the lines are a column below the joins: above them each use would split the text anew
+    rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", "\n").alias("parts"), *(["row"] if carry else []))
+    lines = rows.select("doc_id", "mark", F.posexplode("parts").alias("pos", "line")).select("doc_id", "mark", "pos", F.btrim(ascii_lower(F.col("line")), F.lit(_BLANK)).alias("key"))
     lines = lines.where(F.length("key") >= min_chars).select("doc_id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     common = lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= min_docs).select(anew("h1"), anew("h2"))
     gone = lines.join(common, ["h1", "h2"]).groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "gone")
     met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
-    return met.select("doc_id", text.alias("text"), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), *(["row"] if carry else []))
+    left = F.array_except(F.sequence(F.lit(1), F.size("parts")), F.transform("gone", lambda i: i + 1))
+    kept = F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.transform(left, lambda i: F.element_at("parts", i)))
+    return met.select("doc_id", F.array_join(kept, "\n").alias("text"), F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), *(["row"] if carry else []))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -345,16 +346,72 @@ def test_language_id(spark, odd, empty):
     kinds = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd).collect()}
     assert kinds[1] == kinds[2] == kinds[4] == "und" and set(kinds.values()) <= {"en", "fr", "de", "und"}
     assert langid.identify(empty).count() == 0
-    assert {r["lang_pred"] for r in langid.predict(odd.select("doc_id", "text"), {}).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.predict(odd.select("doc_id", "text"), langid.learn(odd.limit(0))).collect()} == {"und"}
 
 
 def test_profiles_by_hand():
-    counts, grams, some = langid.count_grams(["Ab a", "1 2", ""])
+    owner, gram, alphabet, some = langid.trigrams(["Ab a", "1 2", ""])
     assert some.tolist() == [True, False, False]
-    v = langid.trigram_vectors(grams, 64)
+    (first, last, counts, kinds), = langid.tables(owner, gram, alphabet, 0, 3)
+    v = langid.trigram_vectors(kinds, 64)
     letter = {c: langid._letter_vector(c, 64) for c in (0, 97, 98)}
     want = sum(np.roll(letter[a], 2) * np.roll(letter[b], 1) * letter[c] for a, b, c in ((0, 97, 98), (97, 98, 0), (0, 97, 0)))
-    assert (counts[0] @ v == want).all()
+    assert (first, last) == (0, 3) and (counts[0] @ v == want).all()
+
+
+def plain_languages(rows, dim=langid.DIM):
+    """id to (label, cosine) from rows (id, text, lang): bundles added up trigram by trigram, compared one by one."""
+    def bundle(text):
+        spaced = " ".join("".join(c if c.isalpha() else " " for c in f" {text or ''} ").split(" "))
+        low = [c.lower() if len(c.lower()) == 1 and c.lower().isalpha() else c for c in re.sub(" +", " ", spaced)]
+        grams = Counter(zip(low, low[1:], low[2:]))
+        v = np.zeros(dim)
+        for (a, b, c), n in grams.items():
+            if b != " ":
+                x, y, z = (langid._letter_vector(0 if ch == " " else ord(ch), dim).astype(float) for ch in (a, b, c))
+                v += n * np.roll(x, 2) * np.roll(y, 1) * z
+        return v
+
+    sums = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and crc_mod_py(i, 4) != 2:
+            sums[lang] = sums.get(lang, 0) + bundle(text)
+    sums = {k: v for k, v in sums.items() if v.any()}
+    out = {}
+    for i, text, _ in rows:
+        v = bundle(text)
+        cos = {k: float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)) for k, s in sums.items()} if v.any() else {}
+        best = max(sorted(cos), key=cos.get, default="und")
+        out[i] = (best, max(0.0, cos.get(best, 0.0)), sorted(cos.values())[-2:] if len(cos) > 1 else [0, 1])
+    return out
+
+
+@pytest.mark.parametrize(("langs", "cells"), [(1000, 4_000_000), (2, 20_000)])
+def test_languages_against_plain_bundles(spark, docs, odd, monkeypatch, langs, cells):
+    """Also with prototypes in blocks, and with tables so small that texts are counted in halves."""
+    monkeypatch.setattr(langid, "LANGS", langs)
+    monkeypatch.setattr(langid, "_CELLS", cells)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.limit(120).collect()] + [(9000 + i, t, lang) for i, t, lang, _ in ODD if i not in (None, 5, 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "lang_pred": F.lit(1), "trigrams": F.lit(2), "v": F.lit(3), "i": F.lit(4)})
+    got = {r["doc_id"]: r for r in langid.identify(table).collect()}
+    for i, (lang, cos, two) in plain_languages(rows).items():
+        assert got[i]["score"] == pytest.approx(cos, abs=1e-5)
+        assert got[i]["lang_pred"] == lang or two[-1] - two[-2] < 1e-5
+
+
+def test_many_short_texts_of_a_large_script_take_little_memory():
+    rng = np.random.default_rng(0)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 100))) for _ in range(10_000)]
+    tracemalloc.start()
+    done = 0
+    for part in (texts[i : i + 3400] for i in range(0, 10_000, 3400)):
+        owner, gram, alphabet, _ = langid.trigrams(part)
+        for first, last, counts, kinds in langid.tables(owner, gram, alphabet, 0, len(part)):
+            assert counts.size <= langid._CELLS
+            done += int(counts.sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == 100 * 10_000 and peak < 500 << 20
 
 
 # 9
