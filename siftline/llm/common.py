@@ -94,6 +94,25 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SL
             start = stop
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Rows sorted by a column as tables that end where its value changes: small groups come together, none is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        value = batch.column(by).to_numpy()
+        if held and len(value) and held[-1].column(by)[-1].as_py() != value[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        # all before the last value is whole
+        cut = int(np.searchsorted(value, value[-1], side="left")) if len(value) else 0
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        if len(value):
+            held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     """UTF-8 of each text; null is the empty text."""
     return [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]

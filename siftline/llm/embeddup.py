@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, anew, checkpoint
+from .common import Forest, anew, checkpoint, whole_groups
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -30,60 +31,115 @@ def _planes(dim: int, n: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
 
+def _matrices(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, rows of doubles) of the vectors that can link, for each length: all components finite, not all zero."""
+    size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)  # null components are NaN
+    first = np.cumsum(size) - size
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        x = flat[first[at][:, None] + np.arange(n)]
+        ok = np.isfinite(x).all(1) & (x != 0).any(1)
+        yield at[ok], x[ok]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # no overflow
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _keys(unit: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of rows, one column for each table."""
+    return (unit @ planes > 0).reshape(len(unit), -1, bits) @ (1 << np.arange(bits))
+
+
 def sign(vectors: DataFrame, bits: int, n_tables: int, seed: int = 0) -> DataFrame:
-    """vectors: vec_id, v array<double>. Rows (vec_id, mark, unit, keys); mark is null where a vector can't link.
+    """vectors: vec_id, v array<double>. Rows (vec_id, mark, v binary, keys); mark is null where a vector can't link.
 
-    unit: the vector at length one, as packed doubles; keys: its bucket in each table.
+    v: 4 and the vector as packed singles if they hold it exactly, else 8 and doubles; keys: its bucket in each table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(bits)
         for batch in batches:
-            marks, units, keys = [], [], []
-            for v in batch.column("v").to_pylist():
-                x = np.array([np.nan if c is None else c for c in v], float) if v else np.zeros(0)
-                big = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
-                if not big:
-                    marks.append(None), units.append(None), keys.append(None)
+            n = batch.num_rows
+            marks, packed, keys = [None] * n, [None] * n, [None] * n
+            for at, x in _matrices(batch.column("v")):
+                if x.shape[1] not in planes:
+                    planes[x.shape[1]] = _planes(x.shape[1], bits * n_tables, seed)
+                own = _keys(_unit(x), planes[x.shape[1]], bits)
+                x = x + 0.0  # no negative zero
+                single = (x.astype("<f4") == x).all(1)
+                for i, row, small, k in zip(at.tolist(), x, single.tolist(), own):
+                    marks[i], keys[i] = xxhash.xxh3_128_digest(row.tobytes()), k
+                    packed[i] = b"\x04" + row.astype("<f4").tobytes() if small else b"\x08" + row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(marks, pa.binary()), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "mark", "v", "keys"])
+
+    return vectors.mapInArrow(run, "vec_id long, mark binary, v binary, keys array<long>")
+
+
+def _opened(packed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) for each length of packed vectors."""
+    kind = np.array([len(v) * 16 + v[0] for v in packed])
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for k in np.unique(kind).tolist():
+        at = np.flatnonzero(kind == k)
+        raw = np.frombuffer(b"".join([packed[i] for i in at]), np.uint8).reshape(len(at), -1)[:, 1:]
+        x = np.ascontiguousarray(raw).view(f"<f{k % 16}").astype(float)
+        found.setdefault(x.shape[1], []).append((at, x))
+    for parts in found.values():
+        at, x = (np.concatenate(p) for p in zip(*parts))
+        order = np.argsort(at)
+        yield at[order], _unit(x[order])
+
+
+def _compare(threshold: float, bits: int, n_tables: int, seed: int = 0):
+    """Rows (cls, n, null, null): how many ids a class links with; (null, 0, a, b): links that hold classes together.
+
+    Rows come sorted by cell, which is a bucket's block or pair of blocks. A pair counts in the first table that it shares.
+    """
+    planes: dict[int, np.ndarray] = {}
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        cell, table, key, x, y, block, cls, weight = (t.column(c).to_numpy() for c in ("cell", "t", "k", "x", "y", "block", "cls", "copies"))
+        n, links = np.zeros(len(cell)), []
+        for at, unit in _opened(t.column("v").to_pylist()):  # vectors of unequal length link with nothing
+            own = cell[at]
+            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a < 2:
+                    continue
+                i, j = np.nonzero(np.triu(unit[a:b] @ unit[a:b].T >= threshold, 1))
+                if not len(i):
+                    continue
+                p = at[a:b]
+                u, w = p[i], p[j]
+                # a cell is a hash, which two buckets may share; a pair of blocks compares across only
+                ok = (table[u] == table[w]) & (key[u] == key[w]) & (x[u] == x[w]) & (y[u] == y[w]) & ((x[u] == y[u]) | (block[u] != block[w]))
+                i, j = i[ok], j[ok]
+                if not len(i):
                     continue
-                if len(x) not in planes:
-                    planes[len(x)] = _planes(len(x), bits * n_tables, seed)
-                u = x / big  # no overflow
-                u = u / np.sqrt(u @ u)
-                marks.append(xxhash.xxh3_128_digest((x + 0.0).tobytes()))
-                units.append(u.tobytes())
-                keys.append(((u @ planes[len(x)]).reshape(n_tables, bits) > 0) @ weights)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(marks, pa.binary()), pa.array(units, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "mark", "unit", "keys"])
-
-    return vectors.mapInArrow(run, "vec_id long, mark binary, unit binary, keys array<long>")
-
-
-def _buckets(threshold: float):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (x, y) = key[0].as_py(), (k.as_py() for k in key[2:])
-        t = pa.Table.from_batches(batches)
-        size = np.array([len(u) for u in t.column("unit").to_pylist()])
-        out_id, out_n, out_a, out_b = [], [], [], []
-        for width in np.unique(size):  # vectors of unequal length link with nothing
-            own = t.take(np.flatnonzero(size == width))
-            ids, weight, block = (own.column(c).to_numpy() for c in ("id", "copies", "block"))
-            unit = np.frombuffer(b"".join(own.column("unit").to_pylist())).reshape(len(ids), -1)
-            keys = np.array(own.column("keys").to_pylist()).reshape(len(ids), -1)
-            i, j = np.nonzero(unit @ unit.T >= threshold)
-            ok = (i < j) & ((block[i] != block[j]) if x != y else True)
-            i, j = i[ok], j[ok]
-            first = ~(keys[i, :table] == keys[j, :table]).any(1)  # each pair in the first table it shares
-            i, j = i[first], j[first]
-            n = np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j, weights=weight[i], minlength=len(ids))
-            forest = Forest(len(ids))
-            kept = [(ids[a], ids[b]) for a, b in zip(i.tolist(), j.tolist()) if forest.join(a, b)]
-            some = np.flatnonzero(n)
-            out_id += ids[some].tolist() + [a for a, _ in kept]
-            out_n += n[some].astype(int).tolist() + [0] * len(kept)
-            out_a += [None] * len(some) + [a for a, _ in kept]
-            out_b += [None] * len(some) + [b for _, b in kept]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (out_id, out_n, out_a, out_b)], ["id", "n", "a", "b"])
+                first = int(table[p[i[0]]])
+                if first:
+                    width = unit.shape[1]
+                    if width not in planes:
+                        planes[width] = _planes(width, bits * n_tables, seed)
+                    some = np.unique(np.concatenate([i, j]))
+                    keys = np.zeros((b - a, first), np.int64)
+                    keys[some] = _keys(unit[a:b][some], planes[width][:, : bits * first], bits)
+                    new = ~(keys[i] == keys[j]).any(1)
+                    i, j = i[new], j[new]
+                np.add.at(n, p[i], weight[p[j]])
+                np.add.at(n, p[j], weight[p[i]])
+                forest = Forest(b - a)
+                links += [(int(cls[p[c]]), int(cls[p[d]])) for c, d in zip(i.tolist(), j.tolist()) if forest.join(c, d)]
+        some = np.flatnonzero(n)
+        out = [*zip(cls[some].tolist(), n[some].astype(int).tolist(), [None] * len(some), [None] * len(some)), *((None, 0, a, b) for a, b in links)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["cls", "n", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "cell"):
+            yield pairs(t)
 
     return run
 
@@ -94,31 +150,36 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Vectors link if their cosine in double precision is threshold or more. Null, empty and zero vectors and
     those with null or non-finite components link with nothing, as do vectors of unequal lengths and null ids
     (whose component is null; they are kept). Equal vectors are one class with a number of ids, so copies are
-    never paired; rows that repeat an id and its vector count once. The number of hash bits follows the number
-    of rows (about 128 vectors a bucket), the number of tables the recall at the threshold. A bucket is
-    compared in pairs of blocks; a task returns counts and a spanning forest, not its pairs.
+    never paired; rows that repeat an id and its vector count once. Rows that repeat an id with other vectors
+    each have the links and the component of their own vector. An empty table gives no rows, other columns are not
+    read. The number of hash bits follows the number of rows (about 128 vectors a bucket), the number of tables
+    the recall at the threshold. A bucket is compared in pairs of blocks; a task returns counts and a spanning
+    forest, not its pairs.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("v"))
     bits = bits or max(4, math.ceil(math.log2(max(1, rows.count() / 128))))
-    signed = checkpoint(sign(rows, bits, tables(bits, threshold, recall)))
+    n_tables = tables(bits, threshold, recall)
+    signed = checkpoint(sign(rows, bits, n_tables))
     has = signed.where("mark is not null and vec_id is not null")
     copies = has.select("mark", "vec_id").distinct().groupBy("mark").agg(F.count("*").alias("copies"), F.min("vec_id").alias("id"))
-    one = has.groupBy("mark").agg(F.first("unit").alias("unit"), F.first("keys").alias("keys"))
-    classes = checkpoint(copies.join(one, "mark"))
-    full = classes.select("id", "copies", "unit", "keys", F.posexplode("keys").alias("t", "k"))
-    sizes = classes.select(F.posexplode("keys").alias("t", "k")).groupBy("t", "k").count().where("count > 1")
+    one = has.groupBy("mark").agg(F.first("v").alias("v"), F.first("keys").alias("keys"))
+    # the numbers stand still once they are written
+    classes = checkpoint(copies.join(one, "mark").withColumn("cls", F.monotonically_increasing_id()))
+    buckets = classes.select("cls", F.posexplode("keys").alias("t", "k"))
+    sizes = buckets.groupBy("t", "k").count().where("count > 1")
     sizes = sizes.select("t", anew("k"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = full.join(sizes, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("t", "k", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "copies", "unit", "keys", "block")
-    found = checkpoint(paired.groupBy("t", "k", "x", "y").applyInArrow(_buckets(threshold), "id long, n long, a long, b long"))
-    links = found.groupBy("id").agg(F.sum("n").alias("links"))
-    roots = connected_components(found.where("a is not null"))
-    told = classes.select("mark", "id", "copies").join(links, "id", "left").join(roots, "id", "left")
-    told = told.select("mark", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
-    out = signed.select("vec_id", "mark").join(told, "mark", "left")
+    met = buckets.join(sizes, ["t", "k"]).join(classes.select("cls", "copies", "v"), "cls")
+    dealt = met.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("block", "other"), F.greatest("block", "other")
+    cells = dealt.select(F.xxhash64("t", "k", x, y).alias("cell"), "t", "k", x.alias("x"), y.alias("y"), "block", "cls", "copies", "v")
+    found = checkpoint(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(threshold, bits, n_tables), "cls long, n long, a long, b long"))
+    links = found.where("cls is not null").groupBy("cls").agg(F.sum("n").alias("links"))
+    roots = connected_components(found.where("a is not null")).select(F.col("id").alias("cls"), "root")
+    told = classes.select("mark", "id", "copies", "cls").join(links, "cls", "left").join(roots, "cls", "left").select("mark", "id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root"))
+    least = told.groupBy("root").agg(F.min("id").alias("component")).select(anew("root"), "component")
+    out = signed.select("vec_id", "mark").join(told.join(least, "root").select("mark", "n_links", "component"), "mark", "left")
     known = F.col("vec_id").isNotNull()
-    component = F.when(known, F.coalesce("root", "vec_id"))
+    component = F.when(known, F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -452,6 +452,48 @@ def test_embeddings(spark):
     assert embeddup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_links(rows, threshold=0.9):
+    """(links, component) of each row (id, vector) by its own vector: all pairs of distinct vectors, ids counted once each."""
+    classes = {}
+    for i, v in rows:
+        classes.setdefault(tuple(map(float, v)), set()).add(i)
+    vectors = list(classes)
+    u = [np.array(v) / np.linalg.norm(v) for v in vectors]
+    near = [[len(a) == len(b) and a @ b >= threshold for b in u] for a in u]
+    up = [min(classes[v]) for v in vectors]
+    for _ in vectors:
+        up = [min(up[j] for j in range(len(up)) if near[i][j]) for i in range(len(up))]
+    at = {v: k for k, v in enumerate(vectors)}
+    return [(i, sum(len(classes[vectors[j]]) for j in range(len(u)) if near[k][j]) - 1, up[k]) for i, v in rows for k in [at[tuple(map(float, v))]]]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_in_blocks_and_repeated_ids(spark, monkeypatch, kind):
+    """Buckets in many pairs of blocks, ids that repeat with other vectors, two lengths, columns that clash."""
+    monkeypatch.setattr(embeddup, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((9, 12))
+    v = [np.float32(base[i % 9] + 0.25 * rng.standard_normal(12)) if kind == "float" else base[i % 9] + 0.25 * rng.standard_normal(12) for i in range(120)]
+    rows = [(i % 110, x.tolist()) for i, x in enumerate(v)] + [(200 + i, v[0].tolist()[:5]) for i in range(3)] + [(3, v[40].tolist()), (300, v[5].tolist())]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumns({c: F.lit("x") for c in ("mark", "v", "keys", "cls", "id", "t", "k", "block", "cell", "copies")})
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in embeddup.near_duplicates(table, recall=0.9999999, bits=2).collect()]
+    assert sorted(got) == sorted(brute_links(rows))
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    """2,000 pairs of cosine 0.90 to 0.91 at default settings."""
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = rng.uniform(0.9001, 0.91, (2000, 1))
+    pairs = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(pairs)], "vec_id long, embedding array<double>")
+    found = embeddup.near_duplicates(table).where("n_links = 1 and component_id = vec_id % 2000").count()
+    assert found >= 0.998 * 4000
+
+
 # the pipeline
 
 def test_pipeline_against_plain_python(spark):
