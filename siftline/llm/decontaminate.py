@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import checkpoint, slices, texts_of
 
 WINDOW = 10
 #: Bytes of item texts in one automaton; a larger benchmark is dealt into several, each with a scan of its own.
@@ -36,6 +36,35 @@ def _sign(i: int) -> str:
     return chr(i + 2 if i + 2 < 0xD800 else i + 2 + 0x800)
 
 
+def pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """Rows (item, text): items cut into pieces of about ``most`` bytes that have all their windows, and no others.
+
+    A piece repeats the last window - 1 words of the one before. An item of ``most`` bytes or fewer is one piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=most):
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), texts_of(batch)):
+                if len(text) <= most:
+                    out.append((item, text))
+                    continue
+                held, size = [], 0
+                for w in words(text):
+                    if size + len(w) + 1 > most and len(held) >= window:
+                        out.append((item, b" ".join(held)))
+                        held = held[len(held) - window + 1 :]
+                        size = sum(map(len, held)) + len(held)
+                    held.append(w)
+                    size += len(w) + 1
+                # fewer words than a window are one only if they are all the item has
+                if len(held) >= window or not out or out[-1][0] != item:
+                    out.append((item, b" ".join(held)))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.string()), pa.array([t for _, t in out], pa.binary())], ["item", "text"])
+
+    return items.mapInArrow(run, "item string, text binary")
+
+
 def build(items: list[tuple[str, bytes]], window: int = WINDOW) -> tuple:
     """(word to sign, automaton or None): a pattern's value is (its length, the items that have it)."""
     signs: dict[bytes, str] = {}
@@ -90,19 +119,23 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     spans: hit stretches as structs (start, end) of word positions; items: ids of the items found, as strings
     in order. Null or empty texts have no words; items without words match nothing; repeated items count once
-    by id; an item with a null id is left out. The items of one automaton have a bounded number of bytes:
-    where the table has more, blocks of items are scanned for one after the other.
+    by id; an item with a null id is left out. Repeated rows are scanned alike, an empty table gives no rows.
+    The items of one automaton have a bounded number of bytes: where the benchmark has more, its items (long ones in
+    pieces) are dealt into blocks, which are scanned for one after the other, with what was found kept in between.
     """
     items = benchmark.select(benchmark[item_id].cast("string").alias("item"), benchmark[item_text].cast("string").alias("text")).where("item is not null and text is not null")
+    items = pieces(items, window, max(1, block_bytes // 8))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
+    # pieces are dealt by a hash, so half a block's room is left for its chance of more
+    blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
+    items = checkpoint(items) if blocks > 1 else items
     out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.struct(*(docs[c] for c in carry or [id_col])).alias("row"))
     schema = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     schema = T.StructType([*T.StructType.fromDDL(schema).fields, out.schema["row"]])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item"], r["text"].encode()) for r in rows]))
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item"], bytes(r["text"])) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=k == blocks - 1) -> Iterator[pa.RecordBatch]:
             name, own = shared.value
@@ -121,6 +154,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(who, pa.list_(pa.string())), batch.column("row")], ["doc_id", "text", "n_words", "spans", "items", "row"])
 
         out = out.mapInArrow(run, schema)
+        if k < blocks - 1:  # so that the driver and the tasks hold one block at a time
+            out = checkpoint(out)
+            shared.unpersist()
     return out.drop("text") if carry else out.drop("text", "row")
 
 

@@ -6,8 +6,9 @@ two of its places, which are chosen by the node's own hash, so that classes with
 child. Small nodes are compared exhaustively (by sketch), large ones branch on. Two sets of Jaccard
 similarity s stay together in some node of a tree with probability 1 - q, q = (1 - s + s*q)^2 (0.97 at 0.85)
 at any depth, and independent trees are repeated up to the target recall. Large nodes whose members are alike
-on average leave the tree as candidate groups, as do nodes that are still large at the last depth. Candidate groups are then confirmed on the full sets, large ones
-in pairs of blocks; nothing is linked by its sketch.
+on average leave the tree as candidate groups, as do nodes that are still large at the last depth: what members share
+would carry them on together for ever. Candidate groups are then confirmed on the full sets, whatever their size;
+nothing is linked by its sketch.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, WordHashes, anew, checkpoint, id_and_text, mix, slices, texts_of
+from .common import Forest, anew, checkpoint, distinct, id_and_text, mix, slices, texts_of, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -56,11 +57,13 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
         out = mix(hashes[: len(hashes) - m + 1])
         for i in range(1, m):
             out = mix(out * np.uint64(3) + hashes[i : len(hashes) - m + 1 + i])
-        return np.unique(out + np.uint64(n - m))
+        return distinct(out + np.uint64(n - m))
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes, n: int) -> list[np.ndarray]:
-    return [shingles(hashes.array(t.lower().split()), n) for t in texts]
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    words, size = word_hashes(texts)
+    ends = np.cumsum(size).tolist()
+    return [shingles(words[a:b], n) for a, b in zip([0, *ends], ends)]
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -80,9 +83,8 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
     """Rows (doc_id, n_shingles, mark binary, sketch array<int>); mark and sketch are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches, size=1 << 20):
-            sets = shingle_sets(texts_of(batch), hashes, n)
+            sets = shingle_sets(texts_of(batch), n)
             some = [s for s in sets if len(s)]
             values = sketches(some).view(np.int32) if some else np.zeros((0, K), np.int32)
             ends = np.concatenate([[0], np.cumsum([K if len(s) else 0 for s in sets])]).astype(np.int32)
@@ -179,36 +181,69 @@ def candidates(classes: DataFrame, threshold: int, recall: float = RECALL) -> Da
     return out
 
 
-def confirm(docs: DataFrame, groups: DataFrame, n: int, threshold: int) -> DataFrame:
-    """Links (a, b) of Jaccard similarity threshold % or more on full sets that hold linked texts together.
+def _links_of(docs: DataFrame, parts: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Rows (root, a, b): links of Jaccard similarity threshold % or more on full sets, for each part of a group.
 
-    groups: id, root, n_shingles, mark. Each block, and each pair of blocks of a group, is one task's work.
+    parts: root, x, y, id, mark, new. All pairs of a part with a new text count; the links hold what they link together.
     """
-    total = groups.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n_shingles").alias("shingles")).select(anew("root"), "texts", "shingles")
-    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    dealt = groups.join(total, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
-    met = docs.join(dealt, docs["doc_id"] == dealt["id"]).select("id", "root", "mark", "block", "blocks", "text")
-    paired = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "mark", "text")
+    met = docs.join(parts, docs["doc_id"] == parts["id"]).select("root", "x", "y", "new", "id", "mark", "text")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets, ids, seen = WordHashes(), [], [], set()
+        rows, seen = [], set()
         for batch in batches:
             for part in slices([batch]):
-                for i, mark, s in zip(part.column("id").to_pylist(), part.column("mark").to_pylist(), shingle_sets(texts_of(part), hashes, n)):
+                for i, mark, new, s in zip(part.column("id").to_pylist(), part.column("mark").to_pylist(), part.column("new").to_pylist(), shingle_sets(texts_of(part), n)):
                     # an id that is repeated with other texts brings those along
                     if len(s) and (i, mark) not in seen and xxhash.xxh3_128_digest(s.tobytes()) == mark:
                         seen.add((i, mark))
-                        ids.append(i)
-                        sets.append(s)
-        links = [(ids[i], ids[j]) for i, j in linked(sets, threshold)]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+                        rows.append((new, i, s))
+        rows.sort(key=lambda r: r[0])
+        links = [(rows[i][1], rows[j][1]) for i, j in linked([s for *_, s in rows], threshold, sum(not new for new, *_ in rows))]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(links), pa.int64()), pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["root", "a", "b"])
+
+    return met.groupBy("root", "x", "y").applyInArrow(run, "root long, a long, b long")
+
 
-    return paired.groupBy("root", "x", "y").applyInArrow(run, "a long, b long")
+def _blocks(texts: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(texts) / BLOCK_TEXTS), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
-def linked(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Links that make up the components of the sets' similarity graph, each by exact intersection."""
+def confirm(docs: DataFrame, groups: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Links (a, b) of Jaccard similarity threshold % or more on full sets that hold linked texts together.
+
+    groups: id, root, n_shingles, mark. A group is dealt into blocks. First each block is compared with itself and
+    with the group's first block, so that each text moves twice at most: near copies are one component then, however
+    many they are. Only where a group is not, texts outside its largest component are compared with all others, in
+    pairs of blocks; those of the first block have met all others already.
+    """
+    total = groups.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n_shingles").alias("shingles")).select(anew("root"), _blocks("texts", "shingles").alias("blocks"))
+    dealt = groups.join(total, "root").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
+    with_first = F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("y")
+    first = checkpoint(_links_of(docs, dealt.select("root", F.lit(0).alias("x"), "id", "mark", "block", with_first).withColumn("new", F.col("block") == F.col("y")), n, threshold))
+    many = dealt.where("blocks > 1")
+    if not many.limit(1).count():
+        return first.select("a", "b")
+    known = connected_components(first.join(many.select(anew("root")).distinct(), "root", "left_semi")).select("id", F.col("root").alias("part"))
+    parted = many.join(known, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    sizes = parted.groupBy("root", "part").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("part", "size").alias("core"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = checkpoint(parted.where("block > 0").join(sizes.select(anew("root"), "core"), "root").withColumn("rest", F.col("part") != F.col("core")))
+    if not open_.where("rest").limit(1).count():
+        return first.select("a", "b")
+    size = lambda name, of: F.count_if(of).alias(f"{name}_texts"), lambda name, of: F.sum(F.when(of, F.col("n_shingles")).otherwise(0)).alias(f"{name}_shingles")
+    both = [f(name, of) for name, of in (("rest", F.col("rest")), ("core", ~F.col("rest"))) for f in size]
+    counts = open_.groupBy("root").agg(*both).select(anew("root"), _blocks("rest_texts", "rest_shingles").alias("r"), _blocks("core_texts", "core_shingles").alias("c"))
+    met = open_.join(counts, "root")
+    # blocks 0 to r-1 are the rest's, those from r on the core's; each of the rest's meets all
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.when(F.col("rest"), F.col("r")).otherwise(F.col("c"))) + F.when(F.col("rest"), 0).otherwise(F.col("r"))
+    met = met.withColumn("own", own.cast("int")).withColumn("other", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("r") + F.col("c") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))))
+    pairs = met.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "mark", F.col("own").alias("block"))
+    later = _links_of(docs, pairs.select("root", "x", "y", "id", "mark", (F.col("block") == F.col("x")).alias("new")), n, threshold)
+    return first.union(later).select("a", "b")
+
+
+def linked(sets: list[np.ndarray], threshold: int, old: int = 0) -> list[tuple[int, int]]:
+    """Links that make up the components of the sets' similarity graph, each by exact intersection; none between the
+    first ``old`` sets."""
     n = len(sets)
     if n < 2:
         return []
@@ -228,7 +263,7 @@ def linked(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     by = np.argsort(owner, kind="stable")
     cuts = np.searchsorted(owner[by], np.arange(n + 1))
     forest, out = Forest(n), []
-    for i in range(n):
+    for i in range(old, n):
         if forest.parts == 1:
             break
         runs = run[by[cuts[i] : cuts[i + 1]]]

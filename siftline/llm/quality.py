@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_mod, id_and_text, mix, slices, texts_of
+from .common import WordHashes, checkpoint, crc_mod, distinct, id_and_text, mix, slices, texts_of
 
 BITS = 18
 #: The model is fitted on at most so many labelled rows, those first by a hash of their id; scoring covers all.
 SAMPLE = 12_000
+#: ... and on at most so many bytes of their indicators.
+SAMPLE_BYTES = 96 << 20
 CUT = 0.7
 _PARTS = re.compile(rb"^([^A-Za-z0-9\x80-\xff]*)(.*?)([^A-Za-z0-9\x80-\xff]*)$", re.S)
 
@@ -56,7 +58,7 @@ class Indicators:
             s[1:][w[1:] == w[:-1]] += np.uint64(12345)  # said again
             three = np.uint64(3)
             runs = [w, w[:-1] * three + mix(w[1:]), s * np.uint64(5), mix(s[:-1]) * three + s[1:], mix(mix(s[:-2]) + s[1:-1]) * three + s[2:]]
-        return np.unique(mix(np.concatenate([mix(r + np.uint64(i)) for i, r in enumerate(runs)])) >> self.shift).astype(np.uint32)
+        return distinct((mix(np.concatenate([mix(r + np.uint64(i)) for i, r in enumerate(runs)])) >> self.shift).astype(np.uint32))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, c: float = 1.0, epochs: int = 8, seed: int = 0) -> tuple[np.ndarray, float, float, float]:
@@ -106,11 +108,13 @@ def _curve(margin: np.ndarray, target: np.ndarray, steps: int = 50) -> tuple[flo
     return max(a, 0.1), b
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float, float, float]:
-    """Fit on labelled documents whose crc32(id) mod 4 is not 2, at most ``sample`` of them.
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, bits: int = BITS) -> tuple[np.ndarray, float, float, float]:
+    """Fit on labelled documents whose crc32(id) mod 4 is not 2: at most ``sample`` of them, whose indicator sets have at
+    most ``sample_bytes`` together, those first by a hash of their id.
 
-    docs: doc_id, text. Null labels and ids without a text row teach nothing; an id that is labelled more than
-    once counts once, with its smallest label. The sample's indicator sets have at most 2**bits places each.
+    docs: doc_id, text. Null labels and ids without a text row teach nothing; an id that is labelled more than once
+    counts once, with its smallest label, and so does one of several texts, with the set that sorts first. A set has at
+    most 2**bits places. Sets that don't fit are left out whole.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels[label_col].cast("int").alias("label")).where("label_id is not null and label is not null")
     known = known.where(crc_mod(F.col("label_id"), 4) != 2).groupBy("label_id").agg(F.min("label").alias("label"))
@@ -122,9 +126,18 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([make(t).astype("<u4").tobytes() for t in texts_of(batch)], pa.binary())], ["doc_id", "label", "places"])
 
-    got = found.mapInArrow(run, "doc_id long, label int, places binary").collect()
-    got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), bytes(r["places"])))
-    return fit([np.frombuffer(r["places"], "<u4") for r in got], np.array([r["label"] for r in got]), bits)
+    sets = checkpoint(found.mapInArrow(run, "doc_id long, label int, places binary").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("places").alias("places")))
+    # ``sample`` pairs of numbers at most
+    sizes = sorted(((xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"], r["n"]) for r in sets.select("doc_id", F.octet_length("places").alias("n")).collect()))
+    room, chosen = sample_bytes, []
+    for _, i, n in sizes:
+        if n <= room:
+            room -= n
+            chosen.append((i,))
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long")
+    got = {r["doc_id"]: r for r in sets.join(F.broadcast(chosen), "doc_id", "left_semi").collect()}
+    rows = [got[i] for _, i, _ in sizes if i in got]
+    return fit([np.frombuffer(r["places"], "<u4") for r in rows], np.array([r["label"] for r in rows]), bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float], cut: float = CUT, bits: int = BITS) -> DataFrame:
