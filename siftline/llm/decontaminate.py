@@ -115,7 +115,7 @@ def offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """Rows (doc_id, n_words, spans, items) for each row of docs, and with ``carry`` a struct ``row`` of those columns.
+    """Rows (doc_id, n_words, spans, items) for each row of docs, and with ``carry`` its text and a struct ``row`` of those columns.
 
     spans: hit stretches as structs (start, end) of word positions; items: ids of the items found, as strings
     in order. Null or empty texts have no words; items without words match nothing; repeated items count once
@@ -129,7 +129,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # pieces are dealt by a hash, so half a block's room is left for its chance of more
     blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     items = checkpoint(items) if blocks > 1 else items
-    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.struct(*(docs[c] for c in carry or [id_col])).alias("row"))
+    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"), (F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))).alias("row"))
     schema = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     schema = T.StructType([*T.StructType.fromDDL(schema).fields, out.schema["row"]])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -150,14 +150,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     counts.append(n)
                     spans.append(merge([*((s["start"], s["end"]) for s in old), *new]) if old else new)
                     who.append(sorted({*had, *found}))
-                text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column("text")
+                text = pa.nulls(batch.num_rows, pa.string()) if last and carry is None else batch.column("text")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(who, pa.list_(pa.string())), batch.column("row")], ["doc_id", "text", "n_words", "spans", "items", "row"])
 
         out = out.mapInArrow(run, schema)
         if k < blocks - 1:  # so that the driver and the tasks hold one block at a time
             out = checkpoint(out)
             shared.unpersist()
-    return out.drop("text") if carry else out.drop("text", "row")
+    return out.drop("text", "row") if carry is None else out
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

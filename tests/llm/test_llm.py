@@ -496,11 +496,20 @@ def test_planted_pairs_at_the_threshold_are_found(spark):
 
 # the pipeline
 
+def effective_trigrams(text):
+    """Square of the number of trigrams around letters over the sum of their squared counts."""
+    spaced = "".join(c if c.isalpha() else " " for c in f" {text or ''} ")
+    low = [c.lower() if len(c.lower()) == 1 and c.lower().isalpha() else c for c in re.sub(" +", " ", spaced)]
+    n = Counter(g for g in zip(low, low[1:], low[2:]) if g[1] != " ")
+    return sum(n.values()) ** 2 / max(1, sum(x * x for x in n.values()))
+
+
 def test_pipeline_against_plain_python(spark):
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    told = {r["doc_id"]: r for r in langid.identify(docs).collect()}
-    rows = {r["doc_id"]: r["text"] for r in docs.collect() if told[r["doc_id"]]["lang_pred"] != "und" and told[r["doc_id"]]["score"] >= corpus_pipeline.MIN_LANGUAGE_SCORE}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    told = plain_languages([(r["doc_id"], r["text"], r["lang"]) for r in docs])
+    least = lambda t: min(corpus_pipeline.MIN_LANGUAGE_SCORE, (effective_trigrams(t) / corpus_pipeline.REACH) ** 0.5 - corpus_pipeline.SPREAD)
+    rows = {r["doc_id"]: r["text"] for r in docs if told[r["doc_id"]][0] != "und" and told[r["doc_id"]][1] >= least(r["text"])}
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
     seen = Counter(k for t in rows.values() for k in {key(x) for x in t.split("\n")} if k)
     rows = {i: "\n".join(x for x in t.split("\n") if seen[key(x)] < 10) for i, t in rows.items()}
@@ -521,13 +530,79 @@ def test_short_documents_pass_the_language_stage(spark, docs):
     assert {r["doc_id"] for r in docs.where("text rlike '[A-Za-z]'").collect()} <= kept
 
 
-def test_stages_keep_columns_and_odd_rows(spark, odd):
+def test_stages_keep_columns_and_odd_rows(spark):
     table = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang, _ in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    table = table.withColumns({c: F.lit("x") for c in ("row", "mark", "score", "lang_pred", "trigrams", "spans", "items", "gone", "parts", "kept", "component_id", "n_words")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, table, SF)
-        assert out.columns == table.columns, name
+        assert out.columns == table.columns and out.dtypes == table.dtypes, name
         assert name == "language_id" or out.where("doc_id is null").count() == 1, name
         assert stage(spark, table.limit(0), SF).count() == 0, name
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, table, SF).count() == len(ODD) and stage(spark, table.limit(0), SF).count() == 0
+
+
+def test_long_items_in_pieces_have_the_same_windows(spark):
+    rng = np.random.default_rng(2)
+    item = " ".join(f"w{i}" for i in rng.integers(0, 5000, 4000))
+    for text in (item, "one two three", "a " * 9 + "a", ""):
+        df = spark.createDataFrame([("i", text)], "item string, text string")
+        cut = [r["text"] for r in decontaminate.pieces(df, 10, 700).collect()]
+        assert text is not item or len(cut) > 20
+        windows = lambda w: {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+        assert set().union(*(windows(decontaminate.words(bytes(c))) for c in cut)) == windows(decontaminate.words(text.encode()))
+
+
+def test_classifier_fit_against_a_plain_solver():
+    """Dual coordinate descent reaches the optimum of the hinge loss that plain subgradient steps find."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.concatenate([rng.integers(0, 64, 6), rng.integers(0, 32, 4) + 32 * (i % 2)])).astype(np.uint32) for i in range(120)]
+    labels = np.array([i % 2 if i % 11 else 1 - i % 2 for i in range(120)])
+    weights, bias, slope, _ = quality.fit(rows, labels, bits=6, c=1.0, epochs=400)
+    own = len(rows) * 4 // 5
+    y = np.where(labels > 0, 1.0, -1.0)[:own]
+    count = {k: np.ones(64) for k in (1.0, -1.0)}
+    for x, k in zip(rows[:own], y):
+        count[k][x] += 1
+    ratio = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
+    x = np.zeros((own, 65))
+    for i, r in enumerate(rows[:own]):
+        x[i, r] = ratio[r] / np.sqrt(len(r))
+        x[i, 64] = 1.0
+    loss = lambda w: w @ w / 2 + np.maximum(0, 1 - y * (x @ w)).sum()
+    w, best = np.zeros(65), np.inf
+    for step in range(1, 60_001):
+        w = w - (w - (y[:, None] * x)[y * (x @ w) < 1].sum(0)) / (step + 10)
+        best = min(best, loss(w))
+    used = ratio != 0
+    got = np.append(np.where(used, weights / np.where(used, ratio, 1), 0), bias)
+    assert loss(got) == pytest.approx(best, rel=2e-3) and slope > 0
+
+
+def test_classifier_sample_is_bounded_in_rows_and_bytes(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, bits: seen.append((len(rows), sum(x.nbytes for x in rows))))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    twice = docs.select("doc_id", "text").union(docs.select("doc_id", F.concat("text", F.lit(" more")))).union(docs.select("doc_id", "text"))
+    quality.learn(twice, labels, sample=30)
+    quality.learn(twice, labels, sample=30, sample_bytes=20_000)
+    assert seen[0][0] == 30 and 0 < seen[1][0] < 30 and seen[1][1] <= 20_000
+
+
+def test_operators_ignore_columns_that_clash(spark, docs):
+    table = docs.limit(40).withColumns({c: F.lit("x") for c in ("mark", "block", "train", "score", "predicted", "n", "label_id", "held", "ids", "sizes", "n_bytes", "n_tokens", "keys")})
+    plain = docs.limit(40).select("doc_id", "text")
+    same = lambda f: sorted(map(tuple, f(table).collect())) == sorted(map(tuple, f(plain).collect()))
+    assert same(lambda d: tokencount.count_tokens(d, P.path("byte_bpe_50k.json"))) and same(licences.scan)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.learn(table, labels.withColumn("text", F.lit("y")))
+    assert same(lambda d: quality.score(common.id_and_text(d), model))
+
+
+def test_short_words_and_long_stretches_take_the_same_search(docs, model):
+    for r in docs.limit(60).collect():
+        for word in set(model.sp.normalize(r["text"]).split("\u2581")):
+            assert model.word(word) == list(model.search(word))
 
 
 def test_crc():
