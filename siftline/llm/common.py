@@ -52,8 +52,9 @@ class Stash:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+    def drop(self, n: int | None = None) -> None:
+        """Delete all tables, or the n-th one."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root if n is None else f"{self.root}/{n}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

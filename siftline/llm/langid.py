@@ -155,7 +155,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", dim: int = DIM) -> DataFrame:
 
 
 def predict(docs: DataFrame, prototypes: DataFrame, dim: int = DIM) -> DataFrame:
-    """One row (doc_id, lang_pred, score, trigrams) for each row of docs (doc_id, text), and its other columns in front.
+    """Each row of docs (text and any others) with lang_pred, score and trigrams.
 
     score is the cosine, 0 where negative. A null or empty text, one without letters, and any text where
     nothing was learned get `und` and 0. Equal cosines: the label first in order. Texts count whole. trigrams is
