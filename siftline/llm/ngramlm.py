@@ -32,7 +32,7 @@ K = (6400.0, 5.0)
 #: Text bytes of a block.
 BLOCK_BYTES = 8 << 20
 #: n-grams that a cell gets from all blocks, roughly; bytes of text that bring one distinct n-gram of one order.
-CELL_GRAMS, GRAM_BYTES = 1 << 22, 10
+CELL_GRAMS, GRAM_BYTES = 1 << 21, 10
 #: A block sends to at most 2**FAN cells, a region unites at most REGION blocks.
 FAN, REGION = 12, 1024
 #: Tokens that a lane of the automaton's traversal covers.
@@ -67,7 +67,7 @@ class Keys:
 
     def __init__(self, size: int, order: int):
         self.order, self.tag = order, max(1, (order - 1).bit_length())
-        self.width = min(58, max(44, int(size).bit_length() + 22)) + self.tag
+        self.width = min(58, max(44, int(size).bit_length() + 18)) + self.tag
         self.cells = int(max(0, np.ceil(np.log2(max(1, size * order / GRAM_BYTES / CELL_GRAMS)))))
 
     def __call__(self, words: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -91,12 +91,14 @@ class Wire:
         self.squeeze, self.expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
     def counts(self, n: np.ndarray) -> bytes:
-        """Counts in the fewest bytes, told apart by their total length."""
-        return self.squeeze(n.astype("<u1" if n.max(initial=0) < 256 else "<u4" if n.max(initial=0) < 1 << 32 else "<u8").tobytes())
+        """A byte for each count, and those of 255 and more once again in full."""
+        return self.squeeze(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes())
 
     def told(self, b: bytes, size: int) -> np.ndarray:
         raw = self.expand(b)
-        return np.frombuffer(raw, f"<u{len(raw) // size}").astype(np.int64) if size else np.zeros(0, np.int64)
+        n = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+        n[n == 255] = np.frombuffer(raw, "<u8", offset=size)
+        return n
 
     def keys(self, keys: np.ndarray, base: int) -> bytes:
         gap = np.diff(keys, prepend=np.uint64(base))
@@ -217,7 +219,7 @@ class Automaton:
         self.known = counts
         state, p = np.zeros(len(counts), np.int64), np.zeros(len(counts))
         log, fall, fail, arcs = [np.zeros(1)], [np.zeros(1, np.int64)], 1, []
-        place = np.zeros(len(counts), np.int64)
+        place = np.zeros(len(counts), np.int32)
         for n, gram in enumerate(grams, 1):
             place[gram[gram >= 0]] = np.flatnonzero(gram >= 0)
             own = np.zeros(len(counts), bool)
@@ -236,7 +238,7 @@ class Automaton:
                 # what a history falls back to is itself without its first word
                 fall.append(state[rest] if n > 1 else np.zeros(len(own), np.int64))
             if n > 1:
-                arcs.append((state[history] * self.words + grams[0][at + n - 1], np.log10(p[own]), state[own] if n < self.order else state[rest]))
+                arcs.append((state[history] * self.words + grams[0][at + n - 1].astype(np.int64), np.log10(p[own]), state[own] if n < self.order else state[rest]))
         self.weight, self.fall = np.concatenate(log), np.concatenate(fall)
         self.root, self.first = np.log10((counts + 1) / floor), state if self.order > 1 else np.zeros(len(counts), np.int64)
         self.arcs = Arcs(*map(np.concatenate, zip(*arcs))) if arcs else Arcs(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
@@ -273,7 +275,7 @@ class Automaton:
         state, total = np.zeros(len(by), np.int64), np.zeros(len(by))
         for t in range(length.max(initial=0)):
             m = int(np.searchsorted(-length, -t))
-            got, state[:m] = self.step(state[:m], words[start[:m] + t])
+            got, state[:m] = self.step(state[:m], words[start[:m] + t].astype(np.int64))
             total[:m] += np.where(start[:m] + t >= begin[:m], got, 0.0)
         return np.bincount(text[by], weights=total, minlength=len(size))
 
@@ -285,8 +287,8 @@ def numbered(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     flat = flat[by]
     new = np.ones(len(flat), bool)
     new[1:] = flat[1:] != flat[:-1]
-    at = np.empty(len(flat), np.int64)
-    at[by] = np.cumsum(new) - 1
+    at = np.empty(len(flat), np.int32)
+    at[by] = np.cumsum(new, dtype=np.int32) - 1
     own = flat[new]
     if len(own) and own[-1] == _NONE:
         at[at == len(own) - 1] = -1
@@ -340,7 +342,7 @@ def pack(rows: DataFrame, block_bytes: int) -> DataFrame:
     block's number is its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1).compress
+        number, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=4).compress
         ids, train, texts, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -403,7 +405,8 @@ def score_texts(docs: DataFrame, held_out: Callable, order: int = ORDER, k: floa
     def run(key: tuple[pa.Scalar], left: pa.Table, right: pa.Table) -> pa.Table:
         row, wire = left.to_pylist()[0], Wire()
         words, size, train = _open(row)
-        grams, own = numbered(keys(words, size))
+        grams, _ = numbered(keys(words, size))
+        del words
         told = sorted((r["cell"], r["size"], r["counts"]) for r in right.to_pylist())
         counts = np.concatenate([wire.told(c, n) for _, n, c in told])
         made = Automaton(grams, counts, weights, total, types)
