@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import json
+import re
 import unicodedata
 from html.parser import HTMLParser
 
@@ -10,13 +13,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Digit sets, character sets, and defaults.
+def plain(text: str) -> str:
+    """NFC without zero-width characters and soft hyphens."""
+    return "".join(c for c in unicodedata.normalize("NFC", text) if c not in ZERO_WIDTH)
+
+
+# Digit sets, character sets, defaults, and the words and endings that searches treat apart.
 BN_DIGITS, ASCII_DIGITS = "০১২৩৪৫৬৭৮৯", "0123456789"
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 TOKEN = r"[\p{L}\p{N}_ঀ-৿]+"
 CHARS_PER_TOKEN = 2.3
 BLOCK_TAGS = {"p", "div", "section", "article", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "nav", "header", "footer", "pre"}
 DROPPED_TAGS = {"script", "style", "head", "noscript", "template"}
+HEAD_TAGS = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
+SECTION_JUNK = "()[]।.:-৷ \u2010\u2011\u2013"
+VOLATILE = {"like_user_counter", "share_user_counter", "viewer_counter", "comment_counter", "view_count", "reply_count", "like_count", "member_count", "topic_count"}
+BN_STOPWORDS = [*map(plain, """
+কি কী কেন কিভাবে কীভাবে কোথায় কখন কোন কোনো কোনটি কে কারা কাকে কার কত কতটি কয়টি কতগুলো
+কতদিন কতদিনে কতজন কিনা কি-না কিংবা অথবা বা ও এবং আর যে যা যদি তবে তাহলে তাই সেই এই ওই
+এটা এটি ওটা সেটা সেটি ইহা উহা তাহা তা এর এতে এখানে সেখানে আমি আমার আমাদের আপনি আপনার
+আপনারা তুমি তোমার সে তার তারা তাদের তিনি তাঁর হয় হবে হলে হলো হল হয়েছে হইবে হইয়াছে হইতে
+করা করে করতে করবো করব করবেন করেন করলে করিয়া করিবে করিতে পারি পারব পারবো পারবেন পারে যায়
+যাবে যাবেনা দিতে দেয়া দেওয়া নিতে নেয়া লাগে লাগবে প্রয়োজন জন্য জন্যে থেকে হতে দিয়ে নিয়ে
+সাথে সঙ্গে মধ্যে উপর নিচে পর আগে না নয় নাই নেই হ্যাঁ জি একটি একটা এক সব সকল সমস্ত
+বিষয়ে সম্পর্কে ব্যাপারে দয়া করে অনুগ্রহ প্লিজ চাই চাচ্ছি জানতে জানাবেন বলুন বলবেন আছে আছেন থাকে থাকবে জিনিস আসলে মানে বলতে বোঝায় বুঝায় বোঝানো কাকে বলে
+""".split())]
+EN_STOPWORDS = "a an the is are was were be to of in on for and or what how when where which who why do does can i my me you your it this that with from by about please tell".split()
+SUFFIXES = [*map(plain, "গুলোতে গুলোর গুলির গুলো গুলি দেরকে দের কেই টির টার তেই েরা ের এর য়ের কে তে টি টা রা ে র".split())]
+VARIANTS = {plain(k): plain(v) for k, v in {"নাম্বার": "নম্বর", "নাম্বর": "নম্বর", "নং": "নম্বর", "নম্বরে": "নম্বর", "জরীপ": "জরিপ", "রেজিষ্ট্রেশন": "রেজিস্ট্রেশন", "রেজিষ্ট্রি": "রেজিস্ট্রি", "সার্টিফিকেট": "সনদ", "ওয়ারিশান": "ওয়ারিশ", "উত্তরাধিকারী": "ওয়ারিশ", "কী": "কি"}.items()}
+
+#: What NFC may change: marks, conjoining letters, and characters that it replaces on their own.
+_NFC = "[\\p{M}\u0340-\u0387\u0958-\u095f\u09dc-\u09df\u0a33-\u0a5e\u0b5c\u0b5d\u0f43-\u0fb9\u1100-\u11ff\u1f71-\u1ffd\u2000\u2001\u2126-\u212b\u2329\u232a\u2adc\uf900-\ufaff\ufb1d-\ufb4e\\x{1d15e}-\\x{1d1c0}\\x{2f800}-\\x{2fa1d}]"
 
 
 def bn_to_ascii_digits(c: Column) -> Column:
@@ -33,8 +60,8 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def clean_unicode(c: Column) -> Column:
-    """NFC without zero-width characters and soft hyphens. ASCII skips Python."""
-    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(_nfc(c), ZERO_WIDTH, ""))
+    """NFC without zero-width characters and soft hyphens. Only texts that NFC may change go to Python."""
+    return F.translate(F.coalesce(_nfc(F.when(c.rlike(_NFC), c)), c), ZERO_WIDTH, "")
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -45,13 +72,40 @@ def normalize_whitespace(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Lower-case words of letters, digits, underscore and the Bengali block, without lone underscores."""
-    return F.filter(F.regexp_extract_all(F.lower(bn_to_ascii_digits(c)), F.lit(f"({TOKEN})"), F.lit(1)), lambda t: ~t.rlike("^_+$"))
+    """Lower-case words of letters, digits, underscore and the Bengali block, without lone underscores; spelling
+    variants of a word are one. A null text gives null."""
+    words = F.filter(F.regexp_extract_all(F.lower(bn_to_ascii_digits(clean_unicode(c))), F.lit(f"({TOKEN})"), F.lit(1)), lambda t: t != "_")
+    known = F.create_map(*(F.lit(x) for kv in VARIANTS.items() for x in kv))
+    return F.transform(words, lambda t: F.when(t.isin(*VARIANTS), F.element_at(known, t)).otherwise(t))
+
+
+def lexical_text(c: Column) -> Column:
+    """The tokens with a space between: what is indexed, and a question's canonical form."""
+    return F.array_join(tokenize(c), " ")
+
 
+def light_stem(t: Column) -> Column:
+    """A Bengali token without its first ending, longest first, that leaves three characters; র goes after a vowel sign only."""
+    out = F.when(~t.rlike("[ঀ-৿]"), t)
+    for end in SUFFIXES:
+        stem = F.substring(t, F.lit(1), F.length(t) - len(end))
+        fits = t.endswith(end) & (F.length(t) - len(end) >= 3)
+        out = out.when(fits & stem.rlike("[\u09be-\u09cc]$") if end == "র" else fits, stem)
+    return out.otherwise(t)
 
-def query_terms(c: Column, least: int = 6) -> Column:
-    """Distinct words worth looking up, in order: those of ``least`` characters or more."""
-    return F.array_distinct(F.filter(tokenize(c), lambda t: F.length(t) >= least))
+
+def query_terms(c: Column) -> Column:
+    """Distinct terms to look up, in order, without stopwords: `stem:*` for the beginning of longer words, else the word and its stem."""
+    words = F.filter(tokenize(c), lambda t: ~t.isin(*BN_STOPWORDS, *EN_STOPWORDS))
+    pairs = F.transform(words, lambda t: F.struct(t.alias("t"), light_stem(t).alias("s")))
+    terms = F.transform(pairs, lambda p: F.when((F.length(p["s"]) >= 4) & ~p["s"].rlike(r"^\p{Nd}+$"), F.array(F.concat(p["s"], F.lit(":*")))).otherwise(F.array(p["t"], p["s"])))
+    return F.array_distinct(F.flatten(terms))
+
+
+def is_bengali(c: Column) -> Column:
+    """At least as many Bengali characters as ASCII letters; true for neither."""
+    t = F.coalesce(c, F.lit(""))
+    return F.length(F.regexp_replace(t, "[^ঀ-৿]", "")) >= F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
 
 
 def lexical_coverage(terms: Column, tokens: Column) -> Column:
@@ -74,12 +128,37 @@ def parse_year(c: Column) -> Column:
 
 
 def normalize_section_number(c: Column) -> Column:
-    """ASCII digits, no space or separators at the ends, ASCII capitals; empty and 0 are null."""
-    s = F.regexp_replace(F.regexp_replace(bn_to_ascii_digits(c), r"\s+", ""), r"^[\-–—.:()\[\]।]+|[\-–—.:()\[\]।]+$", "")
+    """ASCII digits, no space, no separators at the ends, nothing from a footnote's bracket on, ASCII capitals; empty and 0 are null."""
+    junk = "[" + re.escape(SECTION_JUNK).replace("\\ ", " ") + "\\s]"
+    s = F.regexp_replace(bn_to_ascii_digits(clean_unicode(c)), rf"^{junk}+|{junk}+$", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"\s+", ""), r"^([0-9]+[A-Za-zক-হ]{0,2})[\[(].*$", "$1")
     s = F.translate(s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return F.when(~s.isin("", "0"), s)
 
 
+@F.pandas_udf(T.StringType())
+def canonical_json(s: pd.Series) -> pd.Series:
+    """A JSON text with sorted keys, no spaces and no counters that change by themselves; null for what isn't JSON."""
+
+    def stable(x):
+        if isinstance(x, dict):
+            return {k: stable(v) for k, v in x.items() if k not in VOLATILE}
+        return [stable(v) for v in x] if isinstance(x, list) else x
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(stable(json.loads(x)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return s.map(one)
+
+
+def source_hash(record: Column, version: str, signature: str = "") -> Column:
+    """sha256 of what a record says and how it is processed; counters don't count."""
+    return F.sha2(F.concat(F.lit(f"{version}|{signature}|"), canonical_json(record)), 256)
+
+
 def text_hash(*cols: Column) -> Column:
     """sha256 of the parts with a unit separator between; null parts are empty."""
     return F.sha2(F.concat_ws("\u001f", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols)), 256)
@@ -96,12 +175,15 @@ class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skip = 0
+        self.skip: list[str] = []
         self.cells = 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        # </head> may be left out: the body, or what only a body has, ends the head and what it left open
+        if tag == "body" or self.skip[:1] == ["head"] and tag not in HEAD_TAGS:
+            self.skip.clear()
         if tag in DROPPED_TAGS:
-            self.skip += 1
+            self.skip.append(tag)
         elif tag == "tr":
             self.out.append("\n")
             self.cells = 0
@@ -114,8 +196,8 @@ class _Text(HTMLParser):
             self.out.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in DROPPED_TAGS:
-            self.skip = max(0, self.skip - 1)
+        if tag in self.skip:
+            del self.skip[self.skip.index(tag) :]
         elif tag in BLOCK_TAGS:
             self.out.append("\n")
 
@@ -127,6 +209,8 @@ class _Text(HTMLParser):
 def _html_text(x: str | None) -> str | None:
     if not x:
         return x
+    if "<" not in x:
+        return html.unescape(x)
     p = _Text()
     p.feed(x)
     p.close()
@@ -141,6 +225,8 @@ def html_to_text(s: pd.Series) -> pd.Series:
 
 
 def redact_secrets(c: Column) -> Column:
-    for p, r in ((r"(?i)(bearer\s+)[a-z0-9._\-]+", "$1***"), (r"(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*)[\"']?[^\s\"',;]+", "$1***"), (r"(://[^:/@\s]+:)[^@\s]+@", "$1***@")):
-        c = F.regexp_replace(c, p, r)
-    return c
+    """Keys, tokens and passwords as ***, in this order: key prefixes, bearer tokens, named keys, passwords in addresses."""
+    c = F.regexp_replace(c, r"(gsk_|hf_)[A-Za-z0-9]{20,}", "$1***")
+    c = F.regexp_replace(c, r"(?i)\b(bearer\s+)[A-Za-z0-9._\-]+", "$1***")
+    c = F.regexp_replace(c, r"(?i)((?:x-(?:admin-)?api-key|api[_-]?key|password)\"?\s*[:=]\s*\"?)[^\s\",}]+", "$1***")
+    return F.regexp_replace(c, r"((?:postgres(?:ql)?(?:\+\w+)?|redis)://[^:/@\s]*:)[^@\s]+@", "$1***@")

@@ -26,13 +26,14 @@ def hash_embed(docs: DataFrame, tokens: Column) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                out = []
-                for words in part.column("t").to_pylist():
-                    v = np.zeros(DIM)
-                    for p in {x for w in words or [] for x in (w, w[:4])}:
-                        v[place(p)] += 1
-                    out.append(v.tolist() if words else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.list_(pa.float64()))], ["id", "v"])
+                v = np.zeros((part.num_rows, DIM))
+                none = np.zeros(part.num_rows, bool)
+                for i, words in enumerate(part.column("t").to_pylist()):
+                    none[i] = not words
+                    at = [place(p) for p in {x for w in words or [] for x in (w, w[:4])}]
+                    np.add.at(v[i], at, 1.0)
+                ends = np.append(0, np.cumsum(np.where(none, 0, DIM))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(v[~none].ravel()), mask=pa.array(none))], ["id", "v"])
 
     return docs.select("id", tokens.alias("t")).mapInArrow(run, "id long, v array<double>")
 

@@ -2,32 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .keep import kept
+from .retrieval import _unit_rows, rank
 
-SIMILAR, LIMIT = 0.55, 5
+SIMILAR, LIMIT, SHARE = 0.55, 5, 0.8
+LEAST, LEAST_SIMILAR = 2, 3
+#: Typed rows of one broadcast block.
+BLOCK = 4096
 
 
 def lexical_score(typed: Column, text: Column) -> Column:
-    """1 for a beginning, 0.85 for a part, else 0.6 times the share of words found if half or more are (the last may be unfinished)."""
-    a, b = F.lower(F.trim(typed)), F.lower(text)
-    words, have = tokenize(typed), tokenize(text)
-    hit = F.size(F.filter(words, lambda w, i: F.when(i == F.size(words) - 1, F.exists(have, lambda h: h.startswith(w))).otherwise(F.array_contains(have, w))))
+    """1 for a beginning, 0.85 for a part, else 0.6 times the share of words found if half or more are (the last may be
+    unfinished), of the two canonical forms."""
+    words, have = F.split(typed, " "), F.split(text, " ")
     n = F.size(words)
-    return F.when(b.startswith(a), 1.0).when(F.contains(b, a), 0.85).when((n > 0) & (2 * hit >= n), F.round(0.6 * hit / n, 6)).otherwise(0.0)
+    hit = F.size(F.filter(words, lambda w, i: F.when(i == n - 1, F.exists(have, lambda h: h.startswith(w))).otherwise(F.array_contains(have, w))))
+    return F.when(typed == "", 0.0).when(text.startswith(typed), 1.0).when(F.contains(text, typed), 0.85).when((hit > 0) & (2 * hit >= n), F.round(0.6 * hit / n, 6)).otherwise(0.0)
+
+
+def _score(typed: str, words: list[str], text: str, have: set[str], begins: list[str]) -> float:
+    if text.startswith(typed):
+        return 1.0
+    if typed in text:
+        return 0.85
+    hit = sum(w in have for w in words[:-1]) + any(h.startswith(words[-1]) for h in begins)
+    return round(0.6 * hit / len(words), 6) if hit and 2 * hit >= len(words) else 0.0
+
 
+def suggest(typed: DataFrame, texts: DataFrame, k: int = LIMIT, similar: float = SIMILAR) -> DataFrame:
+    """Rows (query_id, id, score, rank): the k best texts for each typed row, by lexical_score and by similarity.
 
-def suggest(typed: DataFrame, texts: DataFrame, k: int = LIMIT) -> DataFrame:
-    """The k best texts (id, text) for each typed row (query_id, typed) of two characters or more.
+    typed: query_id, typed; texts: id, text; both may have v (an array of numbers): a cosine of ``similar`` or more
+    counts 0.8 times itself if three characters or more are typed. Forms are canonical, those of under two characters
+    get nothing; texts of score 0 are none. Equal scores: the shorter text first, then by id. Null texts count as empty.
 
-    Candidates share the first three letters of one of their words with one of the typed words, or are found by
-    a word's beginning, so the lists are joined on a key and never paired in full.
+    What is typed is broadcast in blocks of bounded size and scored against all texts, without a key that both would
+    have to share; a task keeps its own best k of each.
     """
-    key = lambda c: F.explode(F.array_distinct(F.transform(tokenize(c), lambda w: F.substring(w, 1, 2))))
-    asked = typed.where(F.length(F.trim("typed")) >= 2)
-    pairs = asked.select("query_id", key(F.col("typed")).alias("key")).join(texts.select("id", key(F.col("text")).alias("key")), "key").select("query_id", "id").distinct()
-    both = pairs.join(asked, "query_id").join(texts, "id").withColumn("score", lexical_score(F.col("typed"), F.col("text"))).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("text"), "id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    form = lambda c: F.coalesce(F.array_join(tokenize(F.col(c)), " "), F.lit(""))
+    v = lambda df: (F.col("v").cast("array<double>") if "v" in df.columns else F.lit(None).cast("array<double>")).alias("v")
+    asked = typed.select("query_id", form("typed").alias("typed"), v(typed)).where(F.length("typed") >= LEAST)
+    source = texts.select("id", form("text").alias("text"), F.length(F.coalesce("text", F.lit(""))).alias("length"), v(texts))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    out = None
+    for b in range(blocks):
+        rows = (asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked).toArrow()
+        shared = typed.sparkSession.sparkContext.broadcast(rows.to_pydict())
+        part = source.mapInArrow(_scan(shared, k, similar), "query_id long, id long, score double, length long")
+        if blocks > 1:
+            part = kept(part)
+            shared.unpersist()
+        out = part if out is None else out.union(part)
+    return rank(out, ["query_id"], [F.desc("score"), F.asc("length"), F.asc("id")], k).select("query_id", "id", "score", "rank")
+
+
+def _scan(shared, k: int, similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        ids, forms = np.array(asked["query_id"], np.int64), asked["typed"]
+        words = [f.split(" ") for f in forms]
+        width = next((len(x) for x in asked["v"] if x), None)
+        own_at, own = _unit_rows(pa.array(asked["v"], pa.list_(pa.float64())), width) if width else (np.zeros(0, int), np.zeros((0, 0)))
+        long_ = np.array([len(f) >= LEAST_SIMILAR for f in forms], bool)
+        held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))
+        for batch in batches:
+            for start in range(0, batch.num_rows if forms else 0, 1024):
+                part = batch.slice(start, 1024)
+                texts = part.column("text").to_pylist()
+                length, name = part.column("length").to_numpy(), part.column("id").to_numpy()
+                have = [set(t.split(" ")) for t in texts]
+                score = np.array([[_score(f, w, t, h, h) for t, h in zip(texts, have)] for f, w in zip(forms, words)])
+                if width:
+                    at, x = _unit_rows(part.column("v"), width)
+                    near = np.round(own @ x.T, 6)
+                    near = np.where((near >= similar) & long_[own_at][:, None], near * SHARE, 0.0)
+                    score[np.ix_(own_at, at)] = np.maximum(score[np.ix_(own_at, at)], near)
+                i, j = np.nonzero(score > 0)
+                # the length orders equal scores: it goes before the id
+                q, n, s, m = (np.concatenate(x) for x in zip(held, (i, name[j], score[i, j], length[j])))
+                order = np.lexsort((n, m, -s, q))
+                q, n, s, m = q[order], n[order], s[order], m[order]
+                starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+                keep = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < k
+                held = (q[keep], n[keep], s[keep], m[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2]), pa.array(held[3], pa.int64())], ["query_id", "id", "score", "length"])
+
+    return run

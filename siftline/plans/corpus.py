@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import analyze as A
-from ..functions.text import html_strip as strip, html_to_text as to_text, normalize_whitespace, query_terms, text_hash, token_count, tokenize
+from ..functions.text import html_strip as strip, html_to_text as to_text, normalize_whitespace, text_hash, token_count, tokenize
 from ..operators import answer, chunk, evaluate, memory, sections, suggest, sync
 from . import query, table
-from .retrieval import TOK
+from .retrieval import ASKED, TOK
 
 PARTS = "p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 chunk_index, trim(line) content FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) pos, unnest(l) line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) l FROM documents)) WHERE trim(line) <> '')"
 
@@ -151,7 +151,8 @@ def conv_render_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.transcript(table(spark, sf_dir, "conversations"))
 
 
-DEPENDENT = rf"(regexp_matches(text, '(?i)(^|[^\p{{L}}])({A.ANAPHORA})([^\p{{L}}]|$)') OR len(list_distinct(list_filter({TOK.format('text')}, lambda t: length(t) >= 3))) <= 1)"
+LEANS = A.LEANS.replace("(?=[\\s?।,.!]|$)", "([\\s?।,.!]|$)")
+DEPENDENT = f"(regexp_matches(text, '(?i){LEANS}') OR len(list_distinct({ASKED.format('text')})) <= 1)"
 
 
 @query(f"SELECT conv_id, turn, CASE WHEN {DEPENDENT} AND prev IS NOT NULL THEN prev || ' — ' || text ELSE text END standalone FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) prev FROM conversations WHERE role = 'user')")
@@ -172,24 +173,36 @@ def looks_dependent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", A.looks_dependent(F.col("text")).alias("dependent"))
 
 
-@query(r"SELECT conv_id, turn, try_cast(nullif(regexp_extract(text, '(?:^|[^0-9])(1[89][0-9]{2}|20[0-9]{2})(?:[^0-9]|$)', 1), '') AS INT) \"year\", regexp_matches(text, '(?i)(what is|meaning of|definition|define|সংজ্ঞা|বলতে কী|কাকে বলে)') wants_definition, CASE WHEN regexp_matches(text, '(?i)^\s*(hi|hello|hey|thanks|thank you|salam|good morning|good evening|সালাম|ধন্যবাদ|হ্যালো|নমস্কার)[\s!.,।?]*$') THEN 'smalltalk' WHEN regexp_matches(text, '(?i)(how many|number of|count|কতটি|কয়টি|মোট কত|সংখ্যা কত)') THEN 'structured' ELSE 'rag' END route FROM conversations".replace('\\"', '"'))
+def _says(pattern: str) -> str:
+    return f"regexp_matches(t, '(?i){pattern}')"
+
+
+ANALYZED = f"""WITH q AS (SELECT conv_id, turn, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) t FROM conversations),
+a AS (SELECT *, {_says(A.any_of(A.DEFINITION))} wants_definition, {_says(A.ALL_SECTIONS)} wants_all_sections, {_says(A.any_of(A.DETAIL))} d, {_says(A.ABOUT_ACT)} o, {_says(A.GREETING[5:])} hello, {_says(A.any_of(A.COUNT))} AND ({" OR ".join(f"contains(lower(t), '{w}')" for w in A.KINDS)}) counted FROM q)
+SELECT conv_id, turn, try_cast(nullif(regexp_extract(t, '(?:^|[^0-9])(1[89][0-9]{{2}}|20[0-9]{{2}})(?:[^0-9]|$)', 1), '') AS INT) "year", wants_definition, wants_all_sections, wants_all_sections OR d wants_detail, wants_all_sections OR o wants_act_overview, CASE WHEN hello THEN 'smalltalk' WHEN counted THEN 'structured' ELSE 'rag' END route,
+  len(list_distinct(list_concat({ASKED.format('t')}, CASE WHEN wants_definition THEN ['সংজ্ঞা:*', 'অর্থ'] ELSE [] END))) n_terms, md5(array_to_string({TOK.format('t')}, ' ')) form_md5 FROM a"""
+
+
+@query(ANALYZED)
 def analyze_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.analyze(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "year", "wants_definition", "route")
+    q = A.analyze(table(spark, sf_dir, "conversations"), "text")
+    return q.select("conv_id", "turn", "year", "wants_definition", "wants_all_sections", "wants_detail", "wants_act_overview", "route", F.size("terms").alias("n_terms"), F.md5("normalized").alias("form_md5"))
 
 
-SUGGEST = rf"""q AS (SELECT item_id query_id, substr(text, 1, 12) typed FROM benchmark WHERE length(trim(substr(text, 1, 12))) >= 2),
-k AS (SELECT DISTINCT query_id, unnest(list_transform({TOK.format('typed')}, lambda w: w[1:2])) k FROM q), l AS (SELECT DISTINCT item_id id, unnest(list_transform({TOK.format('text')}, lambda w: w[1:2])) k FROM benchmark),
-p AS (SELECT DISTINCT query_id, id FROM k JOIN l USING (k)),
-w AS (SELECT p.query_id, id, b.text, lower(trim(typed)) a, lower(b.text) t, {TOK.format('typed')} words, {TOK.format('b.text')} have FROM p JOIN q USING (query_id) JOIN benchmark b ON b.item_id = p.id),
-h AS (SELECT *, len(words) n, len(list_filter(words, lambda x, i: CASE WHEN i = len(words) THEN len(list_filter(have, lambda y: starts_with(y, x))) > 0 ELSE list_contains(have, x) END)) hit FROM w),
-s AS (SELECT query_id, id, text, CASE WHEN starts_with(t, a) THEN 1.0 WHEN contains(t, a) THEN 0.85 WHEN n > 0 AND 2 * hit >= n THEN round(0.6 * hit / n, 6) ELSE 0.0 END score FROM h)"""
+FORM = f"array_to_string({TOK}, ' ')"
+SUGGEST = rf"""q AS (SELECT * FROM (SELECT item_id query_id, {FORM.format('substr(text, 1 + item_id % 7, 12)')} a FROM benchmark) WHERE length(a) >= 2),
+w AS (SELECT query_id, item_id id, b.text, a, {FORM.format('b.text')} t FROM q, benchmark b),
+h AS (SELECT *, string_split(a, ' ') words, string_split(t, ' ') have FROM w),
+i AS (SELECT *, len(words) n, len(list_filter(words, lambda x, i: CASE WHEN i = len(words) THEN len(list_filter(have, lambda y: starts_with(y, x))) > 0 ELSE list_contains(have, x) END)) hit FROM h),
+s AS (SELECT query_id, id, text, CASE WHEN starts_with(t, a) THEN 1.0 WHEN contains(t, a) THEN 0.85 WHEN hit > 0 AND 2 * hit >= n THEN round(0.6::DOUBLE * hit / n, 6) ELSE 0.0 END score FROM i)"""
 
 
 @query(f"WITH {SUGGEST} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score::DOUBLE score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(text), id) rank FROM s WHERE score > 0) WHERE rank <= 5")
 def suggest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each item's first twelve characters are typed."""
+    """Twelve characters of each item are typed, from one of its first seven places on: from inside words, too."""
     b = table(spark, sf_dir, "benchmark")
-    return suggest.suggest(b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("typed")), b.select(F.col("item_id").alias("id"), "text"))
+    typed = b.select(F.col("item_id").alias("query_id"), F.substring("text", (1 + F.col("item_id") % 7).cast("int"), F.lit(12)).alias("typed"))
+    return suggest.suggest(typed, b.select(F.col("item_id").alias("id"), "text"))
 
 
 OLD_NEW = "o AS (SELECT doc_id, sha256(text) h, source = 'src5' deleted, source FROM documents WHERE lang <> 'es'), n AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN sha256(text || ' (edited)') ELSE sha256(text) END h, source FROM documents WHERE source <> 'src3'), c AS (SELECT coalesce(o.doc_id, n.doc_id) id, coalesce(o.source, n.source) source, o.h IS NOT NULL AND NOT o.deleted live, CASE WHEN n.h IS NULL THEN CASE WHEN o.deleted THEN 'gone' ELSE 'missing' END WHEN o.h IS NULL THEN 'created' WHEN o.h = n.h AND NOT o.deleted THEN 'unchanged' ELSE 'updated' END status FROM o FULL JOIN n ON o.doc_id = n.doc_id)"
