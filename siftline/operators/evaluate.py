@@ -33,3 +33,55 @@ def sample(rows: DataFrame, by: str, key: str, n: int, seed: str = "s1") -> Data
 
     mark = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(mark, key))).where(F.col("n") <= n)
+
+
+def relevance_keys(passages: DataFrame) -> Column:
+    """All `type:id` keys that a passage counts for: its document, itself, what it stands in and what it covers.
+
+    passages: doc_source_type, doc_source_id, source_type, source_id, path (array of type, id), covers (array of ids).
+    """
+    key = lambda kind, i: F.concat(kind, F.lit(":"), i)
+    own = F.array(key(F.col("doc_source_type"), F.col("doc_source_id")), key(F.col("source_type"), F.col("source_id")))
+    path = F.transform("path", lambda u: key(u["type"], u["id"]))
+    covers = F.transform("covers", lambda c: key(F.col("source_type"), c))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(own, F.coalesce(path, none), F.coalesce(covers, none))))
+
+
+def run_summary(rows: DataFrame) -> DataFrame:
+    """A run in one row. rows: mrr, *_at_k, seconds, answerable, sufficient, and if answers were made cited_precision,
+    cited_hit, refused, grounded (null where they don't apply)."""
+    means = [c for c in rows.columns if c == "mrr" or "_at_" in c or c in ("cited_precision", "cited_hit", "grounded")]
+    rate = lambda of, where: F.round(F.try_divide(F.count_if(of & where), F.count_if(where)), 4)
+    can = F.col("answerable")
+    out = [F.count("*").alias("n"), *(F.round(F.avg(F.when(can, F.col(c).cast("double"))), 4).alias(c) for c in means), F.round(F.expr("percentile(seconds, 0.5)"), 4).alias("p50_seconds"), rate(F.col("sufficient"), can).alias("gate_pass_rate"), rate(~F.col("sufficient"), ~can).alias("gate_refusal_rate")]
+    if "refused" in rows.columns:
+        out.append(rate(F.col("refused"), ~can).alias("refusal_rate"))
+    return rows.agg(*out)
+
+
+def hierarchy_set(chunks: DataFrame, each: int = 40, seed: str = "h1") -> DataFrame:
+    """Questions that name a place in a document: rows (id, tag, question, expected_id).
+
+    chunks: title, source_type (section or subsection), source_id, section_id, section_number, section_heading, word (what
+    a section is called), subsection_numbers, covers, content, chunk_index. At most ``each`` of a kind, in an order by
+    hash: sections by number, others by heading, subsections by number (of a chunk that covers several, each), and
+    sections' first 22 words where they have 30.
+    """
+    numbered = chunks.where(F.col("section_id").isNotNull() & F.col("section_number").rlike("^[0-9]+$"))
+    first = numbered.groupBy("section_id").agg(F.min_by(F.struct("title", "word", "section_number", "section_heading"), F.struct("chunk_index", "source_id")).alias("r")).select("section_id", "r.*")
+    bn = lambda c: F.translate(c, "0123456789", "০১২৩৪৫৬৭৮৯")
+    pool = first.withColumn("h", F.md5(F.concat(F.lit(seed), "section_id")))
+    sections = pool.orderBy("h").limit(each)
+    of = lambda df, tag, key, kind, q: df.select(F.concat(F.lit(f"{tag}-"), key).alias("id"), F.lit(tag).alias("tag"), q.alias("question"), F.concat(F.lit(f"{kind}:"), key).alias("expected_id"))
+    by_number = of(sections, "h_section_by_number", F.col("section_id"), "section", F.concat("title", F.lit(" এর "), "word", F.lit(" "), bn(F.col("section_number")), F.lit(" এ কী বলা হয়েছে?")))
+    headed = pool.join(sections.select("section_id"), "section_id", "left_anti").where(F.coalesce("section_heading", F.lit("")) != "").orderBy("h").limit(each)
+    by_heading = of(headed, "h_section_by_heading", F.col("section_id"), "section", F.concat("title", F.lit(" - "), F.trim(F.regexp_replace("section_heading", "।+$", "")), F.lit(" সম্পর্কে কী বলা আছে")))
+    subs = numbered.where("source_type = 'subsection'")
+    pairs = F.when(F.size("subsection_numbers") == 1, F.array(F.struct(F.col("subsection_numbers")[0].alias("n"), F.col("source_id").alias("i")))).when((F.size("subsection_numbers") > 0) & (F.size("subsection_numbers") == F.size("covers")), F.transform(F.arrays_zip("subsection_numbers", "covers"), lambda z: F.struct(z["subsection_numbers"].alias("n"), z["covers"].alias("i"))))
+    subs = subs.select("title", "word", "section_number", F.explode(pairs).alias("p")).select("title", "word", "section_number", "p.n", "p.i").dropDuplicates(["i"]).orderBy(F.md5(F.concat(F.lit(seed), "i")), "i").limit(each)
+    by_sub = of(subs, "h_subsection_by_number", F.col("i"), "subsection", F.concat("title", F.lit(" এর "), "word", F.lit(" "), bn(F.col("section_number")), F.lit(" এর উপ-"), "word", F.lit(" "), F.regexp_replace("n", "^[()]+|[()]+$", "")))
+    words = F.regexp_extract_all("content", F.lit(r"(\S+)"), F.lit(1))
+    passages = numbered.where((F.col("source_type") == "section") & (F.size(words) >= 30)).orderBy(F.md5(F.concat(F.lit(seed), "source_id")), "source_id", "chunk_index").limit(each)
+    passage = of(passages, "h_passage", F.col("source_id"), "section", F.array_join(F.slice(words, 1, 22), " "))
+    return by_number.unionByName(by_heading).unionByName(by_sub).unionByName(passage)

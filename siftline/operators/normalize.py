@@ -13,10 +13,13 @@ EXCLUDED = r"(?i)^\s*test\b"
 _NOTE = "struct<id:bigint,number:string,heading:string,content:string,note:string"
 SUBSCHEDULE = f"array<{_NOTE}>>"
 SCHEDULE = f"array<{_NOTE},subschedules:{SUBSCHEDULE}>>"
-EBOOK = f"id bigint, title_of_act string, ebooks_type string, act_year string, number string, publication_date string, file string, merged_file string, system_generated_pdf string, schedules string, branch string, sections array<{_NOTE},subsections:array<{_NOTE},schedules:{SCHEDULE}>>,schedules:{SCHEDULE}>>"
+EBOOK = f"id bigint, title_of_act string, ebooks_type string, act_year string, number string, publication_date string, publication_by string, created_date string, file string, merged_file string, system_generated_pdf string, schedules string, branch string, meta_keywords array<string>, multiple_reference_link array<string>, sections array<{_NOTE},subsections:array<{_NOTE},schedules:{SCHEDULE}>>,schedules:{SCHEDULE}>>"
 QNA = "id bigint, question string, answer string, category string, keyword string"
 BLOG = "id bigint, title_name string, author string, content string, created_date string"
-FORUM = "id string, name string, description string, badge string, topics array<struct<id:string,title string,description:string,status:string,created_date:string>>".replace("title string", "title:string")
+FORUM = "id string, name string, description string, badge string, topics array<struct<id:string,title:string,description:string,status:string,created_date:string>>"
+# Who publishes law, who writes officially, and what a document without a type is called.
+GAZETTE, OFFICIAL, DOCUMENT, NUMBER = "গেজেট", ("ভূমি মন্ত্রণালয়",), "দলিল", "নং"
+TITLE_CHARS = 120
 
 
 def clean(c: Column) -> Column:
@@ -25,13 +28,30 @@ def clean(c: Column) -> Column:
 
 
 def flexible_date(c: Column) -> Column:
-    """Y-M-D or D-M-Y with any of - / . in either digit set; null where that is no date."""
-    s = bn_to_ascii_digits(c)
-    ymd = F.regexp_extract(s, r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", 0)
-    dmy = F.concat_ws("-", *(F.regexp_extract(s, r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", i) for i in (3, 2, 1)))
-    pick = F.when(ymd != "", F.regexp_replace(F.trim(ymd), "[/.]", "-")).when(dmy != "--", dmy)
-    part = lambda i: F.lpad(F.split_part(pick, F.lit("-"), F.lit(i)), 4 if i == 1 else 2, "0")
-    return F.try_to_timestamp(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-MM-dd")).cast("date")
+    """Y-M-D, or D-M-Y with any of - / . between, at the beginning, in either digit set; null where that is no date."""
+    s = F.trim(bn_to_ascii_digits(c))
+    part = lambda y, m, d, p: F.concat_ws("-", F.regexp_extract(s, p, y), F.lpad(F.regexp_extract(s, p, m), 2, "0"), F.lpad(F.regexp_extract(s, p, d), 2, "0"))
+    ymd, dmy = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})"
+    pick = F.when(s.rlike(ymd), part(1, 2, 3, ymd)).when(s.rlike(dmy), part(3, 2, 1, dmy))
+    return F.try_to_timestamp(pick, F.lit("yyyy-MM-dd")).cast("date")
+
+
+def iso_datetime(c: Column) -> Column:
+    """An ISO date and time as a timestamp, Z and offsets read; null where it is none."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.trim(c)))
+
+
+def urls(c: Column) -> Column:
+    """The http and https addresses of a list, trimmed; a null list is empty."""
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda u: F.trim(u)), lambda u: u.rlike("^https?://"))
+
+
+def from_template(template: str, **fields: Column) -> Column:
+    """The template with its {names} filled in; null for the empty template."""
+    out = F.lit(template)
+    for name, value in fields.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out if template else F.lit(None).cast("string")
 
 
 def excluded(title: Column) -> Column:
@@ -49,8 +69,9 @@ def qna(records: DataFrame) -> DataFrame:
     return records.where(~excluded(F.col("question"))).select(F.lit("qna").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), clean(F.col("question")).alias("title"), F.nullif(F.lower(F.trim("category")), F.lit("")).alias("category"), F.lit(None).cast("int").alias("year"), F.lit(70).alias("authority"), body.alias("body"), errors(question=F.col("question"), answer=F.col("answer")).alias("errors"))
 
 
-def blog(records: DataFrame, official: tuple[str, ...] = ()) -> DataFrame:
-    return records.where(~excluded(F.col("title_name"))).select(F.lit("blog").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), clean(F.col("title_name")).alias("title"), F.lit(None).cast("string").alias("category"), F.year(flexible_date(F.col("created_date"))).alias("year"), F.when(F.lower(F.trim("author")).isin(*[o.lower() for o in official] or [""]), 50).otherwise(40).alias("authority"), clean(html_to_text("content")).alias("body"), errors(title_name=F.col("title_name")).alias("errors"))
+def blog(records: DataFrame, official: tuple[str, ...] = OFFICIAL, url: str = "") -> DataFrame:
+    created = iso_datetime(F.col("created_date"))
+    return records.where(~excluded(F.col("title_name"))).select(F.lit("blog").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), clean(F.col("title_name")).alias("title"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("year"), F.when(clean(F.col("author")).isin(*official), 50).otherwise(40).alias("authority"), clean(html_to_text("content")).alias("body"), clean(F.col("author")).alias("author"), created.cast("date").alias("publication_date"), from_template(url, id=F.col("id")).alias("url"), errors(title_name=F.col("title_name")).alias("errors"))
 
 
 def forum(records: DataFrame) -> DataFrame:
@@ -63,22 +84,51 @@ def forum(records: DataFrame) -> DataFrame:
     return own.unionByName(topics.select(*cols("topic", "t.id", F.col("group_id"), "t.title", "t.description")))
 
 
-def ebook(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, units): units carry their path (section, subsection, schedule ids) and stand in reading order."""
+def ebook(records: DataFrame, url: str = "") -> tuple[DataFrame, DataFrame]:
+    """(documents, units): units carry their path (section, subsection, schedule ids) and stand in reading order.
+
+    A document without a title has one of its type and number, else of its text's first line, else of its type and id
+    (title_derived). A unit without text stays only if something under it stays; a schedule also if it has a heading.
+    Null lists are empty. body is the text beside the sections: an appendix to them, or all there is (role).
+    """
     kept = records.where(~excluded(F.col("title_of_act")))
-    title = F.coalesce(clean(F.col("title_of_act")), F.concat_ws(" ", F.col("ebooks_type"), F.concat(F.lit("#"), F.col("id").cast("string"))))
-    docs = kept.select(F.lit("ebook").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), title.alias("title"), F.lower(F.trim("branch")).alias("category"), parse_year(F.col("act_year")).alias("year"), F.lit(100).alias("authority"), clean(html_to_text("schedules")).alias("body"), F.lit(None).cast("string").alias("errors"))
+    kind, number, body = clean(F.col("ebooks_type")), clean(F.col("number")), F.col("_body")
+    kept = kept.withColumn("_body", clean(html_to_text("schedules")))
+    line = F.substring_index(body, "\n", 1)
+    line = F.concat(F.substring(line, 1, TITLE_CHARS), F.when(F.length(line) > TITLE_CHARS, "…").otherwise(""))
+    derived = F.coalesce(F.concat(kind, F.lit(f" ({NUMBER} "), number, F.lit(")")), line, F.concat(F.coalesce(kind, F.lit(DOCUMENT)), F.lit(" #"), F.col("id").cast("string")))
+    own = clean(F.col("title_of_act"))
+    docs = kept.select(F.lit("ebook").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), F.coalesce(own, derived).alias("title"), own.isNull().alias("title_derived"), kind.alias("doc_type"), F.lower(F.trim("branch")).alias("category"), parse_year(F.col("act_year")).alias("year"), number.alias("act_number"), flexible_date(F.col("publication_date")).alias("publication_date"), F.when(F.trim("publication_by") == GAZETTE, 100).otherwise(90).alias("authority"), iso_datetime(F.col("created_date")).alias("source_updated_at"), from_template(url, id=F.col("id")).alias("url"), F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("file", "merged_file", "system_generated_pdf"))).alias("file_url"), F.filter(F.transform(F.coalesce("meta_keywords", F.array().cast("array<string>")), normalize_whitespace), lambda k: ~k.isin("", "[]")).alias("keywords"), urls(F.col("multiple_reference_link")).alias("links"), body.alias("body"), F.when(F.size(F.coalesce("sections", F.array())) > 0, "appendix").otherwise("body").alias("role"), F.lit(None).cast("string").alias("errors"))
 
     def unit(kind: str, at: str) -> list[Column]:
-        return [F.lit(kind).alias("kind"), normalize_section_number(F.col(f"{at}.number")).alias("number"), clean(F.col(f"{at}.heading")).alias("heading"), clean(html_to_text(f"{at}.content")).alias("content"), F.col(f"{at}.note").alias("note")]
+        return [F.lit(kind).alias("kind"), F.col(f"{at}.id").cast("string").alias("unit_id"), normalize_section_number(F.col(f"{at}.number")).alias("number"), clean(F.col(f"{at}.heading")).alias("heading"), clean(html_to_text(f"{at}.content")).alias("content"), clean(F.col(f"{at}.note")).alias("note")]
 
     s = kept.select(F.col("id").cast("string").alias("source_id"), F.posexplode("sections").alias("i", "s"))
     sub = s.select("source_id", "i", F.posexplode("s.subsections").alias("j", "u"))
     sched = s.select("source_id", "i", F.posexplode("s.schedules").alias("j", "u"))
     deep = sub.select("source_id", "i", "j", F.posexplode("u.schedules").alias("k", "w"))
+    # a section's own schedules stand after its subsections
+    after = (F.col("j") + 1_000_000).alias("j")
+    inner = sched.select("source_id", "i", after, F.posexplode("u.subschedules").alias("k", "x"))
     under = deep.select("source_id", "i", "j", "k", F.posexplode("w.subschedules").alias("m", "x"))
     path = lambda *c: F.array(*c).alias("path")
-    # a section's own schedules stand after its subsections
-    after = F.col("j") + 1_000_000
-    units = s.select("source_id", path("i"), *unit("section", "s")).unionByName(sub.select("source_id", path("i", "j"), *unit("subsection", "u"))).unionByName(sched.select("source_id", path(F.col("i"), after), *unit("schedule", "u"))).unionByName(deep.select("source_id", path("i", "j", "k"), *unit("schedule", "w"))).unionByName(under.select("source_id", path("i", "j", "k", "m"), *unit("subschedule", "x")))
-    return docs, units.where("content is not null or heading is not null")
+    units = s.select("source_id", path("i"), *unit("section", "s"))
+    for more in (sub.select("source_id", path("i", "j"), *unit("subsection", "u")), sched.select("source_id", path(F.col("i"), after), *unit("schedule", "u")), deep.select("source_id", path("i", "j", "k"), *unit("schedule", "w")), inner.select("source_id", path("i", "j", "k"), *unit("subschedule", "x")), under.select("source_id", path("i", "j", "k", "m"), *unit("subschedule", "x"))):
+        units = units.unionByName(more)
+    says = F.col("content").isNotNull() | (F.col("kind").isin("schedule", "subschedule") & F.col("heading").isNotNull())
+    # what says something keeps all that it stands in
+    held = units.where(says).select("source_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path")).distinct()
+    return docs, units.join(held, ["source_id", "path"], "left_semi")
+
+
+def normalize(records: dict[str, DataFrame]) -> DataFrame:
+    """Documents of all kinds of records under the same columns; an unknown kind is an error."""
+    make = {"ebook": lambda r: ebook(r)[0], "qna_type1": qna, "qna_type2": qna, "blog": blog, "forum": forum}
+    if unknown := set(records) - set(make):
+        raise ValueError(f"unknown kinds {sorted(unknown)}")
+    out = None
+    for kind, rows in records.items():
+        docs = make[kind](rows)
+        docs = docs.withColumn("source_type", F.lit(kind)) if kind.startswith("qna") else docs
+        out = docs if out is None else out.unionByName(docs, allowMissingColumns=True)
+    return out

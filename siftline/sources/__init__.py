@@ -1,32 +1,61 @@
-"""Readers and writers of snapshots, question sets and versioned tables."""
+"""Readers and writers of snapshots, question sets, versioned tables and whole indexes."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array of records; what doesn't fit the schema is in _corrupt_record. A missing file is an error."""
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(whole).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """Records of a JSON array or of an object's ``results``; what doesn't fit the schema is in _corrupt_record.
+
+    A missing file is an error. An empty array gives no rows.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("results", T.ArrayType(schema)), T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.schema(whole).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    own = rows.where("results is null").drop("results")
+    inner = rows.select(F.explode("results").alias("r")).select("r.*", F.lit(None).cast("string").alias("_corrupt_record"))
+    return own.unionByName(inner)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """JSON arrays, one file for each partition; read_snapshot reads the folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            for x in batch.column("j").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first else ",") + x])], ["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if not first else "[]"])], ["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("j")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Question sets as JSON lines, empty and `//` lines skipped: id, question, expected_source_ids, tags."""
+    """Question sets as JSON lines, empty and `//` lines skipped: id, question, expected_source_ids, expected_answer, tags.
+
+    A question without an id is `ex` and its place among the questions. A line that isn't a question with its expected
+    ids is an error. Sets are files that people keep: one task numbers them.
+    """
     schema = "id string, question string, expected_source_ids array<string>, expected_answer string, tags array<string>"
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(//.*)?$"))
-    rows = lines.select(F.from_json("value", schema).alias("r"), F.xxhash64("value").alias("h")).select("r.*", "h")
-    bad = F.col("question").isNull() | F.col("expected_source_ids").isNull()
-    return rows.where(~bad).select(F.coalesce("id", F.concat(F.lit("ex"), F.hex("h"))).alias("id"), "question", "expected_source_ids", "expected_answer", "tags")
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(//.*)?$")).withColumn("line", F.monotonically_increasing_id())
+    rows = lines.select("value", "line", F.from_json("value", schema).alias("r"))
+    bad = F.col("r.question").isNull() | F.col("r.expected_source_ids").isNull()
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("not a question: "), F.substring("value", 1, 80)))).otherwise(F.col("r.question"))
+    place = F.row_number().over(Window.orderBy("line")) - 1
+    return rows.select(F.coalesce("r.id", F.concat(F.lit("ex"), place.cast("string"))).alias("id"), checked.alias("question"), "r.expected_source_ids", "r.expected_answer", "r.tags")
+
+
+def write_questions(rows: DataFrame, path: str) -> None:
+    """Question sets as JSON lines."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
@@ -36,45 +65,165 @@ def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy(form.alias("form")).agg(F.min_by("value", "line").alias("question"), F.min("line").alias("line"))
 
 
+def write_report(summary: DataFrame, rows: DataFrame, path: str) -> dict:
+    """A run's rows as JSON lines in path/rows and its summary (one row) in path/summary; the summary is returned."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    return summary.first().asDict(True)
+
+
+def fingerprint(df: DataFrame) -> dict:
+    """Rows and two sums of row hashes: the same for the same rows in any order, repeats counted, nulls told by their column."""
+    cols = [F.struct(F.lit(i), F.col(f"`{c}`").isNull(), F.to_json(F.struct(F.col(f"`{c}`").alias("x")))) for i, c in enumerate(sorted(df.columns))]
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *cols).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(name) for seed, name in ((1, "mark"), (2, "mark2"))]
+    return df.agg(F.count("*").alias("rows"), *sums).first().asDict()
+
+
+def is_empty(df: DataFrame) -> bool:
+    return df.isEmpty()
+
+
+class Files:
+    """Paths of any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm = spark.sparkContext._jvm
+        self.gateway = spark.sparkContext._gateway
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path(root).getFileSystem(self.conf)
+
+    def path(self, p: str):
+        return self.jvm.org.apache.hadoop.fs.Path(p)
+
+    def exists(self, p: str) -> bool:
+        return self.fs.exists(self.path(p))
+
+    def names(self, p: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path(p))] if self.exists(p) else []
+
+    def write(self, p: str, text: str, overwrite: bool = False) -> None:
+        out = self.fs.create(self.path(p), overwrite)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def rename(self, a: str, b: str, overwrite: bool = False) -> None:
+        """In one step; an existing file at b is replaced only if told so."""
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE if overwrite else kind.NONE
+        at = self.fs.makeQualified(self.path(a))
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.conf).rename(at, self.fs.makeQualified(self.path(b)), options)
+
+
 class VersionedTables:
-    """Tables as numbered Parquet folders; a pointer file, written last, names the version that counts."""
+    """Tables as numbered Parquet folders; a pointer file, replaced last and in one step, names the version that counts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files = Files(spark, self.root)
 
     def version(self, name: str) -> int:
         at = f"{self.root}/{name}/CURRENT"
-        return int(self.spark.read.text(at).first()[0]) if self._fs.exists(self._path(at)) else 0
+        return int(self.spark.read.text(at).first()[0]) if self.files.exists(at) else 0
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/v={self.version(name)}")
 
     def publish(self, name: str, df: DataFrame) -> int:
-        """Write the next version in full, then move the pointer: readers see the old or the new one whole."""
-        v = self.version(name) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
-        tmp = self._path(f"{self.root}/{name}/.CURRENT-{uuid.uuid4().hex}")
-        out = self._fs.create(tmp)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        to = self._path(f"{self.root}/{name}/CURRENT")
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        self._fs.rename(tmp, to)
+        """Write a new version in full, then move the pointer: readers see the old or the new one whole.
+
+        A version's number is above all that were ever begun, whatever the pointer says, and is claimed by a file that
+        only one publisher can create; no version is written over.
+        """
+        begun = [int(n.split("=")[1].split(".")[0]) for n in self.files.names(f"{self.root}/{name}") if n.startswith("v=")]
+        v = max(begun, default=0) + 1
+        while True:
+            try:
+                self.files.write(f"{self.root}/{name}/v={v}.claim", "")
+                break
+            except Exception as e:
+                if "AlreadyExists" not in str(e):
+                    raise
+                v += 1
+        df.write.mode("error").parquet(f"{self.root}/{name}/v={v}")
+        tmp = f"{self.root}/{name}/.CURRENT-{uuid.uuid4().hex}"
+        self.files.write(tmp, str(v))
+        self.files.rename(tmp, f"{self.root}/{name}/CURRENT", overwrite=True)
         return v
 
     def manifest(self, name: str, key: str) -> str:
-        """Row count and a fingerprint that doesn't depend on order, as JSON."""
+        """Row count, distinct keys and a fingerprint that doesn't depend on order, as JSON."""
         df = self.read(name)
-        row = df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("mark"), F.countDistinct(key).alias("keys")).first()
-        return json.dumps(row.asDict() | {"version": self.version(name)}, sort_keys=True)
+        keys = df.agg(F.countDistinct(key)).first()[0]
+        return json.dumps(fingerprint(df) | {"keys": keys, "version": self.version(name)}, sort_keys=True)
 
     def check_import(self, name: str, key: str, manifest: str) -> None:
         """An error if the table isn't what the manifest says."""
         told, is_ = json.loads(manifest), json.loads(self.manifest(name, key))
-        wrong = [k for k in ("rows", "mark", "keys") if told[k] != is_[k]]
+        wrong = [k for k in ("rows", "mark", "mark2", "keys") if told[k] != is_[k]]
         if wrong:
             raise ValueError(f"{name}: {', '.join(wrong)} differ from the manifest")
+
+
+FORMAT = 1
+
+
+def export_index(spark: SparkSession, tables: dict[str, DataFrame], path: str, about: dict, pending: DataFrame | None = None) -> dict:
+    """Write tables and a manifest (row counts, fingerprints, columns, ``about``: dim, model, pipeline, signature) to a
+    folder that appears whole or not at all. Refused while any row is pending; run ids of this place are left out."""
+    if pending is not None and not pending.isEmpty():
+        raise ValueError("some chunks have no vector of this model yet")
+    files, partial = Files(spark, path), f"{path.rstrip('/')}.partial-{uuid.uuid4().hex}"
+    manifest = {"format": FORMAT, "about": about, "tables": {}}
+    for name, df in tables.items():
+        if "last_run_id" in df.columns:
+            df = df.withColumn("last_run_id", F.lit(None).cast(df.schema["last_run_id"].dataType))
+        df.write.parquet(f"{partial}/{name}")
+        # the fingerprint is of what was written
+        manifest["tables"][name] = fingerprint(spark.read.parquet(f"{partial}/{name}")) | {"columns": sorted(df.columns)}
+    files.write(f"{partial}/manifest.json", json.dumps(manifest, sort_keys=True))
+    files.rename(partial, path)
+    return manifest
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))
+
+
+def check_compatibility(manifest: dict, about: dict, other_model: bool = False) -> list[str]:
+    """Warnings; an error for another format or dimension, and for another model unless that is allowed."""
+    told = manifest["about"]
+    if manifest["format"] != FORMAT:
+        raise ValueError(f"format {manifest['format']}, not {FORMAT}")
+    if told.get("dim") != about.get("dim"):
+        raise ValueError(f"vectors of {told.get('dim')}, not {about.get('dim')}")
+    if told.get("model") != about.get("model") and not other_model:
+        raise ValueError(f"vectors of model {told.get('model')}, not {about.get('model')}")
+    return [f"{k} {told.get(k)}, not {about.get(k)}" for k in ("model", "pipeline", "signature") if told.get(k) != about.get(k)]
+
+
+def import_index(spark: SparkSession, path: str, into: VersionedTables, schemas: dict[str, T.StructType], about: dict, force: bool = False, other_model: bool = False) -> tuple[dict, list[str]]:
+    """Publish an exported index's tables, all checked before the first is: names, fingerprints, columns.
+
+    Columns that the export lacks are null. Tables that have rows are replaced only with ``force``. Returns the manifest
+    and warnings; what was done is a row of the table `imports`.
+    """
+    manifest = read_manifest(spark, path)
+    warnings = check_compatibility(manifest, about, other_model)
+    if set(manifest["tables"]) != set(schemas):
+        raise ValueError(f"tables {sorted(manifest['tables'])}, not {sorted(schemas)}")
+    read = {}
+    for name, told in manifest["tables"].items():
+        df = spark.read.parquet(f"{path}/{name}")
+        if extra := set(df.columns) - set(schemas[name].names):
+            raise ValueError(f"{name}: unknown columns {sorted(extra)}")
+        if bad := [k for k, v in fingerprint(df).items() if told[k] != v]:
+            raise ValueError(f"{name}: {', '.join(bad)} differ from the manifest")
+        if not force and into.version(name) and not is_empty(into.read(name)):
+            raise ValueError(f"{name} has rows")
+        read[name] = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas[name]))
+    for name, df in read.items():
+        into.publish(name, df)
+    row = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(path).alias("path"), F.lit(json.dumps(manifest, sort_keys=True)).alias("manifest"), F.lit("; ".join(warnings)).alias("warnings"))
+    into.publish("imports", row.unionByName(into.read("imports")) if into.version("imports") else row)
+    return manifest, warnings
