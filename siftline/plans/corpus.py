@@ -134,11 +134,12 @@ def ordered_array_agg_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.where("n > 1").select("conv_id", F.array_join(F.col("r.role"), ",").alias("roles"), "n")
 
 
-@query("SELECT source, md5(string_agg(doc_id || ':' || md5(text), ',' ORDER BY doc_id)) mark FROM documents GROUP BY source")
+@query("SELECT source, md5(string_agg(m, ',' ORDER BY b)) mark FROM (SELECT source, doc_id // 1000 b, md5(string_agg(doc_id || ':' || md5(text), ',' ORDER BY doc_id)) m FROM documents GROUP BY ALL) GROUP BY source")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5("text")).alias("m"))
-    g = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "m"))).alias("l"))
-    return g.select("source", F.md5(F.array_join(F.col("l.m"), ",")).alias("mark"))
+    """Of ranges of a thousand ids first, then of those: no array holds a whole source's rows."""
+    d = _docs(spark, sf_dir).select("source", "doc_id", F.floor(F.col("doc_id") / 1000).alias("b"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5("text")).alias("m"))
+    joined = lambda by: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "m"))), lambda x: x["m"]), ","))
+    return d.groupBy("source", "b").agg(joined("doc_id").alias("m")).groupBy("source").agg(joined("b").alias("mark"))
 
 
 @query("SELECT conv_id, turn, back FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) back FROM conversations) WHERE back <= 6")
@@ -146,7 +147,7 @@ def conv_recent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.recent(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "back")
 
 
-@query("WITH l AS (SELECT conv_id, turn, role || ': ' || substr(coalesce(text, ''), 1, 600) line FROM conversations), u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) back, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn DESC) used FROM l) SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) transcript, count(*) turns FROM u WHERE back = 1 OR used <= 2500 GROUP BY conv_id")
+@query("WITH f AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) t FROM conversations), l AS (SELECT conv_id, turn, role || ': ' || substr(t, 1, 600) || CASE WHEN length(t) > 600 THEN '…' ELSE '' END line FROM f), u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) back, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn DESC) used FROM l) SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) transcript, count(*) turns FROM u WHERE back = 1 OR used <= 2500 GROUP BY conv_id")
 def conv_render_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.transcript(table(spark, sf_dir, "conversations"))
 
