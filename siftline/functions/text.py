@@ -46,6 +46,10 @@ VARIANTS = {plain(k): plain(v) for k, v in {"নাম্বার": "নম্
 _NFC = "[\\p{M}\u0340-\u0387\u0958-\u095f\u09dc-\u09df\u0a33-\u0a5e\u0b5c\u0b5d\u0f43-\u0fb9\u1100-\u11ff\u1f71-\u1ffd\u2000\u2001\u2126-\u212b\u2329\u232a\u2adc\uf900-\ufaff\ufb1d-\ufb4e\\x{1d15e}-\\x{1d1c0}\\x{2f800}-\\x{2fa1d}]"
 
 
+def is_ascii(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
 def bn_to_ascii_digits(c: Column) -> Column:
     return F.translate(c, BN_DIGITS, ASCII_DIGITS)
 
@@ -61,7 +65,11 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def clean_unicode(c: Column) -> Column:
     """NFC without zero-width characters and soft hyphens. Only texts that NFC may change go to Python."""
-    return F.translate(F.coalesce(_nfc(F.when(c.rlike(_NFC), c)), c), ZERO_WIDTH, "")
+    return F.when(is_ascii(c), c).otherwise(F.translate(_composed(c), ZERO_WIDTH, ""))
+
+
+def _composed(c: Column) -> Column:
+    return F.coalesce(_nfc(F.when(~is_ascii(c) & c.rlike(_NFC), c)), c)
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -74,9 +82,11 @@ def normalize_whitespace(c: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Lower-case words of letters, digits, underscore and the Bengali block, without lone underscores; spelling
     variants of a word are one. A null text gives null."""
-    words = F.filter(F.regexp_extract_all(F.lower(bn_to_ascii_digits(clean_unicode(c))), F.lit(f"({TOKEN})"), F.lit(1)), lambda t: t != "_")
+    words = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit(f"({TOKEN})"), F.lit(1)), lambda t: t != "_")
     known = F.create_map(*(F.lit(x) for kv in VARIANTS.items() for x in kv))
-    return F.transform(words, lambda t: F.when(t.isin(*VARIANTS), F.element_at(known, t)).otherwise(t))
+    full = F.transform(words(bn_to_ascii_digits(clean_unicode(c))), lambda t: F.when(t.isin(*VARIANTS), F.element_at(known, t)).otherwise(t))
+    # what only some texts need is slow: others go round it
+    return F.when(is_ascii(c), words(c)).when(~c.rlike(f"[ঀ-৿{ZERO_WIDTH}]"), words(_composed(c))).otherwise(full)
 
 
 def lexical_text(c: Column) -> Column:
@@ -110,10 +120,10 @@ def is_bengali(c: Column) -> Column:
 
 def lexical_coverage(terms: Column, tokens: Column) -> Column:
     """Share of terms that tokens hold; `x:*` asks for a beginning; no terms give 0."""
-    begins = F.filter(terms, lambda t: t.endswith(":*"))
-    begun = F.filter(begins, lambda t: F.exists(tokens, lambda k: k.startswith(F.regexp_replace(t, r":\*$", ""))))
+    stems = F.transform(F.filter(terms, lambda t: t.endswith(":*")), lambda t: F.substring(t, F.lit(1), F.length(t) - 2))
+    begun = F.filter(stems, lambda s: F.exists(tokens, lambda k: k.startswith(s)))
     # whole words are matched through a hash set; the slower test runs only where a beginning is asked for
-    n = F.size(F.array_intersect(terms, tokens)) + F.when(F.size(begins) > 0, F.size(begun)).otherwise(0)
+    n = F.size(F.array_intersect(terms, tokens)) + F.when(F.size(stems) > 0, F.size(begun)).otherwise(0)
     return F.when(F.size(terms) > 0, n / F.size(F.array_distinct(terms))).otherwise(0.0)
 
 
