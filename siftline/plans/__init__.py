@@ -22,3 +22,13 @@ def query(sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from files, dealt out to all cores if Spark cuts it into fewer pieces than there are.
+
+    That is so only where it has less than some 4 MB (spark.sql.files.openCostInBytes) for each core, most often as one
+    row group, which one task would read and work on; a larger table is read as it lies and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

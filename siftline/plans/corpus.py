@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import analyze as A
 from ..functions.text import html_strip as strip, html_to_text as to_text, normalize_whitespace, text_hash, token_count, tokenize
 from ..operators import answer, chunk, evaluate, memory, sections, suggest, sync
-from . import query, table
+from . import query, spread, table
 from .retrieval import ASKED, TOK
 
 PARTS = "p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 chunk_index, trim(line) content FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) pos, unnest(l) line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) l FROM documents)) WHERE trim(line) <> '')"
@@ -24,19 +24,19 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len(t) n_tokens, md5(array_to_string(t, ' ')) terms_md5 FROM (SELECT doc_id, {TOK.format('text')} t FROM documents)")
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _docs(spark, sf_dir).select("doc_id", tokenize(F.col("text")).alias("t"))
+    t = spread(_docs(spark, sf_dir)).select("doc_id", tokenize(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("terms_md5"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) df, count(*) tf FROM (SELECT doc_id, unnest({TOK.format('text')}) term FROM documents) GROUP BY term")
 def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _docs(spark, sf_dir).select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
+    w = spread(_docs(spark, sf_dir)).select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
     return w.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(text) > 0 THEN greatest(1, floor(length(text) / 2.3))::BIGINT ELSE 0 END tokens, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, chr(9), ' '), chr(13), ' '), chr(160), ' '), ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'))) clean_chars, sha256(concat(lang, chr(31), source)) key_hash FROM documents")
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", token_count(F.col("text")).alias("tokens"), F.length(normalize_whitespace(F.col("text"))).cast("long").alias("clean_chars"), text_hash(F.col("lang"), F.col("source")).alias("key_hash"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", token_count(F.col("text")).alias("tokens"), F.length(normalize_whitespace(F.col("text"))).cast("long").alias("clean_chars"), text_hash(F.col("lang"), F.col("source")).alias("key_hash"))
 
 
 @query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<head\b.*?</head>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) text_md5 FROM pages")

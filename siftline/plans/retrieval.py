@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ASCII_DIGITS, BN_DIGITS, BN_STOPWORDS, EN_STOPWORDS, VARIANTS, ZERO_WIDTH, lexical_coverage, query_terms, tokenize
 from ..functions.analyze import check_filters
 from ..operators import embed, evaluate, retrieval as R
-from . import query, table
+from . import query, spread, table
 
 # SQL shared by the queries below
 VARIANT = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VARIANTS.items()) + " ELSE t END"
@@ -84,7 +84,7 @@ def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 100).alias("authority"))
     head = F.substring_index("text", "\n", 1)
     rest = F.substring("text", F.length(head) + 2, F.length("text"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = spread(table(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
     return asked, docs.select(F.col("doc_id").alias("id"), tokenize(head).alias("title"), tokenize(rest).alias("body"), F.coalesce("authority", F.lit(0)).alias("authority"))
 
 
@@ -95,7 +95,7 @@ SELECT h.query_id, h.id, round(hits / n, 6) coverage FROM h JOIN q ON q.query_id
 def lexical_coverage_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = R.lexical_topk(*_lexical(spark, sf_dir)).select("query_id", "id")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text")).alias("qt"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text")
     told = top.join(q, "query_id").join(d, "id").withColumn("t", tokenize(F.col("text")))
     return told.select("query_id", "id", F.round(lexical_coverage(F.col("qt"), F.col("t")), 6).alias("coverage"))
 
@@ -179,7 +179,7 @@ SELECT query_id, id, rerank, final_rank FROM (SELECT *, row_number() OVER (PARTI
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _hybrid_pool(spark, sf_dir).select("query_id", "id", "fused_rank", "quality")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(tokenize(F.col("text"))).alias("qt"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text")
     both = pool.join(q, "query_id").join(d, "id").withColumn("t", tokenize(F.col("text")))
     return R.rerank(both, lexical_coverage(F.col("qt"), F.col("t")), F.coalesce("quality", F.lit(0)) * 100).select("query_id", "id", "rerank", "final_rank")
 
@@ -197,7 +197,7 @@ SELECT query_id, doc_id, section, row_number() OVER (PARTITION BY query_id ORDER
 def provision_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's lines are its provisions, its first line its title; each hundredth document asks for one of its first
     eight lines by its title's terms."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     head = F.substring_index("text", "\n", 1)
     titles = docs.select("doc_id", tokenize(head).alias("tokens"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content"))

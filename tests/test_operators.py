@@ -393,3 +393,14 @@ def test_last_wins_aggregates_before_the_shuffle(spark):
     assert sorted(map(tuple, out.collect())) == sorted([(2, "a", 5, 1), (3, None, None, 0), (5, "b", 3, 2)])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_max_by" in plan
+
+
+def test_spread_deals_out_small_tables_only(spark, tmp_path):
+    from siftline.plans import spread
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/few")
+    spark.range(100).repartition(8).write.parquet(f"{tmp_path}/many")
+    few, many = spark.read.parquet(f"{tmp_path}/few"), spark.read.option("mergeSchema", False).parquet(f"{tmp_path}/many")
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in spread(few).collect()) == list(range(100))
+    assert many.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism or spread(many) is many
