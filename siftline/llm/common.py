@@ -66,6 +66,20 @@ def anew(name: str) -> Column:
     return F.col(name).bitwiseXOR(F.lit(0).cast("long")).alias(name)
 
 
+def anew_text(name: str) -> Column:
+    """The same of a string column."""
+    return F.concat(F.col(name), F.lit("")).alias(name)
+
+
+def runs_of(batches: Iterable[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """(values, rows) of stretches of each batch that have the same integers in these columns."""
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in by], 1)
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]])) if len(keys) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield tuple(keys[a].tolist()), batch.slice(a, b - a)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that operators read, under fixed names; other columns of the input can't clash with theirs."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
