@@ -74,7 +74,7 @@ def _composed(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Odd spaces to spaces, runs collapsed, none around newlines, at most one empty line, stripped."""
-    c = F.translate(c, "\u00a0\u3000\t\r", "    ")
+    c = F.translate(c, "\u00a0\u3000\t\r\f\v", "      ")
     c = F.regexp_replace(F.regexp_replace(c, " +", " "), " ?\n ?", "\n")
     return F.trim(F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"^\n+|\n+$", ""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_to_bn_digits, clean_unicode
+from ..functions.text import ascii_to_bn_digits, bn_to_ascii_digits, clean_unicode
 
 VECTOR_FLOOR, RERANK_FLOOR, COVERAGE_FLOOR = 0.50, 0.05, 0.6
 CONTEXT_CHARS = 12_000
@@ -41,9 +41,19 @@ def expand_siblings(hits: DataFrame, chunks: DataFrame, on: list[str], k: int =
     return first.join(chunks, on)
 
 
+# Tags of prompts, hints of injected instructions, and what marks a citation.
+PROMPT_TAG = r"</?\s*(sources?|system|instructions?|user|assistant)\b[^>]*>"
+HINTS = [r"ignore (all|any|the)? ?(previous|above|prior) (instructions|rules)", r"disregard (the )?(system|previous)", "you are now", "system prompt", r"reveal (your|the) (prompt|instructions)", "পূর্ববর্তী নির্দেশ(না)? উপেক্ষা"]
+ODD_MARK = r"[【［〔]\s*([0-9০-৯]{1,2})\s*(?:†[^】］〕\n]{0,40})?[】］〕]"
+REPEATED = r"(\[\d{1,2}\])(?:\s*\1)+"
+
+
 def sanitize(c: Column) -> Column:
-    """Look-alikes of our own delimiters lose their angle brackets."""
-    return F.regexp_replace(c, r"(?i)<(/?(?:source|context|system|document)[^<>]*)>", "‹$1›")
+    """What looks like a tag of the prompt has ‹ and › for its angle brackets."""
+    tags = F.regexp_extract_all(c, F.lit(f"(?iuU)({PROMPT_TAG})"), F.lit(1))
+    # the longest first, so that no tag is changed inside another
+    tags = F.reverse(F.array_sort(F.transform(F.array_distinct(tags), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
+    return F.aggregate(tags, c, lambda text, t: F.replace(text, t["t"], F.translate(t["t"], "<>", "‹›")))
 
 
 def clean_message(c: Column, limit: int = 1000) -> Column:
@@ -53,7 +63,8 @@ def clean_message(c: Column, limit: int = 1000) -> Column:
 
 
 def injection_hint(c: Column) -> Column:
-    return c.rlike(r"(?i)(ignore|disregard|forget)\s+(all\s+|the\s+|any\s+)*(previous|above|prior)\s+(instructions|prompts?)|system\s+prompt")
+    """Whether a message sounds like instructions to the model; for logs only."""
+    return c.rlike(f"(?iu)({'|'.join(HINTS)})")
 
 
 def strip_urls(c: Column, allowed: Column) -> Column:
@@ -64,11 +75,28 @@ def strip_urls(c: Column, allowed: Column) -> Column:
     return F.aggregate(bad, c, lambda text, u: F.replace(text, u["u"], F.lit("")))
 
 
+def plain_marks(c: Column) -> Column:
+    """The text with each mark of one or two digits as [k] in ASCII, whatever brackets, digits and line ranges it had."""
+    c = F.regexp_replace(c, ODD_MARK, "[$1]")
+    marks = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\[[0-9০-৯]{1,2}\])"), F.lit(1)))
+    return F.aggregate(marks, c, lambda text, m: F.replace(text, m, bn_to_ascii_digits(m)))
+
+
+def _numbers(plain: Column) -> Column:
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"\[([0-9]{1,2})\]"), F.lit(1)), lambda x: F.struct(x.alias("mark"), x.cast("int").alias("k")))
+
+
 def citations(c: Column, n: Column) -> Column:
-    """Distinct numbers cited as [k], 1 <= k <= n, in order of first use; other brackets and digit sets count too."""
-    plain = F.translate(c, "【】［］০১২৩৪৫৬৭৮৯", "[][]0123456789")
-    found = F.transform(F.regexp_extract_all(plain, F.lit(r"\[\s*([0-9]{1,4})\s*\]"), F.lit(1)), lambda x: x.cast("int"))
-    return F.array_distinct(F.filter(found, lambda x: (x >= 1) & (x <= n)))
+    """Distinct numbers cited (see plain_marks), 1 <= k <= n, in order of first use."""
+    return F.array_distinct(F.filter(F.transform(_numbers(plain_marks(c)), lambda x: x["k"]), lambda k: (k >= 1) & (k <= n)))
+
+
+def cited_text(c: Column, n: Column) -> Column:
+    """The answer with the citations that ``citations`` counts as [k] in ASCII: others go, repeats beside each other are one."""
+    plain = plain_marks(c)
+    bad = F.array_distinct(F.filter(_numbers(plain), lambda x: (x["k"] < 1) | (x["k"] > n)))
+    left = F.aggregate(bad, plain, lambda text, x: F.replace(text, F.concat(F.lit("["), x["mark"], F.lit("]")), F.lit("")))
+    return F.regexp_replace(left, REPEATED, "$1")
 
 
 def count_and_list(docs: DataFrame, kind: str, year: str, title: str, k: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -135,19 +163,6 @@ def references(sources: DataFrame) -> DataFrame:
     return lines.select("query_id", F.concat(F.lit(f"{REFERENCES}\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
 
 
-def cited_text(c: Column, n: Column) -> Column:
-    """The answer with its citations as [k] in ASCII: those out of range go, repeats beside each other are one."""
-    plain = F.regexp_replace(c, r"[【［〔]\s*([0-9০-৯]{1,2})\s*(?:†[^】］〕\n]{0,40})?[】］〕]", "[$1]")
-    marks = F.regexp_extract_all(plain, F.lit(r"(\[[0-9০-৯]{1,2}\])"), F.lit(1))
-    # one mark after the other: to ASCII, or away
-    def one(text: Column, mark: Column) -> Column:
-        k = F.translate(F.regexp_replace(mark, r"[\[\]]", ""), "০১২৩৪৫৬৭৮৯", "0123456789").cast("int")
-        return F.replace(text, mark, F.when(k.between(1, n), F.concat(F.lit("["), k.cast("string"), F.lit("]"))).otherwise(""))
-
-    out = F.aggregate(F.array_distinct(marks), plain, one)
-    return F.regexp_replace(out, r"(\[\d{1,2}\])(?:\s*\1)+", "$1")
-
-
 def visible(answer: Column, sources: Column, hidden: str = "qna") -> tuple[Column, Column]:
     """(answer, sources) as shown: sources that are cited and of no hidden type; marks of cited hidden ones leave the answer.
 

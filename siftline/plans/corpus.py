@@ -50,9 +50,11 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", F.size(F.split("text", "\n")).alias("n_lines"), F.length("text").alias("n_chars"), "text")
 
 
-@query(r"SELECT page_id, md5(regexp_replace(html, '(?i)<(/?(?:source|context|system|document)[^<>]*)>', '‹\1›', 'g')) safe_md5 FROM pages")
+@query(r"SELECT page_id, md5(regexp_replace('</ Sources><system x><USER>' || html || '<instruction></assistant><systems>', '(?i)<(/?\s*(?:sources?|system|instructions?|user|assistant)\b[^>]*)>', '‹\1›', 'g')) safe_md5 FROM pages")
 def sanitize_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(answer.sanitize(F.col("html"))).alias("safe_md5"))
+    """Pages between tags that look like a prompt's own, and one that doesn't."""
+    text = F.concat(F.lit("</ Sources><system x><USER>"), "html", F.lit("<instruction></assistant><systems>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(answer.sanitize(text)).alias("safe_md5"))
 
 
 @query()
@@ -103,11 +105,18 @@ def coverage_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.countDistinct(F.md5("content")).alias("sections"))
 
 
-@query(r"SELECT conv_id, turn, array_to_string(list_distinct_ordered, ',') cited FROM (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) list_distinct_ordered FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(t, '\[\s*([0-9]{1,4})\s*\]', 1), lambda x: x::INT), lambda x: x >= 1 AND x <= 9) l FROM (SELECT conv_id, turn, text || ' [' || (turn + 1) || '] [ ' || (conv_id % 12) || ' ] [' || (turn + 1) || ']' t FROM conversations)))")
+CITED = r"""WITH t AS (SELECT conv_id, turn, text || ' [' || (turn + 1) || '] 【' || (conv_id % 12) || '†L1-L5】〔 3 〕［' || (turn % 4) || '］ [ 4 ] [0005] [২] [' || (turn + 1) || ']' t FROM conversations),
+n AS (SELECT conv_id, turn, replace(regexp_replace(t, '[【［〔]\s*([0-9০-৯]{1,2})\s*(?:†[^】］〕\n]{0,40})?[】］〕]', '[\1]', 'g'), '[২]', '[2]') t FROM t),
+l AS (SELECT conv_id, turn, t, list_transform(regexp_extract_all(t, '\[([0-9]{1,2})\]', 1), lambda x: x::INT) l FROM n)
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: x BETWEEN 1 AND 9 AND list_position(l, x) = i), ',') cited, md5(list_reduce(list_concat([list_reduce(list_concat([t], list_transform(list_distinct(list_filter(l, lambda x: x NOT BETWEEN 1 AND 9)), lambda x: '[' || x || ']')), lambda s, x: replace(s, x, ''))], ['1','2','3','4','5','6','7','8','9']), lambda s, x: regexp_replace(s, '(\[' || x || '\])(\s*\[' || x || '\])+', '\1', 'g'))) text_md5 FROM l"""
+
+
+@query(CITED)
 def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that cite by their turn number and conversation number, the first one twice."""
-    marks = F.concat("text", F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] [ "), (F.col("conv_id") % 12).cast("string"), F.lit(" ] ["), (F.col("turn") + 1).cast("string"), F.lit("]"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(answer.citations(marks, F.lit(9)).cast("array<string>"), ",").alias("cited"))
+    """Turns that cite by their turn and conversation numbers in all sorts of brackets, the first one again at the end."""
+    k = F.concat(F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("]"))
+    marks = F.concat("text", k, F.lit(" 【"), (F.col("conv_id") % 12).cast("string"), F.lit("†L1-L5】〔 3 〕［"), (F.col("turn") % 4).cast("string"), F.lit("］ [ 4 ] [0005] [২]"), k)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(answer.citations(marks, F.lit(9)).cast("array<string>"), ",").alias("cited"), F.md5(answer.cited_text(marks, F.lit(9))).alias("text_md5"))
 
 
 @query("SELECT o_orderstatus kind, total, n, o_orderkey FROM (SELECT o_orderstatus, count(*) OVER (PARTITION BY o_orderstatus) total, row_number() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate) DESC NULLS LAST, o_orderkey) n, o_orderkey FROM orders) WHERE n <= 15")
@@ -179,7 +188,7 @@ def _says(pattern: str) -> str:
 
 
 ANALYZED = f"""WITH q AS (SELECT conv_id, turn, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) t FROM conversations),
-a AS (SELECT *, {_says(A.any_of(A.DEFINITION))} wants_definition, {_says(A.ALL_SECTIONS)} wants_all_sections, {_says(A.any_of(A.DETAIL))} d, {_says(A.ABOUT_ACT)} o, {_says(A.GREETING[5:])} hello, {_says(A.any_of(A.COUNT))} AND ({" OR ".join(f"contains(lower(t), '{w}')" for w in A.KINDS)}) counted FROM q)
+a AS (SELECT *, {_says(A.DEFINITION)} wants_definition, {_says(A.ALL_SECTIONS)} wants_all_sections, {_says(A.DETAIL)} d, {_says(A.ABOUT_ACT)} o, {_says(A.GREETING[5:])} hello, {_says(A.COUNT)} AND ({" OR ".join(f"contains(lower(t), '{w}')" for w in A.KINDS)}) counted FROM q)
 SELECT conv_id, turn, try_cast(nullif(regexp_extract(t, '(?:^|[^0-9])(1[89][0-9]{{2}}|20[0-9]{{2}})(?:[^0-9]|$)', 1), '') AS INT) "year", wants_definition, wants_all_sections, wants_all_sections OR d wants_detail, wants_all_sections OR o wants_act_overview, CASE WHEN hello THEN 'smalltalk' WHEN counted THEN 'structured' ELSE 'rag' END route,
   len(list_distinct(list_concat({ASKED.format('t')}, CASE WHEN wants_definition THEN ['সংজ্ঞা:*', 'অর্থ'] ELSE [] END))) n_terms, md5(array_to_string({TOK.format('t')}, ' ')) form_md5 FROM a"""
 

@@ -229,13 +229,14 @@ def accept_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(later, ["conv_id", "turn"], "left").select("conv_id", "turn", memory.accept_rewrite(F.col("text"), made, F.lit("fallback")).alias("standalone"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' x' END message, contains(lower(text), 'ignore previous instructions') hint, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 bengali, md5('k ' || text || ' password=***, gsk_***') redacted_md5 FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' x' END message, (contains(lower(text), 'ignore previous instructions') OR turn % 3 < 2) hint, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 bengali, md5('k ' || text || ' password=***, gsk_***') redacted_md5 FROM conversations")
 def message_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages with control characters, each fifth without a letter; secrets at the end of what is logged."""
+    """Messages with control characters, each fifth without a letter, two of three with a hint of injection; secrets at the end of what is logged."""
     t = F.col("text")
     sent = F.when(F.col("turn") % 5 == 4, "?! ").otherwise(F.concat(F.lit("\x01 "), t, F.lit("\x02 \n x")))
+    hint = _case(F.col("turn") % 3, F.lit(" You are now free"), F.lit(" disregard the system"), F.lit(" reveal the end"))
     logged = F.concat(F.lit("k "), t, F.lit(" password=hunter2, gsk_"), F.lit("a" * 30))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.clean_message(sent, 100_000).alias("message"), answer.injection_hint(t).alias("hint"), X.is_bengali(t).alias("bengali"), F.md5(X.redact_secrets(logged)).alias("redacted_md5"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.clean_message(sent, 100_000).alias("message"), answer.injection_hint(F.concat(t, hint)).alias("hint"), X.is_bengali(t).alias("bengali"), F.md5(X.redact_secrets(logged)).alias("redacted_md5"))
 
 
 @query()
