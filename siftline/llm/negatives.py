@@ -83,48 +83,53 @@ class Block:
         told = np.frombuffer(b"".join(t.column("summary").to_pylist()), "<f8").reshape(len(raw), -1)
         size, k = np.diff(_cuts(dim)).astype(float), told.shape[1] // 2
         mean, dev = told[:, :k], told[:, k:]
-        #: (lengths of segments, means, deviations)
-        self.levels = [(size, mean, dev)]
+        #: For each level, as sides of a product: (lengths times means, deviations) and (means, deviations).
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         with np.errstate(over="ignore", invalid="ignore"):
-            while len(size) > 1:
+            #: What doubles may have lost: 1e-9 of the norms' product.
+            loss = np.sqrt((self.x * self.x).sum(1, keepdims=True)) * 1e-9**0.5
+            self.tame = bool(np.isfinite(loss * loss).all())
+            while True:
+                self.levels.insert(0, (np.concatenate([mean * size, dev, loss], 1), np.concatenate([mean, dev, loss], 1)))
+                if len(size) == 1:
+                    break
                 pairs = np.arange(0, len(size), 2)
                 total = np.add.reduceat(size, pairs)
                 joint = np.add.reduceat(mean * size, pairs, 1) / total
                 apart = np.repeat(joint, np.diff([*pairs, len(size)]), 1) - mean
                 dev = np.sqrt(np.add.reduceat(dev * dev + size * apart * apart, pairs, 1))
                 size, mean = total, joint
-                self.levels.insert(0, (size, mean, dev))
-            self.norm = np.sqrt((self.x * self.x).sum(1))
 
     def __len__(self) -> int:
         return len(self.id)
 
 
-def bounds(a: Block, i: np.ndarray, b: Block, j: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least, greatest) score of pairs: of all rows i with all rows j where i is a column, else one by one.
+def products(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows: of all rows i with all rows j where i is a column and j a row, else one by one."""
+    if i.ndim == 2:
+        return x[i[:, 0]] @ y[j[0]].T
+    step = max(1, _AT_ONCE // x.shape[1])
+    return np.concatenate([*(np.einsum("ij,ij->i", x[i[k : k + step]], y[j[k : k + step]]) for k in range(0, len(i), step)), np.zeros(0)])
+
+
+def bounds(a: Block, i: np.ndarray, b: Block, j: np.ndarray, level: int, least: bool = False) -> np.ndarray:
+    """The greatest (or the least) score that pairs can have; see products for i and j.
 
     A segment's part of the score is its length times the means' product, give or take the deviations' product.
     """
-    size, mean, dev = a.levels[level]
-    _, other, spread = b.levels[level]
-    tiled = i.ndim == 2
-    i = i[:, 0] if tiled else i
-    with np.errstate(over="ignore", invalid="ignore"):
-        if tiled:
-            j = j[0]
-            middle, width, slack = (mean[i] * size) @ other[j].T, dev[i] @ spread[j].T, a.norm[i][:, None] * b.norm[j]
-        else:
-            middle, width, slack = (mean[i] * size * other[j]).sum(1), (dev[i] * spread[j]).sum(1), a.norm[i] * b.norm[j]
-        width += slack * 1e-9 + 1e-6  # what doubles may have lost
-        return np.nan_to_num(middle - width, nan=-np.inf), np.nan_to_num(middle + width, nan=np.inf)
+    left, right = a.levels[level][0], b.levels[level][1]
+    if least:
+        left = np.concatenate([left[:, : left.shape[1] // 2], -left[:, left.shape[1] // 2 :]], 1)
+    return products(left, i, right, j) + (-1e-6 if least else 1e-6)
 
 
 def exact(a: Block, i: np.ndarray, b: Block, j: np.ndarray) -> np.ndarray:
-    """Integer inner products of pairs, one by one; what a long can't hold is its nearest end."""
+    """Integer inner products of pairs; what a long can't hold is its nearest end."""
     if a.x.shape[1] * a.most * b.most < 2**53:  # doubles are exact
-        step = max(1, _AT_ONCE // a.x.shape[1])
-        return np.concatenate([*(np.einsum("ij,ij->i", a.x[i[k : k + step]], b.x[j[k : k + step]]) for k in range(0, len(i), step)), np.zeros(0)]).astype(np.int64)
-    return np.array([max(_LONG.min, min(_LONG.max, sum(int(p) * int(q) for p, q in zip(a.x[k], b.x[m])))) for k, m in zip(i, j)], np.int64)
+        return products(a.x, i, b.x, j).astype(np.int64)
+    pairs = np.broadcast_arrays(i, j)
+    told = [max(_LONG.min, min(_LONG.max, sum(int(p) * int(q) for p, q in zip(a.x[k], b.x[m])))) for k, m in zip(*(x.ravel().tolist() for x in pairs))]
+    return np.array(told, np.int64).reshape(pairs[0].shape)
 
 
 class Best:
@@ -158,30 +163,35 @@ class Best:
         return slot, self.score[slot, place], self.id[slot, place]
 
 
-def survivors(a: Block, i: np.ndarray, b: Block, j: np.ndarray, least: np.ndarray, most: np.ndarray | None = None, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows i and j whose bounds let their score lie from least to most (one for each row of a), level by level.
+#: Pairs of a tile are taken one by one once fewer than one in so many are left.
+SPARSE = 16
+
+
+def scored(a: Block, i: np.ndarray, b: Block, j: np.ndarray, least: np.ndarray, most: np.ndarray | None = None, other: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, scores) of the pairs of i and j whose bounds let their score lie from least to most (one for
+    each row of a), after all levels. With ``other`` the labels must differ, and else the ids.
 
-    With ``other`` the labels must differ, and else the ids.
+    Bounds of a tile are products of its summaries until few of its pairs are left; these go on one by one.
     """
     ok = a.label[i][:, None] != b.label[j] if other else a.id[i][:, None] != b.id[j]
-    low, high = bounds(a, i[:, None], b, j[None, :], 0)
-    ok &= high >= least[i][:, None]
-    if most is not None:
-        ok &= low <= most[i][:, None]
+    at, over = i[:, None], j[None, :]  # all pairs, or those that are left
+    for level in range(len(a.levels)) if a.tame and b.tame else ():
+        if at.ndim == 2 and ok.sum() * SPARSE < ok.size:
+            p, q = np.nonzero(ok)
+            at, over, ok = i[p], j[q], np.ones(len(p), bool)
+        low = least[at]
+        ok &= bounds(a, at, b, over, level) >= low
+        if most is not None:
+            ok &= bounds(a, at, b, over, level, least=True) <= most[at]
+        if at.ndim == 1:
+            at, over, ok = at[ok], over[ok], np.ones(int(ok.sum()), bool)
+    if at.ndim == 2 and ok.sum() * SPARSE < ok.size:
+        p, q = np.nonzero(ok)
+        at, over, ok = i[p], j[q], np.ones(len(p), bool)
+    if at.ndim == 1:
+        return at, over, exact(a, at, b, over)
     p, q = np.nonzero(ok)
-    i, j = i[p], j[q]
-    for level in range(1, len(a.levels)):
-        if not len(i):
-            break
-        keep = []
-        step = _AT_ONCE // SEGMENTS
-        for k in range(0, len(i), step):
-            low, high = bounds(a, i[k : k + step], b, j[k : k + step], level)
-            fit = high >= least[i[k : k + step]]
-            keep.append(fit if most is None else fit & (low <= most[i[k : k + step]]))
-        keep = np.concatenate(keep)
-        i, j = i[keep], j[keep]
-    return i, j
+    return i[p], j[q], exact(a, at, b, over)[p, q]
 
 
 def _tiles(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,8 +215,10 @@ class Positives:
         for label in np.unique(rows.label).tolist():
             if label in self.of:
                 for i, j in _tiles(self.of[label], np.flatnonzero(rows.label == label)):
-                    i, j = survivors(self.anchors, i, rows, j, self.best.floor())
-                    self.best.add(i, exact(self.anchors, i, rows, j), rows.id[j])
+                    floor = self.best.floor()
+                    i, j, score = scored(self.anchors, i, rows, j, floor)
+                    some = score >= floor[i]
+                    self.best.add(i[some], score[some], rows.id[j[some]])
 
     def told(self) -> list[np.ndarray]:
         slot, score, ids = self.best.rows()
@@ -238,8 +250,7 @@ class Negatives:
         most = self.high.max(1).astype(float)
         for i, j in _tiles(np.flatnonzero((self.low <= self.high).any(1)), np.arange(len(rows))):
             floor = np.maximum(self.best.floor().reshape(self.low.shape), self.low)
-            i, j = survivors(self.anchors, i, rows, j, np.where(self.low <= self.high, floor, _LONG.max).min(1).astype(float), most, other=True)
-            score = exact(self.anchors, i, rows, j)
+            i, j, score = scored(self.anchors, i, rows, j, np.where(self.low <= self.high, floor, _LONG.max).min(1).astype(float), most, other=True)
             for k in range(self.each):
                 ok = (score >= floor[i, k]) & (score <= self.high[i, k])
                 self.best.add(i[ok] * self.each + k, score[ok], rows.id[j[ok]])

@@ -136,7 +136,9 @@ def test_bounds_hold_at_each_level():
     true, last = (x[i] * x[j]).sum(1), np.inf
     assert len(b.levels) == 4
     for level in range(4):
-        low, high = negatives.bounds(b, i, b, j, level)
+        low, high = negatives.bounds(b, i, b, j, level, least=True), negatives.bounds(b, i, b, j, level)
+        tile = np.arange(50)
+        assert np.allclose(negatives.bounds(b, tile[:, None], b, tile[None, :], level).T.ravel(), high)
         assert (low <= true).all() and (true <= high).all()
         assert (high - low).sum() < last  # finer segments bound more tightly
         last = (high - low).sum()
