@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_DIGITS, BN_DIGITS, BN_STOPWORDS, EN_STOPWORDS, VARIANTS, ZERO_WIDTH, lexical_coverage, query_terms, tokenize
 from ..functions.analyze import check_filters
-from ..operators import embed, evaluate, retrieval as R
+from ..operators import embed, evaluate, postings, retrieval as R, vector_index
+from ..operators.keep import kept
 from . import query, spread, table
 
 # SQL shared by the queries below
@@ -78,13 +79,13 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lexical_topk(*_lexical(spark, sf_dir))
 
 
-def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The items' terms, and documents with their first line as title and their quality as authority."""
+def _lexical(spark: SparkSession, sf_dir: str, text: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The items' terms, and documents (or what they are said to say) with their first line as title and their quality as authority."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(query_terms(F.col("text"))).alias("term"))
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 100).alias("authority"))
     head = F.substring_index("text", "\n", 1)
     rest = F.substring("text", F.length(head) + 2, F.length("text"))
-    docs = spread(table(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("text", F.col("text") if text is None else text).join(labels, "doc_id", "left")
     return asked, docs.select(F.col("doc_id").alias("id"), tokenize(head).alias("title"), tokenize(rest).alias("body"), F.coalesce("authority", F.lit(0)).alias("authority"))
 
 
@@ -241,3 +242,67 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, q = F.col("id"), F.col("query_id")
     hits = R.vector_topk(*_vectors(spark, sf_dir), k=5).select("query_id", F.when(q % 300 == 0, 0.0).otherwise(F.col("score")).alias("vector"), F.when(q % 200 == 0, F.col("score") * (i % 3) / 10).alias("rerank"), ((i % 10) / 10.0).alias("coverage"), (i % 50 == 0).alias("exact"))
     return gate(hits).select("query_id", "vector", "rerank", "coverage", "exact", "sufficient")
+
+
+@query(f"WITH {LEX} {LEXTOP.format(30)}")
+def lexical_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical search through a positional index of all documents."""
+    asked, docs = _lexical(spark, sf_dir)
+    return postings.Search(kept(postings.build(docs)), asked).hits
+
+
+CHANGED = LEX.replace("FROM documents d LEFT JOIN", "FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN text || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5) d LEFT JOIN")
+
+
+@query(f"WITH {CHANGED} {LEXTOP.format(30)}")
+def lexical_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a sync: each eleventh document is gone, each seventh says everything twice."""
+    asked, docs = _lexical(spark, sf_dir)
+    index = kept(postings.build(docs))
+    more = docs.where("id % 7 = 3 and id % 11 <> 5")
+    _, twice = _lexical(spark, sf_dir, F.concat("text", F.lit("\n"), "text"))
+    changed = twice.join(more.select("id"), "id", "left_semi")
+    return postings.Search(kept(postings.replaced(index, changed, docs.where("id % 11 = 5"))), asked).hits
+
+
+COVERS = rf"""q AS (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) t FROM (SELECT item_id query_id, {TOK.format('text')} t FROM benchmark)), qq AS (SELECT query_id, t[1] a, t[2] b FROM q WHERE len(t) > 1),
+dt AS (SELECT d.doc_id id, coalesce(quality, 0) * 100 authority, {TOK.format(HEAD)} tt, {TOK.format(REST)} bt FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+w AS (SELECT id, authority, len(tt) + len(bt) len, unnest(list_concat(tt, bt)) word, generate_subscripts(list_concat(tt, bt), 1) p, len(tt) head FROM dt),
+m AS (SELECT query_id, id, authority, len, word = a AS is_a, p, CASE WHEN p <= head THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END wt FROM w JOIN (SELECT query_id, a, b, unnest([a, b]) x FROM qq) z ON z.x = word),
+c AS (SELECT *, lag(is_a) OVER v prev, lag(p) OVER v pp, lag(wt) OVER v pw FROM m WINDOW v AS (PARTITION BY query_id, id ORDER BY p)),
+s AS (SELECT query_id, id, authority, sum((2 / (1 / wt + 1 / pw)) / (1 + p - pp - 1)) / ln(1.0 + len) r FROM c WHERE is_a <> prev GROUP BY query_id, id, authority, len),
+ls AS (SELECT query_id, id, authority, round(r / (r + 1), 6) score FROM s)"""
+
+
+@query(f"WITH {COVERS} {LEXTOP.format(10)}")
+def lexical_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have the first two words of an item, by how near they stand; the covers of two words are neighbours in SQL."""
+    _, docs = _lexical(spark, sf_dir)
+    words = F.array_distinct(tokenize(F.col("text")))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("t")).where("size(t) > 1").select("query_id", F.posexplode(F.slice("t", 1, 2)).alias("part", "term"))
+    return postings.covers_topk(kept(postings.build(docs)), asked, 10)
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector search through inverted lists; tests measure its recall against vector_topk."""
+    q, e = _vectors(spark, sf_dir)
+    return vector_index.VectorIndex(e).search(q)
+
+
+@query()
+def vector_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among vectors of the query's own label and an even id, with cells widened until enough of them pass."""
+    q, e = _vectors(spark, sf_dir)
+    return vector_index.VectorIndex(e, tag="label").search(q, where=F.col("id") % 2 == 0)
+
+
+@query(f"WITH {VSIM}, t AS ({TOP.format('s', 30)}) SELECT query_id, true AS enough FROM t GROUP BY query_id")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether nine in ten of all queries' thirty nearest vectors are found, said for each query."""
+    q, e = _vectors(spark, sf_dir)
+    true = kept(R.vector_topk(q, e))
+    found = vector_index.VectorIndex(e).search(q).select("query_id", "id", F.lit(1).alias("hit"))
+    each = true.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("hit").alias("hits"), F.count("*").alias("n"))
+    share = each.agg((F.sum("hits") / F.sum("n")).alias("share"))
+    return each.crossJoin(F.broadcast(share)).select("query_id", (F.col("share") >= 0.9).alias("enough"))

@@ -11,15 +11,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .commits import CommitLog, Conflict, Files, Snapshot
+
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Records of a JSON array or of an object's ``results``; what doesn't fit the schema is in _corrupt_record.
 
-    A missing file is an error. An empty array gives no rows.
+    A missing file is an error, as is one that holds an object without ``results`` (`{"detail": ...}` is no record). An
+    empty array gives no rows. Of each file only the first characters are read before the query runs.
     """
     whole = T.StructType([*schema.fields, T.StructField("results", T.ArrayType(schema)), T.StructField("_corrupt_record", T.StringType())])
+    files = Files(spark, path)
+    names = [n for n in files.names(path) if not n.startswith(("_", "."))] if files.exists(path) else []
+    head = lambda n: files.head(path if files.is_file(path) else f"{path.rstrip('/')}/{n}").lstrip("\ufeff \t\r\n")
+    objects = [n for n in names if head(n)[:1] == "{"]
     rows = spark.read.schema(whole).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    own = rows.where("results is null").drop("results")
+    rows = rows.select("*", (F.col("_metadata.file_name").isin(objects) if objects else F.lit(False)).alias("_object"))
+    name = schema.fields[0].name
+    bad = F.col("_object") & F.col("_corrupt_record").isNull()
+    first = F.when(bad, F.raise_error(F.lit(f"{path}: neither records nor an object with results"))).otherwise(F.col(f"`{name}`"))
+    own = rows.where("results is null").withColumn(name, first.cast(schema.fields[0].dataType)).drop("results", "_object")
     inner = rows.select(F.explode("results").alias("r")).select("r.*", F.lit(None).cast("string").alias("_corrupt_record"))
     return own.unionByName(inner)
 
@@ -83,79 +94,36 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
-class Files:
-    """Paths of any file system that Spark knows."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark.sparkContext._jvm
-        self.gateway = spark.sparkContext._gateway
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.fs = self.path(root).getFileSystem(self.conf)
-
-    def path(self, p: str):
-        return self.jvm.org.apache.hadoop.fs.Path(p)
-
-    def exists(self, p: str) -> bool:
-        return self.fs.exists(self.path(p))
-
-    def names(self, p: str) -> list[str]:
-        return [s.getPath().getName() for s in self.fs.listStatus(self.path(p))] if self.exists(p) else []
-
-    def write(self, p: str, text: str, overwrite: bool = False) -> None:
-        out = self.fs.create(self.path(p), overwrite)
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    def rename(self, a: str, b: str, overwrite: bool = False) -> None:
-        """In one step; an existing file at b is replaced only if told so."""
-        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = self.gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE if overwrite else kind.NONE
-        at = self.fs.makeQualified(self.path(a))
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.conf).rename(at, self.fs.makeQualified(self.path(b)), options)
-
-
 class VersionedTables:
-    """Tables as numbered Parquet folders; a pointer file, replaced last and in one step, names the version that counts."""
+    """Tables of a commit log by their names, for writers of one table at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.files = Files(spark, self.root)
+        self.spark, self.root, self.log = spark, root.rstrip("/"), CommitLog(spark, root)
 
     def version(self, name: str) -> int:
-        at = f"{self.root}/{name}/CURRENT"
-        return int(self.spark.read.text(at).first()[0]) if self.files.exists(at) else 0
+        """The version that last wrote the table; 0 where none has."""
+        return self.log.snapshot().tables.get(name, {"since": 0})["since"]
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v={self.version(name)}")
+        return self.log.snapshot().read(name)
 
-    def publish(self, name: str, df: DataFrame) -> int:
-        """Write a new version in full, then move the pointer: readers see the old or the new one whole.
+    def publish(self, name: str, df: DataFrame, since: int | None = None) -> int:
+        """Write the table anew: readers see the old or the new one whole.
 
-        A version's number is above all that were ever begun, whatever the pointer says, and is claimed by a file that
-        only one publisher can create; no version is written over.
+        Nothing is written over what the caller has not seen: if another has written the table since version ``since``
+        (none told: since the call), that is a Conflict. Versions never go back.
         """
-        begun = [int(n.split("=")[1].split(".")[0]) for n in self.files.names(f"{self.root}/{name}") if n.startswith("v=")]
-        v = max(begun, default=0) + 1
-        while True:
-            try:
-                self.files.write(f"{self.root}/{name}/v={v}.claim", "")
-                break
-            except Exception as e:
-                if "AlreadyExists" not in str(e):
-                    raise
-                v += 1
-        df.write.mode("error").parquet(f"{self.root}/{name}/v={v}")
-        tmp = f"{self.root}/{name}/.CURRENT-{uuid.uuid4().hex}"
-        self.files.write(tmp, str(v))
-        self.files.rename(tmp, f"{self.root}/{name}/CURRENT", overwrite=True)
-        return v
+        base = self.log.snapshot()
+        if since is not None and base.tables.get(name, {"since": 0})["since"] != since:
+            raise Conflict(f"{name} is not of version {since}")
+        return self.log.commit(base, {name: df}).version
 
     def manifest(self, name: str, key: str) -> str:
-        """Row count, distinct keys and a fingerprint that doesn't depend on order, as JSON."""
-        df = self.read(name)
+        """Row count, distinct keys and a fingerprint that doesn't depend on order, as JSON; of one snapshot."""
+        snapshot = self.log.snapshot()
+        df = snapshot.read(name)
         keys = df.agg(F.countDistinct(key)).first()[0]
-        return json.dumps(fingerprint(df) | {"keys": keys, "version": self.version(name)}, sort_keys=True)
+        return json.dumps(fingerprint(df) | {"keys": keys, "version": snapshot.tables[name]["since"]}, sort_keys=True)
 
     def check_import(self, name: str, key: str, manifest: str) -> None:
         """An error if the table isn't what the manifest says."""
@@ -186,6 +154,11 @@ def export_index(spark: SparkSession, tables: dict[str, DataFrame], path: str, a
     return manifest
 
 
+def export_snapshot(snapshot: Snapshot, names: list[str], path: str, about: dict, pending: DataFrame | None = None) -> dict:
+    """export_index of tables as they all were at one commit, whatever is committed meanwhile."""
+    return export_index(snapshot.log.spark, {n: snapshot.read(n) for n in names}, path, about | {"version": snapshot.version}, pending)
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))
 
@@ -203,27 +176,26 @@ def check_compatibility(manifest: dict, about: dict, other_model: bool = False)
 
 
 def import_index(spark: SparkSession, path: str, into: VersionedTables, schemas: dict[str, T.StructType], about: dict, force: bool = False, other_model: bool = False) -> tuple[dict, list[str]]:
-    """Publish an exported index's tables, all checked before the first is: names, fingerprints, columns.
+    """Publish an exported index's tables in one commit, all checked before: names, fingerprints, columns.
 
     Columns that the export lacks are null. Tables that have rows are replaced only with ``force``. Returns the manifest
-    and warnings; what was done is a row of the table `imports`.
+    and warnings; what was done is a row of the table `imports`, in the same commit. If another commit has written one of
+    the tables meanwhile, that is a Conflict and nothing is imported.
     """
     manifest = read_manifest(spark, path)
     warnings = check_compatibility(manifest, about, other_model)
     if set(manifest["tables"]) != set(schemas):
         raise ValueError(f"tables {sorted(manifest['tables'])}, not {sorted(schemas)}")
-    read = {}
+    read, base = {}, into.log.snapshot()
     for name, told in manifest["tables"].items():
         df = spark.read.parquet(f"{path}/{name}")
         if extra := set(df.columns) - set(schemas[name].names):
             raise ValueError(f"{name}: unknown columns {sorted(extra)}")
         if bad := [k for k, v in fingerprint(df).items() if told[k] != v]:
             raise ValueError(f"{name}: {', '.join(bad)} differ from the manifest")
-        if not force and into.version(name) and not is_empty(into.read(name)):
+        if not force and name in base and not is_empty(base.read(name)):
             raise ValueError(f"{name} has rows")
         read[name] = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas[name]))
-    for name, df in read.items():
-        into.publish(name, df)
     row = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(path).alias("path"), F.lit(json.dumps(manifest, sort_keys=True)).alias("manifest"), F.lit("; ".join(warnings)).alias("warnings"))
-    into.publish("imports", row.unionByName(into.read("imports")) if into.version("imports") else row)
+    into.log.commit(base, read | {"imports": row.unionByName(base.read("imports")) if "imports" in base else row})
     return manifest, warnings

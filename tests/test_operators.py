@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from siftline.functions import analyze as A
 from siftline.functions import text as X
 from siftline.operators import answer, chunk, embed, normalize, retrieval, sections, sync
-from siftline.sources import VersionedTables, check_compatibility, export_index, fingerprint, import_index, read_questions, read_snapshot, read_suggestions, write_questions, write_snapshot
+from siftline.sources import Conflict, VersionedTables, check_compatibility, export_index, fingerprint, import_index, read_questions, read_snapshot, read_suggestions, write_questions, write_snapshot
 from siftline.streaming import rate_windows
 
 
@@ -113,15 +113,14 @@ def test_versioned_tables(spark, tmp_path):
         t.check_import("docs", "id", m)
 
 
-def test_publish_loses_nothing_when_the_pointer_is_gone(spark, tmp_path):
+def test_publish_is_refused_where_another_came_first(spark, tmp_path):
     t = VersionedTables(spark, str(tmp_path))
     t.publish("docs", spark.range(3))
-    (tmp_path / "docs" / "CURRENT").unlink()
-    assert t.version("docs") == 0
-    assert t.publish("docs", spark.range(1)) == 2 and t.read("docs").count() == 1
-    assert spark.read.parquet(str(tmp_path / "docs" / "v=1")).count() == 3
-    (tmp_path / "docs" / "v=3.claim").write_text("")  # another publisher is at it
-    assert t.publish("docs", spark.range(7)) == 4 and t.read("docs").count() == 7
+    seen = t.version("docs")
+    t.publish("docs", spark.range(5))
+    with pytest.raises(Conflict):
+        t.publish("docs", spark.range(1), since=seen)
+    assert t.version("docs") == 2 and t.read("docs").count() == 5
 
 
 def test_fingerprints_tell_repeats_and_nulls_apart(spark):
