@@ -267,6 +267,14 @@ def rate_limit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("user_id", F.unix_timestamp("minute").alias("minute"), "hits", (F.col("hits") > 1).alias("limited"))
 
 
+@query("SELECT event_id, count, count <= 2 allowed, 86400 - s % 86400 reset FROM (SELECT event_id, floor(epoch(ts))::BIGINT s, row_number() OVER (PARTITION BY user_id, floor(epoch(ts)) // 86400 ORDER BY ts, event_id) count FROM events)")
+def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two events a user and day are allowed."""
+    from ..streaming import rate_limits
+
+    return rate_limits(table(spark, sf_dir, "events"), 2, 86_400).select("event_id", "count", "allowed", "reset")
+
+
 @query("SELECT lang, n, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('s1' || doc_id), doc_id) n FROM documents) WHERE n <= 20")
 def eval_set_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.sample(_docs(spark, sf_dir), "lang", "doc_id", 20).select("lang", "n", "doc_id")

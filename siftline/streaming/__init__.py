@@ -50,7 +50,7 @@ class _Limiter(StatefulProcessor):
         self.handle = handle
         self.counts = handle.getMapState("counts", "w long", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(rows)).sort_values([self.seconds, self.order], kind="stable")
         slot = own[self.seconds] // 1_000_000 // self.window
         count = own.groupby(slot).cumcount() + 1
@@ -61,11 +61,11 @@ class _Limiter(StatefulProcessor):
             self.handle.registerTimer((w + 1) * self.window * 1000)
         yield pd.DataFrame({"key": key[0], "id": own[self.order], "count": count, "allowed": count <= self.limit, "reset": self.window - own[self.seconds] // 1_000_000 % self.window})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        w = expired.getExpiryTimeInMs() // 1000 // self.window - 1
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        w = expiredTimerInfo.getExpiryTimeInMs() // 1000 // self.window - 1
         if self.counts.containsKey((w,)):
             self.counts.removeKey((w,))
-        yield pd.DataFrame({"key": [], "id": [], "count": [], "allowed": [], "reset": []}).astype({"id": "int64", "count": "int64", "allowed": bool, "reset": "int64"})
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -73,7 +73,7 @@ class _Limiter(StatefulProcessor):
 
 def rate_limit_stream(events: DataFrame, limit: int, window: int = 60, key: str = "user_id", ts: str = "ts", order: str = "event_id", late: str = "10 minutes") -> DataFrame:
     """Rows (key, id, count, allowed, reset) of a stream of events as rate_limits has them for a table, decided as each
-    batch comes: the state is a count for each open window of a key. Hits of a batch come by time, then ``order``; a hit
+    batch comes: the state is a count for each open window of a key (in RocksDB: the session's setting for state stores). Hits of a batch come by time, then ``order``; a hit
     that arrives after others of its window counts after them. Windows are let go at the watermark, ``late`` behind."""
     e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     e = e.select(F.col(key).alias("key"), F.col(order).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("at")).withColumn("us", F.unix_micros("at")).withWatermark("at", late)
