@@ -23,9 +23,14 @@ BN_DIGITS, ASCII_DIGITS = "০১২৩৪৫৬৭৮৯", "0123456789"
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 TOKEN = r"[\p{L}\p{N}_ঀ-৿]+"
 CHARS_PER_TOKEN = 2.3
-BLOCK_TAGS = {"p", "div", "section", "article", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "nav", "header", "footer", "pre"}
-DROPPED_TAGS = {"script", "style", "head", "noscript", "template"}
+BLOCK_TAGS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "blockquote", "section", "article", "header", "footer", "pre", "hr"}
+DROPPED_TAGS = {"script", "style", "noscript", "iframe", "object", "embed", "svg", "img", "head"}
+# Fixed values of HTML: elements without content, those that a head holds, and which open elements a start tag ends.
+VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEAD_TAGS = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
+ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Tag to (elements that it ends, elements that these are looked for in).
+ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "thead": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "option": ({"option"}, {"select"})}
 SECTION_JUNK = "()[]।.:-৷ \u2010\u2011\u2013"
 VOLATILE = {"like_user_counter", "share_user_counter", "viewer_counter", "comment_counter", "view_count", "reply_count", "like_count", "member_count", "topic_count"}
 BN_STOPWORDS = [*map(plain, """
@@ -182,55 +187,117 @@ def html_strip(c: Column) -> Column:
 
 
 class _Text(HTMLParser):
+    """Text of markup: the open elements are a stack, and a row's text goes to its open cells."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skip: list[str] = []
-        self.cells = 0
+        self.open: list[str] = []
+        #: How many elements were open where a dropped one began.
+        self.dropped: int | None = None
+        #: How many were open where the outermost row began; its cells' texts, and which of them are open at which depth.
+        self.row: int | None = None
+        self.cells: list[list[str]] = []
+        self.into: list[tuple[int, list[str]]] = []
+
+    def leave(self, depth: int) -> None:
+        """End all elements from a depth on, the innermost first."""
+        while len(self.open) > depth:
+            tag = self.open.pop()
+            at = len(self.open)
+            if self.dropped is not None:
+                self.dropped = None if at == self.dropped else self.dropped
+            elif self.row is not None:
+                self.into = [c for c in self.into if c[0] < at]
+                if at == self.row:
+                    told = [t for t in (squeezed(" ".join(c)) for c in self.cells) if t]
+                    self.out.append("\n" + " | ".join(told) + "\n" if told else "")
+                    self.row = None
+            elif tag in BLOCK_TAGS:
+                self.out.append("\n")
+
+    def last(self, tags: set[str], within: set[str] = frozenset()) -> int | None:
+        """The depth of the innermost open element of these, as far as the innermost of ``within``."""
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at] in tags:
+                return at
+            if self.open[at] in within:
+                return None
+        return None
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        # </head> may be left out: the body, or what only a body has, ends the head and what it left open
-        if tag == "body" or self.skip[:1] == ["head"] and tag not in HEAD_TAGS:
-            self.skip.clear()
+        if self.dropped is not None:
+            # </head> may be left out: what only a body has ends it
+            if self.open[self.dropped] != "head" or tag in HEAD_TAGS:
+                if tag not in VOID_TAGS:
+                    self.open.append(tag)
+                return
+            self.leave(self.dropped)
+        if tag in ENDS_P and (at := self.last({"p"}, {"td", "th", "table"})) is not None:
+            self.leave(at)
+        if tag in ENDS and (at := self.last(*ENDS[tag])) is not None:
+            self.leave(at)
+        if tag in VOID_TAGS:
+            if self.row is None:
+                self.out.append("\n" if tag == "br" else "\n\n" if tag == "hr" else "")
+            return
+        at = len(self.open)
+        self.open.append(tag)
         if tag in DROPPED_TAGS:
-            self.skip.append(tag)
+            self.dropped = at
+        elif self.row is not None:
+            if tag in ("td", "th"):
+                self.cells.append([])
+                self.into.append((at, self.cells[-1]))
         elif tag == "tr":
-            self.out.append("\n")
-            self.cells = 0
-        elif tag in ("td", "th"):
-            self.out.append(" | " if self.cells else "")
-            self.cells += 1
+            self.row, self.cells, self.into = at, [], []
         elif tag == "li":
             self.out.append("\n- ")
-        elif tag == "br" or tag in BLOCK_TAGS:
+        elif tag in BLOCK_TAGS:
             self.out.append("\n")
 
+    def handle_startendtag(self, tag: str, attrs) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID_TAGS and self.open and self.open[-1] == tag:
+            self.leave(len(self.open) - 1)
+
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.skip:
-            del self.skip[self.skip.index(tag) :]
-        elif tag in BLOCK_TAGS:
+        if tag == "br" and self.dropped is None and self.row is None:
             self.out.append("\n")
+        elif tag not in VOID_TAGS and (at := self.last({tag}, {"table"} if tag not in ("table", "body", "html", "div") else frozenset())) is not None:
+            # what is dropped is ended by its own end, or by the end of what holds it
+            self.leave(at)
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if self.dropped is not None:
+            return
+        if self.row is None:
             self.out.append(data)
+        for _, cell in self.into:
+            cell.append(data)
+
+
+def squeezed(text: str) -> str:
+    """One text as clean_unicode and normalize_whitespace make it."""
+    text = re.sub(r"[ \t\r\f\v]+", " ", plain(text).replace("\u00a0", " ").replace("\u3000", " "))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", text)).strip()
 
 
 def _html_text(x: str | None) -> str | None:
-    if not x:
-        return x
-    if "<" not in x:
-        return html.unescape(x)
+    if not x or "<" not in x:
+        return squeezed(html.unescape(x)) if x else x
     p = _Text()
     p.feed(x)
     p.close()
-    lines = [" ".join(line.split()) for line in "".join(p.out).split("\n")]
-    return "\n".join(line for line in lines if line)
+    p.leave(0)
+    return squeezed("".join(p.out))
 
 
 @F.pandas_udf(T.StringType())
 def html_to_text(s: pd.Series) -> pd.Series:
-    """Text of markup with rows, lists and blocks on lines of their own."""
+    """Clean text of markup: blocks are lines of their own with one empty line between at most, items begin with a dash, a
+    row is its cells that have text with bars between; scripts, styles, pictures and embedded things are left out. Text
+    without markup has its entities read. Null stays null."""
     return s.map(_html_text)
 
 

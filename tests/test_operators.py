@@ -23,7 +23,7 @@ def one(spark, value, f):
     (X.parse_year, "সন ১৯৯৬", 1996), (X.parse_year, "9999", None), (X.parse_year, "none", None),
     (X.normalize_section_number, " ১২ক। ", "12ক"), (X.normalize_section_number, "0", None), (X.normalize_section_number, "4a.", "4A"),
     (X.token_count, "", 0), (X.token_count, "a", 1), (X.token_count, "a" * 23, 10),
-    (X.html_to_text, "<p>a &amp; b</p><ul><li>c</li></ul><table><tr><td>1</td><td>2</td></tr></table><script>x</script>", "a & b\n- c\n1 | 2"),
+    (X.html_to_text, "<p>a &amp; b</p><ul><li>c</li></ul><table><tr><td>1</td><td>2</td></tr></table><script>x</script>", "a & b\n\n- c\n\n1 | 2"),
     (X.redact_secrets, "password=hunter2 ok", "password=*** ok"),
     (answer.sanitize, "a <source id=1> b", "a ‹source id=1› b"),
     (answer.clean_message, " a\x01b ", "a b"), (answer.clean_message, "?!", None),
