@@ -8,9 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .retrieval import BLOCK_BYTES, FOUND, VECTOR_K, Nearest, rank, vector_topk
+
 DIM = 1024
 
 
@@ -19,6 +22,22 @@ def place(piece: str) -> int:
     return int(hashlib.md5(piece.encode()).hexdigest()[-3:], 16) % DIM
 
 
+def hashed(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the rows that have words, their counts): see hash_embed. Pieces are looked up once for each distinct word."""
+    size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = tokens.flatten().dictionary_encode()
+    words = [w or "" for w in flat.dictionary.to_pylist()]
+    known = {p: i for i, p in enumerate(dict.fromkeys([*words, *(w[:4] for w in words)]))}
+    whole, begun = (np.fromiter((known[p] for p in ps), np.int64, len(words)) for ps in (words, (w[:4] for w in words)))
+    code, row = flat.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(size)), size)
+    pieces = np.unique(np.concatenate([row * len(known) + whole[code], row * len(known) + begun[code]])) if len(code) else np.zeros(0, np.int64)
+    row, piece = np.divmod(pieces, max(1, len(known)))
+    at = np.fromiter(map(place, known), np.int64, len(known))
+    some = np.flatnonzero(size)
+    counts = np.bincount(np.searchsorted(some, row) * DIM + at[piece], minlength=len(some) * DIM) if len(row) else np.zeros(0)
+    return some, counts.reshape(len(some), DIM).astype(float)
+
+
 def hash_embed(docs: DataFrame, tokens: Column) -> DataFrame:
     """Rows (id, v): each distinct word and each word's first four letters add 1 at md5 mod 1024. No words: null."""
 
@@ -26,18 +45,43 @@ def hash_embed(docs: DataFrame, tokens: Column) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                v = np.zeros((part.num_rows, DIM))
-                none = np.zeros(part.num_rows, bool)
-                for i, words in enumerate(part.column("t").to_pylist()):
-                    none[i] = not words
-                    at = [place(p) for p in {x for w in words or [] for x in (w, w[:4])}]
-                    np.add.at(v[i], at, 1.0)
+                some, v = hashed(part.column("t"))
+                none = np.ones(part.num_rows, bool)
+                none[some] = False
                 ends = np.append(0, np.cumsum(np.where(none, 0, DIM))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(v[~none].ravel()), mask=pa.array(none))], ["id", "v"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel()), mask=pa.array(none))], ["id", "v"])
 
     return docs.select("id", tokens.alias("t")).mapInArrow(run, "id long, v array<double>")
 
 
+def hash_topk(queries: DataFrame, docs: DataFrame, k: int = VECTOR_K, digits: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (query_id, id, score, rank): vector_topk of hash_embed's vectors, which are made where they are compared.
+
+    queries: query_id, tokens; docs: id, tokens. Ids of queries and documents are of two kinds: equal ones are no hit of
+    their own. Only words cross from Spark to a task; queries of more than ``block_bytes`` of vectors go by way of
+    hash_embed and vector_topk.
+    """
+    asked = queries.where("query_id is not null").select((-1 - F.col("query_id")).alias("id"), "tokens")
+    source = docs.where("id is not null").select("id", "tokens")
+    own = hash_embed(asked, F.col("tokens")).where("v is not null").withColumnRenamed("id", "query_id")
+    if queries.count() * DIM * 8 > block_bytes:
+        out = vector_topk(own, hash_embed(source, F.col("tokens")), k, digits=digits, block_bytes=block_bytes)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(own.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Nearest(shared.value, k, None, digits, DIM)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    part = batch.slice(start, 1024)
+                    some, x = hashed(part.column("tokens"))
+                    found.score(part.column("id").to_numpy()[some], x / np.linalg.norm(x, axis=1, keepdims=True))
+            yield found.told()
+
+        out = rank(source.mapInArrow(run, FOUND), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return out.withColumn("query_id", -1 - F.col("query_id"))
+
+
 def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 64) -> DataFrame:
     """Rows (id, v, error) by a model given as a function; a batch that fails is tried again text by text."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answer, chunk, evaluate, memory, normalize, sync
+from ..operators import answer, chunk, evaluate, memory, normalize, sync, validate
 from . import query, table
 from .corpus import PARTS, _parts
 from .retrieval import METRICS, _metrics, _vectors
@@ -263,3 +263,11 @@ def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, e = _vectors(spark, sf_dir)
     rows = e.select("id", F.when(F.col("id") % 3 != 0, F.col("v")).alias("v"), F.when(F.col("label") == 2, "other").otherwise("m").alias("model"))
     return rows.where("v is not null and model = 'm'").select("id")
+
+
+@query("SELECT doc_id, nullif(array_to_string(list_transform(list_filter(range(len(l)), lambda i: length(l[i + 1]) % 7 = 0)[1:5], lambda i: 'sections.' || i || '.id: Field required'), '; '), '') errors FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents)")
+def validate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as books whose lines are sections; a line of a length divisible by seven has no id."""
+    section = lambda line, i: F.struct(F.when(F.length(line) % 7 != 0, i).alias("id"), line.alias("content"))
+    book = F.to_json(F.struct(F.col("doc_id").alias("id"), F.transform(F.split("text", "\n"), section).alias("sections")))
+    return table(spark, sf_dir, "documents").select("doc_id", validate.errors(book, "ebook").alias("errors"))

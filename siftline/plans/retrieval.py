@@ -153,24 +153,22 @@ g AS (SELECT f.query_id, f.id, place, round(fused * (1 + 0.02 * coalesce(quality
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, place, id) fused_rank FROM g) WHERE fused_rank <= 20)"""
 
 
-def _hybrid_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hybrid_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the pool of each question, the documents with their tokens)."""
     asked, docs = _lexical(spark, sf_dir)
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    queries = embed.hash_embed(items, tokenize(F.col("text"))).select(F.col("id").alias("query_id"), "v")
-    # ids of queries and documents are of two kinds: shift the queries', so that none is taken for its own hit
-    shifted = queries.withColumn("query_id", -1 - F.col("query_id"))
-    vectors = embed.hash_embed(docs, F.concat("title", "body"))
-    vector = R.vector_topk(shifted, vectors).withColumn("query_id", -1 - F.col("query_id")).where("score > 0")
+    docs = kept(docs)  # both sides read the tokens
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokenize(F.col("text")).alias("tokens"))
+    vector = embed.hash_topk(queries, docs.select("id", F.concat("title", "body").alias("tokens"))).where("score > 0")
     fused = R.fuse_linear(vector, R.lexical_topk(asked, docs))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     boosted = R.boost(fused.join(labels, "id", "left"), F.coalesce("quality", F.lit(0)) * 100, F.lit(False), F.lit(False))
-    return R.pool(boosted.withColumn("fused", F.round("fused", 6)))
+    return R.pool(boosted.withColumn("fused", F.round("fused", 6))), docs
 
 
 @query(f"WITH {HYBRID} SELECT query_id, p.id, fused, fused_rank, lang, source FROM pool p JOIN documents d ON d.doc_id = p.id WHERE fused_rank <= 5")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: vector and lexical candidates, fused, boosted by quality, the five best with their documents' fields."""
-    best = _hybrid_pool(spark, sf_dir).where("fused_rank <= 5")
+    best = _hybrid_pool(spark, sf_dir)[0].where("fused_rank <= 5")
     return best.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source"), "id").select("query_id", "id", "fused", "fused_rank", "lang", "source")
 
 
@@ -178,10 +176,9 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT query_id, p.id, fused_rank, round(len(list_intersect(qt, {TOK.format('d.text')})) / len(qt) * (1 + 0.05 * coalesce(quality, 0) * 100 / 100), 6) rerank FROM pool p JOIN q USING (query_id) JOIN documents d ON d.doc_id = p.id LEFT JOIN labels l ON l.doc_id = p.id)
 SELECT query_id, id, rerank, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, fused_rank) final_rank FROM r) WHERE final_rank <= 5""")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _hybrid_pool(spark, sf_dir).select("query_id", "id", "fused_rank", "quality")
+    pool, docs = _hybrid_pool(spark, sf_dir)
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(tokenize(F.col("text"))).alias("qt"))
-    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text")
-    both = pool.join(q, "query_id").join(d, "id").withColumn("t", tokenize(F.col("text")))
+    both = pool.select("query_id", "id", "fused_rank", "quality").join(q, "query_id").join(docs.select("id", F.concat("title", "body").alias("t")), "id")
     return R.rerank(both, lexical_coverage(F.col("qt"), F.col("t")), F.coalesce("quality", F.lit(0)) * 100).select("query_id", "id", "rerank", "final_rank")
 
 
