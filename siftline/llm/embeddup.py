@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, anew, checkpoint, whole_groups
+from .common import anew, checkpoint, whole_groups
 from .components import connected_components
 
 THRESHOLD = 0.9
 RECALL = 0.9995
-#: Vectors of a bucket that one task compares with each other, or with as many others.
-BLOCK = 256
+#: Vectors of a bucket that one task compares with each other, or with as many others; cosines that it has at a time.
+BLOCK, AT_ONCE = 2048, 2 << 20
+#: Vectors of a cell from which on those that an earlier table has compared are left out as whole groups.
+CROWD = 256
 
 
 def tables(bits: int, threshold: float, recall: float) -> int:
@@ -93,6 +95,20 @@ def _opened(packed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at[order], _unit(x[order])
 
 
+def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place that links (i, j) reach from each of n places."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _compare(threshold: float, bits: int, n_tables: int, seed: int = 0):
     """Rows (cls, n, null, null): how many ids a class links with; (null, 0, a, b): links that hold classes together.
 
@@ -109,30 +125,50 @@ def _compare(threshold: float, bits: int, n_tables: int, seed: int = 0):
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a < 2:
                     continue
-                i, j = np.nonzero(np.triu(unit[a:b] @ unit[a:b].T >= threshold, 1))
-                if not len(i):
-                    continue
                 p = at[a:b]
-                u, w = p[i], p[j]
-                # a cell is a hash, which two buckets may share; a pair of blocks compares across only
-                ok = (table[u] == table[w]) & (key[u] == key[w]) & (x[u] == x[w]) & (y[u] == y[w]) & ((x[u] == y[u]) | (block[u] != block[w]))
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                first = int(table[p[i[0]]])
-                if first:
-                    width = unit.shape[1]
-                    if width not in planes:
-                        planes[width] = _planes(width, bits * n_tables, seed)
-                    some = np.unique(np.concatenate([i, j]))
-                    keys = np.zeros((b - a, first), np.int64)
-                    keys[some] = _keys(unit[a:b][some], planes[width][:, : bits * first], bits)
-                    new = ~(keys[i] == keys[j]).any(1)
-                    i, j = i[new], j[new]
-                np.add.at(n, p[i], weight[p[j]])
-                np.add.at(n, p[j], weight[p[i]])
-                forest = Forest(b - a)
-                links += [(int(cls[p[c]]), int(cls[p[d]])) for c, d in zip(i.tolist(), j.tolist()) if forest.join(c, d)]
+                first = int(table[p[0]])
+                width = unit.shape[1]
+                if first and width not in planes:
+                    planes[width] = _planes(width, bits * n_tables, seed)
+                own, keys, ends = unit[a:b], None, np.arange(b - a) + 1
+                if first and b - a > CROWD:
+                    # pairs that share a bucket of an earlier table have been met there: those of the table that most
+                    # share are left out before any cosine is taken
+                    keys = _keys(own, planes[width][:, : bits * first], bits)
+                    sizes = [np.unique(column, return_inverse=True, return_counts=True)[1:] for column in keys.T]
+                    group, count = max(sizes, key=lambda x: (x[1] ** 2).sum())
+                    order = np.argsort(group, kind="stable")
+                    p, own, keys, ends = p[order], own[order], keys[order], np.cumsum(count)[group[order]]
+                step, k, held = max(1, AT_ONCE // (b - a)), 0, []
+                while k < b - a:
+                    end = int(ends[k])  # rows of one group see all rows after it; without groups, rows see all after them
+                    hi = min(k + step, end if keys is not None else b - a)
+                    begin = end if keys is not None else k
+                    i, j = np.nonzero(own[k:hi] @ own[begin:].T >= threshold)
+                    i, j = i + k, j + begin
+                    k = hi
+                    u, w = p[i], p[j]
+                    # a cell is a hash, which two buckets may share; a pair of blocks compares across only
+                    ok = (i < j) & (table[u] == table[w]) & (key[u] == key[w]) & (x[u] == x[w]) & (y[u] == y[w]) & ((x[u] == y[u]) | (block[u] != block[w]))
+                    i, j = i[ok], j[ok]
+                    if len(i) and first:
+                        if keys is None:
+                            some = np.unique(np.concatenate([i, j]))
+                            told = np.zeros((b - a, first), np.int64)
+                            told[some] = _keys(own[some], planes[width][:, : bits * first], bits)
+                        else:
+                            told = keys
+                        new = ~(told[i] == told[j]).any(1)
+                        i, j = i[new], j[new]
+                    if len(i):
+                        n[p] += np.bincount(i, weight[p[j]], b - a) + np.bincount(j, weight[p[i]], b - a)
+                        root = _roots(i, j, b - a)
+                        more = np.flatnonzero(root != np.arange(b - a))
+                        held.append((root[more], more))
+                if held:
+                    root = _roots(*(np.concatenate([h[side] for h in held]) for side in (0, 1)), b - a)
+                    more = np.flatnonzero(root != np.arange(b - a))
+                    links += zip(cls[p[root[more]]].tolist(), cls[p[more]].tolist())
         some = np.flatnonzero(n)
         out = [*zip(cls[some].tolist(), n[some].astype(int).tolist(), [None] * len(some), [None] * len(some)), *((None, 0, a, b) for a, b in links)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["cls", "n", "a", "b"])
