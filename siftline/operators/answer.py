@@ -197,17 +197,41 @@ def focus_note(section: Column, subsection: Column, clause: Column) -> Column:
     return F.when(section.isNotNull(), F.array_join(parts, ", "))
 
 
-def fit_request(prompt: int, context: list[int], limit: int, output: int, rounds: int = 6, shrink: float = 0.8) -> tuple[int, int]:
-    """(blocks of the context that stay, tokens left for the answer): the context's budget shrinks until the request fits,
-    in at most so many rounds; the first block always stays."""
-    budget = sum(context)
+#: Characters of context and tokens of output that a request keeps, however little room there is.
+LEAST_CONTEXT, LEAST_OUTPUT = 1_500, 512
+CHARS_PER_TOKEN = 3.0
+
+
+def fit_request(prompt: int, context: list[int], input_limit: int | None, total_limit: int | None, output: int, budget: int = CONTEXT_CHARS, chars_per_token: float = CHARS_PER_TOKEN, rounds: int = 6) -> tuple[int, int]:
+    """(how many blocks of context stay, tokens of output).
+
+    prompt: characters of the request beside its context; context: characters of its blocks, best first. The budget for
+    context shrinks by what the estimated tokens are over the input limit, and a tenth more, until they fit, the rounds
+    are over or it is at its floor; output is then what the total limit leaves, at its floor at least. No limits: as asked.
+    """
     for _ in range(rounds):
-        used, kept = 0, 0
+        used, size = 0, 0
         for n in context:
-            if kept and used + n > budget:
+            if used and size + n > budget:
                 break
-            used, kept = used + n, kept + 1
-        if prompt + used + output <= limit or kept <= 1:
+            used, size = used + 1, size + (min(n, max(budget, 200)) if not used else n)
+        tokens = int((prompt + size) / chars_per_token)
+        if not input_limit or tokens <= input_limit or budget <= LEAST_CONTEXT:
             break
-        budget = int(min(used, budget) * shrink)
-    return kept, max(0, min(output, limit - prompt - used))
+        budget = max(LEAST_CONTEXT, int(size - (tokens - input_limit) * chars_per_token * 1.1))
+    return used, max(LEAST_OUTPUT, min(output, total_limit - tokens)) if total_limit else output
+
+
+def expand_document(hits: DataFrame, chunks: DataFrame, most: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(passages, totals) for questions about a whole document: the first ``most`` chunks, as they stand and without its
+    preamble, of the book that ranks best; a question whose hits hold no book keeps its hits.
+
+    hits: query_id, id, document_id, rank, doc_source_type; chunks: id, document_id, chunk_index, role, section_number.
+    passages: query_id, id, document_id, place; totals: query_id, document_id, total (distinct sections).
+    """
+    books = hits.where(F.col("doc_source_type") == "ebook").groupBy("query_id").agg(F.min_by("document_id", "rank").alias("document_id"))
+    own = books.join(chunks, "document_id").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_index", "id"))).where(F.col("n") <= most)
+    whole = own.where(~F.coalesce(F.col("role") == "preamble", F.lit(False))).select("query_id", "id", "document_id", F.col("n").alias("place"))
+    rest = hits.join(books.select("query_id"), "query_id", "left_anti").select("query_id", "id", "document_id", F.col("rank").alias("place"))
+    totals = books.join(chunks.groupBy("document_id").agg(F.countDistinct("section_number").alias("total")), "document_id")
+    return whole.unionByName(rest), totals.select("query_id", "document_id", "total")

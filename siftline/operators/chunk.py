@@ -88,14 +88,27 @@ BLOG, AUTHOR, DATE, FORUM, TALK, PART = "ব্লগ", "লেখক", "তা
 NOISE = {"আদেশক্রমে", "বিতরণ", "অনুলিপি", "সূচিপত্র", "সংযুক্তি"}
 PROVISION = re.compile(r"\s*([০-৯]{1,4}[ক-হ]?)\s*।\s*(\S.*)")
 PROVISIONS = 3
-_NO_HEADING = re.compile(r"(- |[(\[“\"]|স্বা/-|স্বাঃ|\(?মোঃ|[০-৯0-9]+\s*[.।)]|[০-৯0-9().\s-]+$)|.* \| |.*(:-|[।.,;—\"”)])$")
+# How lines begin and end that are no headings, and their length.
+ITEM, OPENS, SIGNED, ENDS = "- ", tuple("([“\""), ("স্বা/-", "স্বাঃ", "মোঃ", "(মোঃ"), (":-", *"।.,;—\"”)")
+HEADING_CHARS = (4, 80)
 _CAPTION_END = re.compile(r"\s*[ঃ:]|\s*[-–—]\s*\(|\s+\(")
 
 
+def is_numbered(s: str) -> bool:
+    """A line that begins with a number and its mark, or holds nothing but numbers."""
+    digits = s.lstrip("০১২৩৪৫৬৭৮৯0123456789")
+    return digits != s and digits.lstrip()[:1] in ("।", ".", ")") and digits.lstrip() != "" or not s.strip("০১২৩৪৫৬৭৮৯0123456789().- \t")
+
+
 def is_heading(line: str) -> bool:
     """A short line that is no list item, table row, number, signature or sentence."""
     s = line.strip()
-    return 4 <= len(s) <= 80 and s not in NOISE and not _NO_HEADING.match(s)
+    least, most = HEADING_CHARS
+    if not least <= len(s) <= most or s in NOISE:
+        return False
+    item, row = s.startswith(ITEM), " | " in s
+    quoted, signature, sentence = s.startswith(OPENS), s.startswith(SIGNED), s.endswith(ENDS)
+    return not (item or row or quoted or signature or sentence or is_numbered(s))
 
 
 def long_text(text: str, room: int, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[str, str | None, list[str]]]:

@@ -110,8 +110,18 @@ def embed(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], dim:
     return rows.select("id", "text").mapInArrow(run, "id long, v array<double>, error string")
 
 
+def embed_once(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 64) -> DataFrame:
+    """embed where each distinct text goes to the model once, however many rows ask for it; a null text counts as empty."""
+    keyed = rows.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    each = keyed.groupBy("text").agg(F.min("id").alias("id"))
+    told = embed(each, model, dim, batch).join(each, "id").select(F.concat("text", F.lit("")).alias("text"), "v", "error")
+    return keyed.join(told, "text").select("id", "v", "error")
+
+
 def unit(v: Column) -> Column:
-    """The vector at length one; null if a component is null or not finite."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)))
+    """The vector at length one; null if it is empty or a component is null or not finite. However long it is."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    scaled = F.transform(v, lambda x: x / F.when(most == 0, 1.0).otherwise(most))
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.size(v) == 0)
+    return F.when(~bad, F.transform(scaled, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)))

@@ -75,13 +75,30 @@ def blog(records: DataFrame, official: tuple[str, ...] = OFFICIAL, url: str = ""
 
 
 def forum(records: DataFrame) -> DataFrame:
-    """A document for each group with a description and for each topic, whose parent the group is."""
+    """A document for each group with a description and for each topic, whose parent the group is (and whose name it carries)."""
     groups = records.where(~excluded(F.col("name")))
     authority = F.when(F.lower("badge").isin("official", "verified"), 30).otherwise(10)
     cols = lambda kind, i, parent, title, body: [F.lit(kind).alias("source_type"), F.col(i).alias("source_id"), parent.alias("parent_source_id"), clean(F.col(title)).alias("title"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("year"), authority.alias("authority"), clean(html_to_text(body)).alias("body"), errors(**{title.split(".")[-1]: F.col(title)}).alias("errors")]
     own = groups.where(F.trim(F.coalesce("description", F.lit(""))) != "").select(*cols("forum", "id", F.lit(None).cast("string"), "name", "description"))
-    topics = groups.select(F.col("id").alias("group_id"), "badge", F.explode("topics").alias("t")).where(~excluded(F.col("t.title")))
-    return own.unionByName(topics.select(*cols("topic", "t.id", F.col("group_id"), "t.title", "t.description")))
+    topics = groups.select(F.col("id").alias("group_id"), F.col("name").alias("group_name"), "badge", F.explode("topics").alias("t")).where(~excluded(F.col("t.title")))
+    topics = topics.select(*cols("topic", "t.id", F.col("group_id"), "t.title", "t.description"), clean(F.col("group_name")).alias("group"))
+    return own.unionByName(topics, allowMissingColumns=True)
+
+
+#: Fields of books that records may lack.
+MORE = ("sub_branch", "proposal", "objective", "motto", "heading", "footer", "created_at_bn", "created_at_en", "applicable_date_bn", "applicable_date_en", "signature_position", "signature_by")
+
+
+def book_metadata(r: DataFrame) -> Column:
+    """What a book says beside its text, as a struct: dates as written, branch, signature, texts, files, sections.
+
+    Of two fields for the same the English one counts where it says something. Empty texts are null.
+    """
+    joined = lambda *c: F.nullif(F.concat_ws(", ", *(clean(F.col(x)) for x in c)), F.lit(""))
+    text = lambda c: F.nullif(html_to_text(F.coalesce(c, F.lit(""))), F.lit("")).alias(c)
+    files = F.map_filter(F.create_map(*(x for c in ("file", "merged_file", "system_generated_pdf") for x in (F.lit(c), F.col(c)))), lambda k, v: F.coalesce(v, F.lit("")) != "")
+    raw = lambda c: F.nullif(F.col(c), F.lit(""))
+    return F.struct(F.coalesce(clean(F.col("created_at_en")), clean(F.col("created_at_bn"))).alias("issued_date"), F.coalesce(clean(F.col("applicable_date_en")), clean(F.col("applicable_date_bn"))).alias("applicable_date"), joined("branch", "sub_branch").alias("branch"), joined("signature_by", "signature_position").alias("signature"), raw("act_year").alias("act_year_raw"), raw("publication_date").alias("publication_date_raw"), clean(F.col("publication_by")).alias("publication_by"), text("proposal"), text("objective"), text("motto"), text("heading"), files.alias("files"), F.size(F.coalesce("sections", F.array())).alias("section_count"))
 
 
 def ebook(records: DataFrame, url: str = "") -> tuple[DataFrame, DataFrame]:
@@ -92,13 +109,14 @@ def ebook(records: DataFrame, url: str = "") -> tuple[DataFrame, DataFrame]:
     Null lists are empty. body is the text beside the sections: an appendix to them, or all there is (role).
     """
     kept = records.where(~excluded(F.col("title_of_act")))
+    kept = kept.withColumns({c: F.lit(None).cast("string") for c in MORE if c not in kept.columns})
     kind, number, body = clean(F.col("ebooks_type")), clean(F.col("number")), F.col("_body")
     kept = kept.withColumn("_body", clean(html_to_text("schedules")))
     line = F.substring_index(body, "\n", 1)
     line = F.concat(F.substring(line, 1, TITLE_CHARS), F.when(F.length(line) > TITLE_CHARS, "…").otherwise(""))
     derived = F.coalesce(F.concat(kind, F.lit(f" ({NUMBER} "), number, F.lit(")")), line, F.concat(F.coalesce(kind, F.lit(DOCUMENT)), F.lit(" #"), F.col("id").cast("string")))
     own = clean(F.col("title_of_act"))
-    docs = kept.select(F.lit("ebook").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), F.coalesce(own, derived).alias("title"), own.isNull().alias("title_derived"), kind.alias("doc_type"), F.lower(F.trim("branch")).alias("category"), parse_year(F.col("act_year")).alias("year"), number.alias("act_number"), flexible_date(F.col("publication_date")).alias("publication_date"), F.when(F.trim("publication_by") == GAZETTE, 100).otherwise(90).alias("authority"), iso_datetime(F.col("created_date")).alias("source_updated_at"), from_template(url, id=F.col("id")).alias("url"), F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("file", "merged_file", "system_generated_pdf"))).alias("file_url"), F.filter(F.transform(F.coalesce("meta_keywords", F.array().cast("array<string>")), normalize_whitespace), lambda k: ~k.isin("", "[]")).alias("keywords"), urls(F.col("multiple_reference_link")).alias("links"), body.alias("body"), F.when(F.size(F.coalesce("sections", F.array())) > 0, "appendix").otherwise("body").alias("role"), F.lit(None).cast("string").alias("errors"))
+    docs = kept.select(F.lit("ebook").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), F.coalesce(own, derived).alias("title"), own.isNull().alias("title_derived"), kind.alias("doc_type"), F.lower(F.trim("branch")).alias("category"), parse_year(F.col("act_year")).alias("year"), number.alias("act_number"), flexible_date(F.col("publication_date")).alias("publication_date"), F.when(F.trim("publication_by") == GAZETTE, 100).otherwise(90).alias("authority"), iso_datetime(F.col("created_date")).alias("source_updated_at"), from_template(url, id=F.col("id")).alias("url"), F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("file", "merged_file", "system_generated_pdf"))).alias("file_url"), F.filter(F.transform(F.coalesce("meta_keywords", F.array().cast("array<string>")), normalize_whitespace), lambda k: ~k.isin("", "[]")).alias("keywords"), urls(F.col("multiple_reference_link")).alias("links"), body.alias("body"), F.when(F.size(F.coalesce("sections", F.array())) > 0, "appendix").otherwise("body").alias("role"), book_metadata(kept).alias("metadata"), F.lit(None).cast("string").alias("errors"))
 
     def unit(kind: str, at: str) -> list[Column]:
         return [F.lit(kind).alias("kind"), F.col(f"{at}.id").cast("string").alias("unit_id"), normalize_section_number(F.col(f"{at}.number")).alias("number"), clean(F.col(f"{at}.heading")).alias("heading"), clean(html_to_text(f"{at}.content")).alias("content"), clean(F.col(f"{at}.note")).alias("note")]

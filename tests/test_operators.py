@@ -227,7 +227,12 @@ def test_answer_display(spark):
     assert one(spark, "x", lambda c: answer.focus_note(F.lit("5"), F.lit(None).cast("string"), c)) == "ধারা/বিধি ৫, দফা (x)"
     both = one(spark, "a [1] b [2].", lambda c: F.struct(*answer.visible(c, F.array(*(F.struct(F.lit(i).alias("index"), F.lit(k).alias("source_type"), F.lit(x).alias("cited")) for i, k, x in ((1, "ebook", True), (2, "qna_type1", True), (3, "blog", False)))))))
     assert both[0] == "a [1] b ." and [s["index"] for s in both[1]] == [1]
-    assert answer.fit_request(100, [50, 60, 70], 1000, 100) == (3, 100) and answer.fit_request(100, [50, 60, 70], 260, 60)[0] < 3
+    assert answer.fit_request(100, [50, 60, 70], None, None, 100) == (3, 100)
+    # 9,300 characters are 3,100 tokens: 1,100 too many take 3,630 off; blocks of 1,000 fill the 5,370 that are left
+    assert answer.fit_request(300, [1000] * 9, 2000, None, 800, budget=9000) == (5, 800)
+    assert answer.fit_request(300, [1000] * 9, 2000, 2500, 1500, budget=9000) == (5, 734)
+    # the floors: 1,500 characters of context, 512 tokens of output
+    assert answer.fit_request(9000, [700] * 9, 500, 3000, 800) == (2, 512) and answer.fit_request(0, [], 500, None, 9) == (0, 9)
 
 
 def test_memory_rules(spark):
