@@ -128,29 +128,12 @@ class Pieces:
             known = row[piece] = self.merged(p) == [p] if before < 0 else self.merged((q := self.sp.id_to_piece(before)) + p) == [q, p]
         return known
 
-    def word(self, text: str) -> list[int]:
-        """The search of a short stretch, all of which is one window (BPE)."""
-        get, pairs, n = self.starts.get, self.pairs, len(text)
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        last[0] = _START
-        for start in range(n):
-            before = last[start]
-            row = pairs.get(before) or pairs.setdefault(before, {})
-            for end in range(start + 1, n + 1):
-                k = get(text[start:end])
-                if k is None:
-                    break
-                if k >= 0 and last[end] is None:
-                    ok = row.get(k)
-                    if ok if ok is not None else self._fits(before, k):
-                        last[end], back[end] = k, start
-            if last[start + 1] is None:
-                last[start + 1], back[start + 1] = _UNK, start
-        return self._path(text, 0, n, back, last)
-
     def search(self, text: str) -> Iterator[int]:
-        """Ids of a normalised text or of a stretch between boundaries, as they become final."""
+        """Ids of a normalised text, or of a stretch between places where all paths have converged, as they become final.
+
+        The window is back, last and total, from ``base`` on: what lies before is committed. Backpointers of the last
+        ``longest`` places are followed until one place is left, and all up to it goes out.
+        """
         longest, bpe, score, fits = self.longest, self.bpe, self.score, self._fits
         get = self.starts.get
         n = len(text)
@@ -217,7 +200,11 @@ class Pieces:
         return out[::-1]
 
     def encode(self, text: str) -> bytes:
-        """Ids as packed little-endian 32-bit integers; the empty text has none."""
+        """Ids as packed little-endian 32-bit integers; the empty text has none.
+
+        No piece reaches over the start of a word, so all paths converge there and the search commits: a stretch of text
+        is a word. Stretches that have been committed before are remembered, up to a bound.
+        """
         norm = self.sp.normalize(text)
         if not self.by_words:
             return np.fromiter(self.search(norm), "<i4").tobytes()
@@ -226,7 +213,7 @@ class Pieces:
         return b"".join([self.memo[w[1:]] if w[:1] == _SPACE else self.packed(w) for w in _WORD.findall(norm)])
 
     def packed(self, text: str) -> bytes:
-        ids = self.word(text) if self.bpe and len(text) <= _LONG else list(self.search(text))
+        ids = list(self.search(text))
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def decode(self, ids: bytes) -> str:

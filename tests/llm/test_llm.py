@@ -599,10 +599,10 @@ def test_operators_ignore_columns_that_clash(spark, docs):
     assert same(lambda d: quality.score(common.id_and_text(d), model))
 
 
-def test_short_words_and_long_stretches_take_the_same_search(docs, model):
+def test_words_that_are_remembered_and_the_whole_text_take_the_same_search(docs, model):
     for r in docs.limit(60).collect():
-        for word in set(model.sp.normalize(r["text"]).split("\u2581")):
-            assert model.word(word) == list(model.search(word))
+        assert ids(model, r["text"]) == list(model.search(model.sp.normalize(r["text"])))
+    assert model.widest <= 8 * model.longest
 
 
 def test_crc():
