@@ -24,9 +24,10 @@ def tokens(text: str) -> int:
     return size_of(len(text))
 
 
-def signature(target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> str:
-    """A name for the settings: chunks of other settings are other chunks."""
-    return f"t{target}-m{most}-o{overlap}-n{least}"
+def signature(target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST, excluded: str | None = None) -> str:
+    """A name for the settings: chunks of other settings are other chunks, as are those of records that another pattern
+    of titles (``excluded``) leaves out."""
+    return f"t{target}-m{most}-o{overlap}-n{least}" + (f"|x={excluded}" if excluded is not None else "")
 
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:

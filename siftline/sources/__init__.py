@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import lexical_text
 from .commits import CommitLog, Conflict, Files, Snapshot
 
 
@@ -70,10 +71,11 @@ def write_questions(rows: DataFrame, path: str) -> None:
 
 
 def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
-    """One suggestion for each normalised form, the one that stands first; empty and `#` lines skipped."""
+    """One suggestion for each form as questions are normalised (digits, spelling variants, punctuation), the one that
+    stands first; empty and `#` lines and those without a word are skipped."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$")).withColumn("line", F.monotonically_increasing_id())
-    form = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
-    return lines.groupBy(form.alias("form")).agg(F.min_by("value", "line").alias("question"), F.min("line").alias("line"))
+    form = lexical_text(F.col("value"))
+    return lines.select("value", "line", form.alias("form")).where("form <> ''").groupBy("form").agg(F.min_by("value", "line").alias("question"), F.min("line").alias("line"))
 
 
 def write_report(summary: DataFrame, rows: DataFrame, path: str) -> dict:

@@ -121,3 +121,22 @@ def test_headings():
     yes = ["সংজ্ঞা ও প্রয়োগ", "Scope of the rules", "ক অংশ"]
     no = ["abc", "x" * 81, "- item here", "one | two", "(ক) এই ধারা", "“quoted", "স্বা/- সচিব", "মোঃ করিম", "১২। কর", "12) tax", "3 . tax", "১২-৩ (৪)", "এটি একটি বাক্য।", "as follows:-", "well;", "বিতরণ", "sentence."]
     assert [chunk.is_heading(x) for x in yes] == [True] * 3 and [x for x in no if chunk.is_heading(x)] == []
+
+
+def test_books_are_numbered_once(spark):
+    docs = spark.createDataFrame([("a", "Act", "তফসিল এক\n" + "কর আইন। " * 900, "appendix"), ("b", "Only text", "short text", "body"), ("c", "No text", None, "body")], "source_id string, title string, body string, role string")
+    units = spark.createDataFrame([("a", [0], "section", "1", "Head", "text one"), ("a", [1], "section", "2", None, "text two")], "source_id string, path array<int>, kind string, number string, heading string, content string")
+    got = sections.chunk_books(docs, units).orderBy("id", "chunk_index").collect()
+    by = {i: [(r["chunk_index"], r["role"]) for r in got if r["id"] == i] for i in "abc"}
+    assert all([k for k, _ in own] == list(range(len(own))) for own in by.values())
+    roles = [r for _, r in by["a"]]
+    assert roles[0] == "overview" and roles[-1] == "appendix" and roles.index("appendix") >= 2 and roles.count("appendix") > 2
+    assert [r for _, r in by["b"]] == ["overview", "body"] and [r for _, r in by["c"]] == ["overview"]
+
+
+def test_signature_and_suggestion_forms(spark, tmp_path):
+    from siftline.sources import read_suggestions
+
+    assert chunk.signature() != chunk.signature(excluded="^test") != chunk.signature(excluded="^trial")
+    (tmp_path / "s.txt").write_text("ধারা ৫?\n# no\n\nধারা  5\n!!!\nOther One\n")
+    assert {r["form"]: r["question"] for r in read_suggestions(spark, str(tmp_path / "s.txt")).collect()} == {"ধারা 5": "ধারা ৫?", "other one": "Other One"}
