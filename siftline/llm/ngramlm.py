@@ -62,8 +62,12 @@ def gram_hashes(words: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 class Keys:
-    """Keys of n-grams: leading bits of their hashes, then n-1. The bits follow the corpus, so that no two of its n-grams
-    are likely to share a key."""
+    """Keys of n-grams: leading bits of their hashes, then n-1. The bits follow the corpus, up to 58.
+
+    With m distinct n-grams of one order and b bits, m * m / 2 ** (b + 1) pairs of them are expected to share a key, and
+    then count as one: with GRAM_BYTES bytes of text for each, under one pair at 10 MB, some 30 at 0.5 GB, some thousands
+    at 30 GB, and at 100 TB one n-gram in some hundred. Counts of words (n_known, base_score), of which there are far
+    fewer than of longer n-grams, are exact but for that. More bits would make messages longer than the disk allows."""
 
     def __init__(self, size: int, order: int):
         self.order, self.tag = order, max(1, (order - 1).bit_length())
