@@ -271,3 +271,35 @@ def validate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = lambda line, i: F.struct(F.when(F.length(line) % 7 != 0, i).alias("id"), line.alias("content"))
     book = F.to_json(F.struct(F.col("doc_id").alias("id"), F.transform(F.split("text", "\n"), section).alias("sections")))
     return table(spark, sf_dir, "documents").select("doc_id", validate.errors(book, "ebook").alias("errors"))
+
+
+@query("SELECT unnest([0.1, 0.5, 0.9])::DOUBLE q, unnest(v) n_chars FROM (SELECT quantile_cont(length(text)::DOUBLE, [0.1, 0.5, 0.9]) v FROM documents)")
+def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the documents' lengths by narrowing ranges."""
+    d = table(spark, sf_dir, "documents").select(F.length("text").alias("n_chars"))
+    return spark.createDataFrame([(q, evaluate.quantile(d, "n_chars", q)) for q in (0.1, 0.5, 0.9)], "q double, n_chars double")
+
+
+SELF = "FROM (SELECT *, row_number() OVER (ORDER BY md5('q1' || doc_id), doc_id::VARCHAR) k FROM (SELECT doc_id, split_part(text, chr(10), 1) title, lang, source FROM documents WHERE doc_id % 3 = {})) WHERE k <= 40"
+
+
+@query(f"""SELECT 'self-qna_type1-' || doc_id id, 'self_qna_type1' tag, title question, 'qna_type1:' || doc_id expected_id {SELF.format(0)} UNION ALL SELECT 'self-qna_type2-' || doc_id, 'self_qna_type2', title, 'qna_type2:' || doc_id {SELF.format(1)}
+UNION ALL SELECT 'self-section-' || doc_id, 'self_section_by_number', title || ' এর ধারা ' || translate((doc_id % 90)::VARCHAR, '0123456789', '০১২৩৪৫৬৭৮৯') || ' এ কী বলা হয়েছে?', 'section:' || doc_id {SELF.format(2)} UNION ALL SELECT 'self-heading-' || doc_id, 'self_section_heading_to_act', source, 'ebook:' || doc_id % 7 {SELF.format(2)}""")
+def self_retrieval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as questions of two types, by their first lines, and as sections of books."""
+    i = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").select("doc_id", i.alias("source_id"), F.substring_index("text", "\n", 1).alias("title"), "source")
+    asked = d.select(F.when(F.col("doc_id") % 3 == 0, "qna_type1").when(F.col("doc_id") % 3 == 1, "qna_type2").otherwise("ebook").alias("source_type"), "source_id", "title")
+    parts = d.where("doc_id % 3 = 2").select(F.lit("section").alias("source_type"), "source_id", (F.col("doc_id") % 90).cast("string").alias("section_number"), F.col("source").alias("section_heading"), "title", (F.col("doc_id") % 7).alias("doc_id"), F.lit("ধারা").alias("word"), F.lit(0).alias("chunk_index"))
+    return evaluate.self_retrieval_set(asked, parts)
+
+
+@query("""WITH h AS (SELECT doc_id query_id, doc_id, source FROM documents WHERE doc_id % 50 = 0), b AS (SELECT query_id, h.source FROM h WHERE query_id % 100 = 0),
+c AS (SELECT b.query_id, d.doc_id id, row_number() OVER (PARTITION BY b.query_id ORDER BY d.doc_id) place, d.doc_id % 5 = 1 AS pre FROM b JOIN documents d ON d.source = b.source)
+SELECT query_id, id, place FROM c WHERE place <= 20 AND NOT pre UNION ALL SELECT query_id, doc_id, 1 FROM h WHERE query_id % 100 <> 0""")
+def expand_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as books whose chunks are their documents, each fifth a preamble; each fiftieth document is a hit, half of them in books."""
+    d = table(spark, sf_dir, "documents")
+    hits = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.lit(1).alias("rank"), F.when(F.col("doc_id") % 100 == 0, "ebook").otherwise("blog").alias("doc_source_type"))
+    chunks = d.select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_index"), F.when(F.col("doc_id") % 5 == 1, "preamble").alias("role"), (F.col("doc_id") % 7).cast("string").alias("section_number"))
+    return answer.expand_document(hits, chunks, most=20)[0].select("query_id", "id", F.col("place").cast("long").alias("place"))
