@@ -268,7 +268,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     ids_sha256 is over the ids as little-endian 32-bit integers. round_trip says whether decoding gave the
     text back (null counts as empty); a text that itself has the model's space sign U+2581 comes back with
-    plain spaces. Repeated rows give equal rows.
+    plain spaces. Repeated rows give equal rows; an empty table gives none, and other columns are not read.
     """
     shared = _share(docs, model_path)
 

@@ -115,7 +115,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_co
     """Rows (doc_id, n_bytes, n_tokens, over_limit) for each row of docs, as the tokenizers library counts.
 
     Null texts are empty: no bytes, no tokens. Special strings inside texts are handled as the library's
-    default. Repeated rows count alike. The tokenizer file is read once on the driver and broadcast (its size
+    default. Repeated rows count alike; an empty table gives no rows, and other columns are not read. The tokenizer file is read once on the driver and broadcast (its size
     is the vocabulary's, not the data's).
     """
     with open(tokenizer_path, encoding="utf-8") as f:

@@ -235,6 +235,45 @@ def test_licence_stretches_against_all_runs_of_words():
         assert max(known.scan(b" ".join(w)).values(), default=0) == (best if best >= 0.8 else 0)
 
 
+def plain_licences(w, templates, threshold):
+    """The best run of words of all, then the best that shares no word with those before; equal ones: the longer, then by name."""
+    grams, taken, out = list(zip(w, w[1:])), [], {}
+    known = [(name, {*zip(t, t[1:])}) for name, ts in templates.items() for t in (licences.words(x.encode()) for x in ts)]
+    while True:
+        found = []
+        for name, own in known:
+            for i in range(len(grams)):
+                best = None
+                for j in range(i, len(grams)):
+                    if j > i and grams[j] == grams[i] or any(i <= b + 1 and j + 1 >= a for a, b in taken):
+                        break
+                    run = set(grams[i : j + 1])
+                    dice = 2 * len(run & own) / (len(run) + len(own))
+                    if best is None or dice > best[0]:
+                        best = (dice, j)
+                if best and best[0] >= threshold and grams[i] in own:
+                    found.append((-best[0], i - best[1], name, i, best[1]))
+        if not found:
+            return out
+        dice, _, name, i, j = min(found)
+        out.setdefault(name, -dice)
+        taken.append((i, j))
+
+
+def test_licence_names_are_those_of_all_runs_of_words():
+    """Also where two licences are equally like."""
+    rng = np.random.default_rng(7)
+    for templates in ({"x": ["a b c d e f", "c a b"], "y": ["b c d a a b e"]}, {"one": ["a b c", "d e f g"], "another": ["a b c"], "third": ["c b a d"]}):
+        known, seen = licences.Templates(templates, 0.8), set()
+        for _ in range(250):
+            w = [b"abcdefg"[i : i + 1] for i in rng.integers(0, 7, rng.integers(0, 25))]
+            told = known.scan(b" ".join(w))
+            assert told == pytest.approx(plain_licences(w, templates, 0.8))
+            seen.update(told)
+        assert seen
+    assert list(licences.Templates({"one": ["a b c"], "another": ["a b c"]}, 0.8).scan(b"x a b c y")) == ["another"]
+
+
 # 4
 
 def test_quality(spark, docs, odd, empty):
