@@ -267,7 +267,7 @@ def rate_limit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("user_id", F.unix_timestamp("minute").alias("minute"), "hits", (F.col("hits") > 1).alias("limited"))
 
 
-@query("SELECT event_id, count, count <= 2 allowed, 86400 - s % 86400 reset FROM (SELECT event_id, floor(epoch(ts))::BIGINT s, row_number() OVER (PARTITION BY user_id, floor(epoch(ts)) // 86400 ORDER BY ts, event_id) count FROM events)")
+@query("SELECT event_id, count, count <= 2 allowed, 86400 - s % 86400 reset FROM (SELECT event_id, floor(epoch(ts))::BIGINT s, row_number() OVER (PARTITION BY user_id, floor(epoch(ts))::BIGINT // 86400 ORDER BY ts, event_id) count FROM events)")
 def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two events a user and day are allowed."""
     from ..streaming import rate_limits
