@@ -273,11 +273,11 @@ def validate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", validate.errors(book, "ebook").alias("errors"))
 
 
-@query("SELECT unnest([0.1, 0.5, 0.9])::DOUBLE q, unnest(v) n_chars FROM (SELECT quantile_cont(length(text)::DOUBLE, [0.1, 0.5, 0.9]) v FROM documents)")
+@query("SELECT unnest([0.1, 0.5, 0.9])::DOUBLE q, round(unnest(v), 6) n_chars FROM (SELECT quantile_cont(length(text)::DOUBLE, [0.1, 0.5, 0.9]) v FROM documents)")
 def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quantiles of the documents' lengths by narrowing ranges."""
     d = table(spark, sf_dir, "documents").select(F.length("text").alias("n_chars"))
-    return spark.createDataFrame([(q, evaluate.quantile(d, "n_chars", q)) for q in (0.1, 0.5, 0.9)], "q double, n_chars double")
+    return spark.createDataFrame([(q, evaluate.quantile(d, "n_chars", q)) for q in (0.1, 0.5, 0.9)], "q double, n_chars double").withColumn("n_chars", F.round("n_chars", 6))
 
 
 SELF = "FROM (SELECT *, row_number() OVER (ORDER BY md5('q1' || doc_id), doc_id::VARCHAR) k FROM (SELECT doc_id, split_part(text, chr(10), 1) title, lang, source FROM documents WHERE doc_id % 3 = {})) WHERE k <= 40"
