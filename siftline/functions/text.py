@@ -144,6 +144,7 @@ def parse_year(c: Column) -> Column:
 
 def normalize_section_number(c: Column) -> Column:
     """ASCII digits, no space, no separators at the ends, nothing from a footnote's bracket on, ASCII capitals; empty and 0 are null."""
+    # the footnote's pattern is a fixed value
     junk = "[" + re.escape(SECTION_JUNK).replace("\\ ", " ") + "\\s]"
     s = F.regexp_replace(bn_to_ascii_digits(clean_unicode(c)), rf"^{junk}+|{junk}+$", "")
     s = F.regexp_replace(F.regexp_replace(s, r"\s+", ""), r"^([0-9]+[A-Za-zক-হ]{0,2})[\[(].*$", "$1")
@@ -301,9 +302,18 @@ def html_to_text(s: pd.Series) -> pd.Series:
     return s.map(_html_text)
 
 
+# What looks like a secret and what stands for it in logs, in this order.
+SECRETS = [
+    (r"gsk_[A-Za-z0-9]{20,}", "gsk_***"),
+    (r"hf_[A-Za-z0-9]{20,}", "hf_***"),
+    (r"(?i)\b(bearer\s+)[A-Za-z0-9._\-]+", "$1***"),
+    (r"(?i)((?:x-admin-api-key|x-api-key|api[_-]?key|password)\"?\s*[:=]\s*\"?)[^\s\",}]+", "$1***"),
+    (r"((?:postgres(?:ql)?(?:\+\w+)?|redis)://[^:/@\s]*:)[^@\s]+@", "$1***@"),
+]
+
+
 def redact_secrets(c: Column) -> Column:
-    """Keys, tokens and passwords as ***, in this order: key prefixes, bearer tokens, named keys, passwords in addresses."""
-    c = F.regexp_replace(c, r"(gsk_|hf_)[A-Za-z0-9]{20,}", "$1***")
-    c = F.regexp_replace(c, r"(?i)\b(bearer\s+)[A-Za-z0-9._\-]+", "$1***")
-    c = F.regexp_replace(c, r"(?i)((?:x-(?:admin-)?api-key|api[_-]?key|password)\"?\s*[:=]\s*\"?)[^\s\",}]+", "$1***")
-    return F.regexp_replace(c, r"((?:postgres(?:ql)?(?:\+\w+)?|redis)://[^:/@\s]*:)[^@\s]+@", "$1***@")
+    """Key prefixes, bearer tokens, named keys and passwords in addresses as ***."""
+    for pattern, stands in SECRETS:
+        c = F.regexp_replace(c, pattern, stands)
+    return c
