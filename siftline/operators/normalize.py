@@ -54,8 +54,9 @@ def from_template(template: str, **fields: Column) -> Column:
     return out if template else F.lit(None).cast("string")
 
 
-def excluded(title: Column) -> Column:
-    return F.coalesce(title.rlike(EXCLUDED), F.lit(False))
+def excluded(title: Column, pattern: str = EXCLUDED) -> Column:
+    """Whether a title marks a trial entry; the empty pattern marks none."""
+    return F.coalesce(title.rlike(pattern), F.lit(False)) if pattern else F.lit(False)
 
 
 def errors(**required: Column) -> Column:
@@ -64,9 +65,10 @@ def errors(**required: Column) -> Column:
     return F.nullif(F.array_join(F.slice(found, 1, 5), "; "), F.lit(""))
 
 
-def qna(records: DataFrame) -> DataFrame:
+def qna(records: DataFrame, exclude: str = EXCLUDED) -> DataFrame:
+    """A document for each question; those that ``exclude`` marks as trial entries are left out."""
     body = F.concat(F.lit("প্রশ্ন: "), clean(F.col("question")), F.lit("\nউত্তর: "), clean(html_to_text("answer")))
-    return records.where(~excluded(F.col("question"))).select(F.lit("qna").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), clean(F.col("question")).alias("title"), F.nullif(F.lower(F.trim("category")), F.lit("")).alias("category"), F.lit(None).cast("int").alias("year"), F.lit(70).alias("authority"), body.alias("body"), errors(question=F.col("question"), answer=F.col("answer")).alias("errors"))
+    return records.where(~excluded(F.col("question"), exclude)).select(F.lit("qna").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), clean(F.col("question")).alias("title"), F.nullif(F.lower(F.trim("category")), F.lit("")).alias("category"), F.lit(None).cast("int").alias("year"), F.lit(70).alias("authority"), body.alias("body"), errors(question=F.col("question"), answer=F.col("answer")).alias("errors"))
 
 
 def blog(records: DataFrame, official: tuple[str, ...] = OFFICIAL, url: str = "") -> DataFrame:
