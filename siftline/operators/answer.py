@@ -230,7 +230,9 @@ def expand_document(hits: DataFrame, chunks: DataFrame, most: int = 400) -> tupl
     passages: query_id, id, document_id, place; totals: query_id, document_id, total (distinct sections).
     """
     books = hits.where(F.col("doc_source_type") == "ebook").groupBy("query_id").agg(F.min_by("document_id", "rank").alias("document_id"))
-    own = books.join(chunks, "document_id").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_index", "id"))).where(F.col("n") <= most)
+    # a book's first chunks are found once, however many questions ask for it, and by each task among its own before any move
+    first = chunks.select("document_id", "id", "chunk_index", "role").withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "id"))).where(F.col("n") <= most)
+    own = books.join(first, "document_id")
     whole = own.where(~F.coalesce(F.col("role") == "preamble", F.lit(False))).select("query_id", "id", "document_id", F.col("n").alias("place"))
     rest = hits.join(books.select("query_id"), "query_id", "left_anti").select("query_id", "id", "document_id", F.col("rank").alias("place"))
     totals = books.join(chunks.groupBy("document_id").agg(F.countDistinct("section_number").alias("total")), "document_id")

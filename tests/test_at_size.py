@@ -56,3 +56,12 @@ def test_provisions_by_blocks_of_questions(spark):
         for x in retrieval.provision_lookup(*frames, block_terms=block).orderBy("query_id", "rank").collect():
             got.setdefault(x["query_id"], []).append(x["doc_id"])
         assert got == want
+
+
+def test_a_books_first_chunks_are_found_before_questions_meet_them(spark):
+    hits = spark.range(30).selectExpr("id query_id", "id", "1L document_id", "1 rank", "'ebook' doc_source_type")
+    chunks = spark.range(50).selectExpr("id", "1L document_id", "id chunk_index", "string(null) role", "'1' section_number")
+    passages = answer.expand_document(hits, chunks, most=3)[0]
+    assert passages.count() == 90
+    plan = passages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # what stands first is done last
