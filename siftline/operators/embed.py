@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import BLOCK_BYTES, FOUND, VECTOR_K, Nearest, rank, vector_topk
+from .retrieval import BLOCK_BYTES, FOUND, VECTOR_K, Nearest, _parts, rank, vector_topk
 
 DIM = 1024
 
@@ -72,8 +72,7 @@ def hash_topk(queries: DataFrame, docs: DataFrame, k: int = VECTOR_K, digits: in
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Nearest(shared.value, k, None, digits, DIM)
             for batch in batches:
-                for start in range(0, batch.num_rows, 1024):
-                    part = batch.slice(start, 1024)
+                for part in _parts(batch, ("tokens",)):
                     some, x = hashed(part.column("tokens"))
                     found.score(part.column("id").to_numpy()[some], x / np.linalg.norm(x, axis=1, keepdims=True))
             yield found.told()

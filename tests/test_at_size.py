@@ -1,12 +1,14 @@
 """What larger tables have shown: each case is small, and failed before."""
 
+import itertools
 import os
 import random
 
 import duckdb
+import pyarrow as pa
 
 from siftline.catalogue import ORACLE_SQL, QUERIES
-from siftline.operators import answer, retrieval
+from siftline.operators import answer, postings, retrieval
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +67,19 @@ def test_a_books_first_chunks_are_found_before_questions_meet_them(spark):
     assert passages.count() == 90
     plan = passages._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Window")  # what stands first is done last
+
+
+def test_scans_look_at_bounded_parts():
+    size = [0, 300_000, 300_000, 900_000, 1] + [1] * 3000
+    rows = pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(size)], pa.int32()), pa.array(["x"]).take(pa.array([0] * sum(size))))
+    parts = list(retrieval._parts(pa.record_batch({"tokens": rows}), ("tokens",)))
+    sizes = [[len(x) for x in p.column("tokens")] for p in parts]
+    assert sum(sizes, []) == size and all(len(s) <= retrieval.ROWS and (len(s) == 1 or sum(s) <= retrieval.WORDS_AT_ONCE) for s in sizes)
+
+
+def test_documents_are_dealt_before_their_words_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, ["a", None], ['"b', "a"], 1)], "id long, title array<string>, body array<string>, authority long")
+    index = postings.build(docs)
+    assert sorted((r["word"], r["docs"][0]["length"], r["docs"][0]["at"]) for r in index.collect()) == [('"b', 4, [6]), ("a", 4, [3, 8])]
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # what stands first is done last
