@@ -4,16 +4,33 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as written to the shared folder of spark.checkpoint.dir; to one of our own only where none is set and all runs in one process."""
+def _folder(df: DataFrame) -> str:
+    """The shared folder of spark.checkpoint.dir; one of our own only where none is set and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         told = sc.getConf().get("spark.checkpoint.dir")
         if not told and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="siftline-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder."""
+    _folder(df)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as compressed Parquet in the shared folder, deleted when the driver ends: for large tables, of which kept would
+    write each row as it lies in memory, and small ones whose size decides a join."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_folder(df)}/stored-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path.toString())
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())

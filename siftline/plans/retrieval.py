@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ASCII_DIGITS, BN_DIGITS, BN_STOPWORDS, EN_STOPWORDS, VARIANTS, ZERO_WIDTH, lexical_coverage, query_terms, tokenize
 from ..functions.analyze import check_filters
 from ..operators import embed, evaluate, postings, retrieval as R, vector_index
-from ..operators.keep import kept
+from ..operators.keep import kept, stored
 from . import query, spread, table
 
 # SQL shared by the queries below
@@ -245,7 +245,7 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical search through a positional index of all documents."""
     asked, docs = _lexical(spark, sf_dir)
-    return postings.Search(kept(postings.build(docs)), asked).hits
+    return postings.Search(stored(postings.build(docs)), asked).hits
 
 
 CHANGED = LEX.replace("FROM documents d LEFT JOIN", "FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN text || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5) d LEFT JOIN")
@@ -255,11 +255,11 @@ CHANGED = LEX.replace("FROM documents d LEFT JOIN", "FROM (SELECT doc_id, CASE W
 def lexical_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after a sync: each eleventh document is gone, each seventh says everything twice."""
     asked, docs = _lexical(spark, sf_dir)
-    index = kept(postings.build(docs))
+    index = stored(postings.build(docs))
     more = docs.where("id % 7 = 3 and id % 11 <> 5")
     _, twice = _lexical(spark, sf_dir, F.concat("text", F.lit("\n"), "text"))
     changed = twice.join(more.select("id"), "id", "left_semi")
-    return postings.Search(kept(postings.replaced(index, changed, docs.where("id % 11 = 5"))), asked).hits
+    return postings.Search(stored(postings.replaced(index, changed, docs.where("id % 11 = 5"))), asked).hits
 
 
 COVERS = rf"""q AS (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) t FROM (SELECT item_id query_id, {TOK.format('text')} t FROM benchmark)), qq AS (SELECT query_id, t[1] a, t[2] b FROM q WHERE len(t) > 1),
@@ -277,7 +277,7 @@ def lexical_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, docs = _lexical(spark, sf_dir)
     words = F.array_distinct(tokenize(F.col("text")))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("t")).where("size(t) > 1").select("query_id", F.posexplode(F.slice("t", 1, 2)).alias("part", "term"))
-    return postings.covers_topk(kept(postings.build(docs)), asked, 10)
+    return postings.covers_topk(stored(postings.build(docs)), asked, 10)
 
 
 @query()
