@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import bn_to_ascii_digits, clean_unicode, html_to_text, normalize_section_number, normalize_whitespace, parse_year
+from ..functions.text import _NFC, ZERO_WIDTH, _html_text, bn_to_ascii_digits, clean_unicode, html_to_text, normalize_section_number, normalize_whitespace, parse_year
 
 # Fixed value: titles that mark a record as a trial entry.
 EXCLUDED = r"(?i)^\s*test\b"
@@ -20,6 +25,10 @@ FORUM = "id string, name string, description string, badge string, topics array<
 # Who publishes law, who writes officially, and what a document without a type is called.
 GAZETTE, OFFICIAL, DOCUMENT, NUMBER = "গেজেট", ("ভূমি মন্ত্রণালয়",), "দলিল", "নং"
 TITLE_CHARS = 120
+#: What is left of a text without markup when it is clean.
+_SAYS = f"[^ \u00a0\u3000\t\r\f\v\n{ZERO_WIDTH}]"
+#: Markup, entities, and spaces that only html_to_text strips; beyond Latin also what NFC may change.
+_MARKS, _BEYOND, _CHANGES = "[<&\x1c-\x1f\x85]", "[^\\x00-\u02ff]", f"[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f]|{_NFC}"
 
 
 def clean(c: Column) -> Column:
@@ -120,25 +129,61 @@ def ebook(records: DataFrame, url: str = "") -> tuple[DataFrame, DataFrame]:
     own = clean(F.col("title_of_act"))
     docs = kept.select(F.lit("ebook").alias("source_type"), F.col("id").cast("string").alias("source_id"), F.lit(None).cast("string").alias("parent_source_id"), F.coalesce(own, derived).alias("title"), own.isNull().alias("title_derived"), kind.alias("doc_type"), F.lower(F.trim("branch")).alias("category"), parse_year(F.col("act_year")).alias("year"), number.alias("act_number"), flexible_date(F.col("publication_date")).alias("publication_date"), F.when(F.trim("publication_by") == GAZETTE, 100).otherwise(90).alias("authority"), iso_datetime(F.col("created_date")).alias("source_updated_at"), from_template(url, id=F.col("id")).alias("url"), F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("file", "merged_file", "system_generated_pdf"))).alias("file_url"), F.filter(F.transform(F.coalesce("meta_keywords", F.array().cast("array<string>")), normalize_whitespace), lambda k: ~k.isin("", "[]")).alias("keywords"), urls(F.col("multiple_reference_link")).alias("links"), body.alias("body"), F.when(F.size(F.coalesce("sections", F.array())) > 0, "appendix").otherwise("body").alias("role"), book_metadata(kept).alias("metadata"), F.lit(None).cast("string").alias("errors"))
 
-    def unit(kind: str, at: str) -> list[Column]:
-        return [F.lit(kind).alias("kind"), F.col(f"{at}.id").cast("string").alias("unit_id"), normalize_section_number(F.col(f"{at}.number")).alias("number"), clean(F.col(f"{at}.heading")).alias("heading"), clean(html_to_text(f"{at}.content")).alias("content"), clean(F.col(f"{at}.note")).alias("note")]
-
-    s = kept.select(F.col("id").cast("string").alias("source_id"), F.posexplode("sections").alias("i", "s"))
-    sub = s.select("source_id", "i", F.posexplode("s.subsections").alias("j", "u"))
-    sched = s.select("source_id", "i", F.posexplode("s.schedules").alias("j", "u"))
-    deep = sub.select("source_id", "i", "j", F.posexplode("u.schedules").alias("k", "w"))
-    # a section's own schedules stand after its subsections
-    after = (F.col("j") + 1_000_000).alias("j")
-    inner = sched.select("source_id", "i", after, F.posexplode("u.subschedules").alias("k", "x"))
-    under = deep.select("source_id", "i", "j", "k", F.posexplode("w.subschedules").alias("m", "x"))
-    path = lambda *c: F.array(*c).alias("path")
-    units = s.select("source_id", path("i"), *unit("section", "s"))
-    for more in (sub.select("source_id", path("i", "j"), *unit("subsection", "u")), sched.select("source_id", path(F.col("i"), after), *unit("schedule", "u")), deep.select("source_id", path("i", "j", "k"), *unit("schedule", "w")), inner.select("source_id", path("i", "j", "k"), *unit("subschedule", "x")), under.select("source_id", path("i", "j", "k", "m"), *unit("subschedule", "x"))):
-        units = units.unionByName(more)
-    says = F.col("content").isNotNull() | (F.col("kind").isin("schedule", "subschedule") & F.col("heading").isNotNull())
-    # what says something keeps all that it stands in
-    held = units.where(says).select("source_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("path")).distinct()
-    return docs, units.join(held, ["source_id", "path"], "left_semi")
+    # all units of a record come out of one pass over it: its texts are never shuffled, nor read again for each kind
+    rows = kept.where("id is not null").select(F.col("id").cast("string").alias("source_id"), _units(F.col("sections")).alias("_all"))
+    rows = rows.withColumn("_odd", F.transform("_all", lambda u: F.when(_odd(u["content"]), u["content"])))
+    says = F.zip_with("_all", "_odd", lambda u, odd: (odd.isNull() & _left(u["content"])) | (u["kind"].isin("schedule", "subschedule") & _left(u["heading"])))
+    rows = rows.withColumn("_held", _held(F.col("_odd"), F.transform("_all", lambda u: F.size(u["path"])), says))
+    whole = F.zip_with("_all", "_held", lambda u, h: F.struct(u.alias("u"), h["text"].alias("text"), h["held"].alias("held")))
+    u = rows.select("source_id", F.explode(F.filter(whole, lambda x: x["held"])).alias("_x")).select("source_id", "_x.u.*", "_x.text")
+    return docs, u.select("source_id", "path", "kind", "unit_id", normalize_section_number(F.col("number")).alias("number"), clean(F.col("heading")).alias("heading"), clean(F.coalesce("text", "content")).alias("content"), clean(F.col("note")).alias("note"))
+
+
+_UNITS = "array<struct<path:array<int>,kind:string,unit_id:string,number:string,heading:string,content:string,note:string>>"
+#: A section's own schedules stand after its subsections.
+AFTER = 1_000_000
+
+
+def _units(sections: Column) -> Column:
+    """All units of a record's sections in reading order, as written; null lists are empty."""
+
+    def many(items: Column, f: Callable[[Column, Column], Column]) -> Column:
+        return F.coalesce(F.flatten(F.transform(items, lambda x, i: f(x, i))), F.array().cast(_UNITS))
+
+    def one(kind: str, x: Column, *path: Column) -> Column:
+        return F.array(F.struct(F.array(*path).alias("path"), F.lit(kind).alias("kind"), x["id"].cast("string").alias("unit_id"), *(x[c].alias(c) for c in ("number", "heading", "content", "note")))).cast(_UNITS)
+
+    def schedules(items: Column, after: int, *path: Column) -> Column:
+        under = lambda w, *at: many(w["subschedules"], lambda x, m: one("subschedule", x, *at, m))
+        return many(items, lambda w, k: F.concat(one("schedule", w, *path, k + after), under(w, *path, k + after)))
+
+    subsections = lambda s, i: many(s["subsections"], lambda u, j: F.concat(one("subsection", u, i, j), schedules(u["schedules"], 0, i, j)))
+    return many(sections, lambda s, i: F.concat(one("section", s, i), subsections(s, i), schedules(s["schedules"], AFTER, i)))
+
+
+def _odd(c: Column) -> Column:
+    """Whether html_to_text may make another text of this than clean() does alone. The slow pattern runs where it can match."""
+    return c.rlike(_MARKS) | (c.rlike(_BEYOND) & c.rlike(_CHANGES))
+
+
+def _left(c: Column) -> Column:
+    """Whether a text without markup has anything left when it is clean."""
+    return F.coalesce(c.rlike(_SAYS), F.lit(False))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("held", T.BooleanType())])))
+def _held(odd: pa.Array, depths: pa.Array, says: pa.Array) -> pa.Array:
+    """For each unit of records in reading order: the text of its markup, where its content is odd, and whether it says
+    something or holds one that does."""
+    texts = [x and _html_text(x) for x in odd.flatten().to_pylist()]
+    out, parent = [], 0
+    # backwards, where parent is how deep the next unit is that a held one stands in
+    for text, depth, own in zip(reversed(texts), reversed(depths.flatten().to_pylist()), reversed(says.flatten().to_pylist())):
+        if held := own or bool(text) or depth == parent:
+            parent = depth - 1
+        out.append(held)
+    values = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(out[::-1], pa.bool_())], ["text", "held"])
+    return pa.ListArray.from_arrays(pc.subtract(odd.offsets, odd.offsets[0]), values)
 
 
 def normalize(records: dict[str, DataFrame]) -> DataFrame:

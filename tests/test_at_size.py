@@ -8,7 +8,7 @@ import duckdb
 import pyarrow as pa
 
 from siftline.catalogue import ORACLE_SQL, QUERIES
-from siftline.operators import answer, postings, retrieval
+from siftline.operators import answer, normalize, postings, retrieval
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +83,17 @@ def test_documents_are_dealt_before_their_words_are_told_apart(spark):
     assert sorted((r["word"], r["docs"][0]["length"], r["docs"][0]["at"]) for r in index.collect()) == [('"b', 4, [6]), ("a", 4, [3, 8])]
     plan = index._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")  # what stands first is done last
+
+
+def test_units_of_records_come_out_of_one_pass(spark, tmp_path):
+    # two records of one id: what one says keeps nothing of the other
+    rows = [(1, "\nx"), (1, "y\n"), (2, "a\n" * 20), (3, "a < b &amp; c\né\n\n \nd" + "\n" * 30), (4, ""), (5, None)]
+    same_as_sql(spark, "unnest_sections", tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    x = lambda i, content, *more: (i, None, None, content, None, *more)
+    # an own schedule after the subsections; markup without text and odd spaces say nothing; text far down keeps what it stands in
+    sections = [x(1, "<p> </p>", [x(2, "&nbsp;", [x(3, "", [x(4, " "), x(5, "<b>deep</b>")]), x(6, None, None)]), x(7, "\x1c", [])], [x(8, None, [x(9, "e​́")]), x(10, "​ ", None)]), None, x(11, "", None, None)]
+    units = normalize.ebook(spark.createDataFrame([(7, *[None] * 14, sections), (None, *[None] * 14, sections), (8, *[None] * 15)], normalize.EBOOK))[1]
+    got = [(r.source_id, r.path, r.unit_id, r.content) for r in units.orderBy("path").collect()]
+    assert got == [("7", [0], "1", None), ("7", [0, 0], "2", None), ("7", [0, 0, 0], "3", None), ("7", [0, 0, 0, 1], "5", "deep"), ("7", [0, 1_000_000], "8", None), ("7", [0, 1_000_000, 0], "9", "é")]
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan and "Exchange" not in plan
