@@ -66,13 +66,17 @@ def pack(text: str, target: int = TARGET, most: int = MOST, overlap: int = OVERL
         return [text.strip()] if text.strip() else []
     out: list[list[str]] = []
     run: list[str] = []
+    chars = 0  # of the run's text
     for atom in atoms(text, most - overlap):
-        if run and tokens("\n".join([*run, atom])) > target:
+        if run and size_of(chars + 1 + len(atom)) > target:
             out.append(run)
-            words, tail = run[-1].split(), ""
-            while words and tokens(f"{words[-1]} {tail}") <= overlap:
-                tail = f"{words.pop()} {tail}".strip()
-            run = [tail] if tail and tokens(f"{tail}\n{atom}") <= most else []
+            words, n = run[-1].split(), 0
+            at = len(words)
+            while at and size_of(len(words[at - 1]) + 1 + n) <= overlap:
+                at -= 1
+                n += len(words[at]) + (1 if n else 0)
+            run, chars = ([" ".join(words[at:])], n) if n and size_of(n + 1 + len(atom)) <= most else ([], 0)
+        chars += len(atom) + (1 if run else 0)
         run.append(atom)
     if run:
         if out and tokens("\n".join(run)) < least and tokens("\n".join(out[-1] + run[-1:])) <= most:

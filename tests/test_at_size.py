@@ -8,7 +8,7 @@ import duckdb
 import pyarrow as pa
 
 from siftline.catalogue import ORACLE_SQL, QUERIES
-from siftline.operators import answer, normalize, postings, retrieval
+from siftline.operators import answer, normalize, postings, retrieval, sections
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +97,18 @@ def test_units_of_records_come_out_of_one_pass(spark, tmp_path):
     assert got == [("7", [0], "1", None), ("7", [0, 0], "2", None), ("7", [0, 0, 0], "3", None), ("7", [0, 0, 0, 1], "5", "deep"), ("7", [0, 1_000_000], "8", None), ("7", [0, 1_000_000, 0], "9", "é")]
     plan = units._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_sections_are_dealt_once_and_cut_as_a_stream(spark):
+    docs = spark.createDataFrame([(str(i), f"Act {i}") for i in range(50)] + [("7", "Again")], "source_id string, title string")
+    units = spark.createDataFrame([(str(i), [j], "section", str(j), None, f"text {i} {j}", None) for i in range(51) for j in range(i % 4)], "source_id string, path array<int>, kind string, number string, heading string, content string, note string")
+    out = sections.chunk_units(docs, units)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((int(r.id), r.chunk_index, r.context.split("\n")[0][-6:].strip(), r.content) for r in out.collect())
+    assert got == [x for i in range(50) for x in [(i, 0, f"Act {i}", "\n".join(map(str, range(i % 4))) or f"Act {i}"), *((i, j + 1, f"Act {i}", f"text {i} {j}") for j in range(i % 4))]]
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "FlatMapGroups" not in plan
+    # a place costs its depth, not all that stands before it
+    row = {"line": "x", "own": "x", "kind": "section", "number": "1", "heading": None, "note": None}
+    tree = sections.Tree([row | {"path": p} for p in ([0], [0, 1], [0, 2], [0, 2, 5], [1], [1, 0, 0])], "s", 500, 700, 80, 30)
+    assert tree.end == [4, 2, 4, 4, 6, 6] and tree.parent == [None, 0, 0, 2, None, 4]
+    assert len(tree.place([3])["path"]) == 3
