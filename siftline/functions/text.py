@@ -51,6 +51,10 @@ VARIANTS = {plain(k): plain(v) for k, v in {"নাম্বার": "নম্
 _NFC = "[\\p{M}\u0340-\u0387\u0958-\u095f\u09dc-\u09df\u0a33-\u0a5e\u0b5c\u0b5d\u0f43-\u0fb9\u1100-\u11ff\u1f71-\u1ffd\u2000\u2001\u2126-\u212b\u2329\u232a\u2adc\uf900-\ufaff\ufb1d-\ufb4e\\x{1d15e}-\\x{1d1c0}\\x{2f800}-\\x{2fa1d}]"
 
 
+#: What any of these, Bengali and what has no width is among: all but the Latin letters and signs of one code point.
+_BEYOND = "[^\\x00-\u00ac\u00ae-\u02ff]"
+
+
 def is_ascii(c: Column) -> Column:
     return F.length(c) == F.octet_length(c)
 
@@ -74,7 +78,7 @@ def clean_unicode(c: Column) -> Column:
 
 
 def _composed(c: Column) -> Column:
-    return F.coalesce(_nfc(F.when(~is_ascii(c) & c.rlike(_NFC), c)), c)
+    return F.coalesce(_nfc(F.when(~is_ascii(c) & c.rlike(_BEYOND) & c.rlike(_NFC), c)), c)
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -91,7 +95,7 @@ def tokenize(c: Column) -> Column:
     known = F.create_map(*(F.lit(x) for kv in VARIANTS.items() for x in kv))
     full = F.transform(words(bn_to_ascii_digits(clean_unicode(c))), lambda t: F.when(t.isin(*VARIANTS), F.element_at(known, t)).otherwise(t))
     # what only some texts need is slow: others go round it
-    return F.when(is_ascii(c), words(c)).when(~c.rlike(f"[ঀ-৿{ZERO_WIDTH}]"), words(_composed(c))).otherwise(full)
+    return F.when(is_ascii(c) | ~c.rlike(_BEYOND), words(c)).when(~c.rlike(f"[ঀ-৿{ZERO_WIDTH}]"), words(_composed(c))).otherwise(full)
 
 
 def lexical_text(c: Column) -> Column:

@@ -3,11 +3,15 @@
 import itertools
 import os
 import random
+import re
+import unicodedata
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from siftline.catalogue import ORACLE_SQL, QUERIES
+from siftline.functions import text
 from siftline.operators import answer, normalize, postings, retrieval, sections
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +116,62 @@ def test_sections_are_dealt_once_and_cut_as_a_stream(spark):
     tree = sections.Tree([row | {"path": p} for p in ([0], [0, 1], [0, 2], [0, 2, 5], [1], [1, 0, 0])], "s", 500, 700, 80, 30)
     assert tree.end == [4, 2, 4, 4, 6, 6] and tree.parent == [None, 0, 0, 2, None, 4]
     assert len(tree.place([3])["path"]) == 3
+
+
+def token_docs(spark, n, seed, ids):
+    r = random.Random(seed)
+    words = ["".join(r.choices("abc", k=r.randint(1, 6))) for _ in range(80)]
+    rows = [(i, r.choices(words, k=r.randint(0, 3)), r.choices(words, k=r.choice([0, 3, 40, 200])), r.choice([None, 0, 9])) for i in ids[:n]]
+    return rows, spark.createDataFrame(rows, "id long, title array<string>, body array<string>, authority long")
+
+
+def test_a_sync_merges_ranges_where_they_arrive(spark, monkeypatch):
+    monkeypatch.setattr(postings, "RANGE_WORDS", 2000)  # long documents fill several ranges of a slot
+    rows, docs = token_docs(spark, 150, 7, [*range(-20, 100), *range(400, 430)])
+    changed_rows, changed = token_docs(spark, 40, 8, [*range(0, 60, 2), *range(700, 710)])
+    off = [-20, 1, 2, 405, 9999]
+    gone = spark.createDataFrame([(i,) for i in off], "id long")
+    index = postings.build(docs, 64)
+    assert index.select("range").distinct().count() > len({(i // 64, (len(t) + len(b)).bit_length()) for i, t, b, _ in rows if t or b})
+    after = postings.update(index, changed, gone, 64)
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "collect_list(docs" not in plan  # no posting is looked up among a slot's ids
+    now = {r[0]: r for r in rows if r[0] not in off} | {r[0]: r for r in changed_rows}
+    want = postings.build(spark.createDataFrame(list(now.values()), docs.schema), 64)
+    told = lambda df: sorted((r["range"], r["word"], r["n"], round(r["top"], 9), r["docs"]) for r in df.collect())
+    assert told(postings.replaced(index, changed, gone, 64)) == told(want)
+    asked = spark.createDataFrame([(q, t) for q in range(6) for t in ("ab:*", "c", "b" * (q + 1), "abca:*", "a:*")[: q + 1]], "query_id long, term string")
+    got = postings.Search(want, asked, 7).hits
+    assert sorted(got.collect()) == sorted(retrieval.lexical_topk(asked, spark.createDataFrame(list(now.values()), docs.schema), 7).collect())
+
+
+def test_a_search_hands_on_the_best_of_a_task(spark):
+    _, docs = token_docs(spark, 300, 9, range(300))
+    asked = spark.createDataFrame([(q, t) for q in range(3) for t in ("a:*", "b:*")], "query_id long, term string")
+    search = postings.Search(postings.build(docs, 16).coalesce(1), asked, 2)
+    plan = search.hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    found = postings._met_by_range(postings.build(docs, 16).select("range", "word", "top", "docs").mapInArrow(postings._weighed(spark.sparkContext.broadcast(postings._Places([0, 1], ["a:*", "b"])), 1.0, 0.4), "range long, query_id array<long>, bound array<double>, packed binary"), spark.sparkContext.broadcast(postings._Places([0, 1], ["a:*", "b"])), spark.sparkContext.broadcast(([], False, {})), 2)
+    parts = found.where("step is null").groupBy(F.spark_partition_id().alias("task"), "query_id").count()
+    assert parts.agg(F.max("count")).first()[0] == 2  # however many ranges a task meets
+
+
+def test_words_have_the_queries_of_all_their_beginnings():
+    r = random.Random(1)
+    some = lambda a, b: "".join(r.choices("ab", k=r.randint(a, b)))
+    for _ in range(100):
+        pairs = sorted({(r.randrange(6) * 10, some(1, 5) + r.choice(["", ":*"])) for _ in range(r.randint(0, 20))})
+        p = postings._Places([q for q, _ in pairs], [t for _, t in pairs])
+        for word in (some(1, 8) for _ in range(40)):
+            want = {q for q, t in pairs if t == word or t.endswith(":*") and word.startswith(t[:-2])}
+            (code,) = p.codes([word])
+            assert {int(p.ids[q]) for q in p.asking(p.codes([word]))[0]} == want if code >= 0 else not want
+
+
+def test_latin_texts_go_round_what_only_some_need():
+    beyond = re.compile(text._BEYOND)
+    assert not beyond.search("".join(map(chr, [*range(0xAD), *range(0xAE, 0x300)])))
+    for i in (i for i in range(0x110000) if not 0xD800 <= i < 0xE000):
+        c = chr(i)
+        if unicodedata.normalize("NFC", c) != c or unicodedata.category(c)[0] == "M" or c in text.ZERO_WIDTH or 0x980 <= i <= 0x9FF:
+            assert beyond.search(c)
