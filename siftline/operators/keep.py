@@ -34,3 +34,12 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path.toString())
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(path.toString())
+
+
+def spent(df: DataFrame) -> None:
+    """Deletes what ``stored`` has written, once all that is made of it has been written too."""
+    sc = df.sparkSession.sparkContext
+    for path in {sc._jvm.org.apache.hadoop.fs.Path(f).getParent().toString() for f in df.inputFiles()}:
+        if re.search(r"/stored-[0-9a-f]{32}$", path):
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

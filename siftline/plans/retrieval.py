@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ASCII_DIGITS, BN_DIGITS, BN_STOPWORDS, EN_STOPWORDS, VARIANTS, ZERO_WIDTH, lexical_coverage, query_terms, tokenize
 from ..functions.analyze import check_filters
 from ..operators import embed, evaluate, postings, retrieval as R, vector_index
-from ..operators.keep import kept, stored
+from ..operators.keep import kept, spent, stored
 from . import query, spread, table
 
 # SQL shared by the queries below
@@ -259,7 +259,9 @@ def lexical_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = docs.where("id % 7 = 3 and id % 11 <> 5")
     _, twice = _lexical(spark, sf_dir, F.concat("text", F.lit("\n"), "text"))
     changed = twice.join(more.select("id"), "id", "left_semi")
-    return postings.Search(stored(postings.replaced(index, changed, docs.where("id % 11 = 5"))), asked).hits
+    after = stored(postings.replaced(index, changed, docs.where("id % 11 = 5")))
+    spent(index)
+    return postings.Search(after, asked).hits
 
 
 COVERS = rf"""q AS (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) t FROM (SELECT item_id query_id, {TOK.format('text')} t FROM benchmark)), qq AS (SELECT query_id, t[1] a, t[2] b FROM q WHERE len(t) > 1),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftline.catalogue import ORACLE_SQL, QUERIES
 from siftline.functions import text
-from siftline.operators import answer, normalize, postings, retrieval, sections
+from siftline.operators import answer, keep, normalize, postings, retrieval, sections
 
 SF = "/root/testdata/sf0.001"
 
@@ -175,3 +175,16 @@ def test_latin_texts_go_round_what_only_some_need():
         c = chr(i)
         if unicodedata.normalize("NFC", c) != c or unicodedata.category(c)[0] == "M" or c in text.ZERO_WIDTH or 0x980 <= i <= 0x9FF:
             assert beyond.search(c)
+
+
+def test_what_is_spent_is_deleted(spark, tmp_path):
+    other = spark.range(3)
+    other.write.parquet(str(tmp_path / "own"))
+    keep.spent(spark.read.parquet(str(tmp_path / "own")))  # not ours to delete
+    assert os.path.isdir(tmp_path / "own")
+    first = keep.stored(other)
+    second = keep.stored(first.where("id > 0"))
+    at = os.path.dirname(first.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(at)
+    keep.spent(first)
+    assert not os.path.exists(at) and second.count() == 2
